@@ -111,13 +111,18 @@ def exact_median(df: DataFrame, col: str, empty: float | None = None) -> float |
     return (va + vb) / 2.0
 
 
-def k_smallest(df: DataFrame, strata: Sequence[str], quotas: DataFrame, u: str = "u",
-               order_id: str = "row_id", quota_col: str = "quota") -> DataFrame:
-    """Rows whose rank by (u, order_id) inside their stratum is <= quota.
-
-    Equals ``row_number() over (partition by strata order by u, id) <= quota``.
-    ``quotas`` has one row per stratum (strata columns + ``quota``) and is
-    small (one row per stratum); it is broadcast.
+def k_smallest_flag(df: DataFrame, strata: Sequence[str], quotas: DataFrame, u: str = "u",
+                    order_id: str = "row_id", quota_col: str = "quota",
+                    flag: str = "selected") -> DataFrame:
+    """All rows of ``df`` plus boolean ``flag``: rank by (u, order_id) inside the
+    stratum is <= quota. Same answer as
+    ``row_number() over (partition by strata order by u, id) <= quota``.
+
+    Plan: a histogram of (stratum, u-bin) -- at most strata x bins rows -- gives
+    the boundary bin per stratum; rows in lower bins are selected, higher bins
+    not, and only the boundary bin (~BOUNDARY_BIN_ROWS rows per stratum; the bin
+    width shrinks with the largest stratum) runs a row_number window. The
+    quota table has one row per stratum and is broadcast.
     """
     strata = list(strata)
     sizes = df.groupBy(*strata).count()
@@ -127,27 +132,36 @@ def k_smallest(df: DataFrame, strata: Sequence[str], quotas: DataFrame, u: str =
         bins *= 2
     binned = df.withColumn("__bin", F.floor(F.col(u) * bins).cast("long"))
     hist = binned.groupBy(*strata, "__bin").agg(F.count(F.lit(1)).alias("__c"))
-    # cumulative counts over (stratum, bin): a table of at most strata x bins rows
     w = Window.partitionBy(*strata).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     cum = hist.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0)))
-    q = F.broadcast(quotas.select(*strata, F.col(quota_col).alias("__q")))
+    q = F.broadcast(quotas.select(*strata, F.col(quota_col).cast("long").alias("__q")))
     bound = (cum.join(q, strata)
                 .where((F.col("__before") < F.col("__q"))
                        & (F.col("__before") + F.col("__c") >= F.col("__q")))
                 .select(*strata, F.col("__bin").alias("__bbin"),
                         (F.col("__q") - F.col("__before")).alias("__need")))
-    # strata whose quota covers every row have no boundary bin: take all
+    # strata whose quota exceeds their size: every row selected
     full = (sizes.join(q, strata).where(F.col("count") < F.col("__q"))
             .select(*strata, F.lit(1 << 62).cast("long").alias("__bbin"),
                     F.lit(0).cast("long").alias("__need")))
     bounds = F.broadcast(bound.unionByName(full))
-    j = binned.join(bounds, strata)
-    whole = j.where(F.col("__bin") < F.col("__bbin"))
-    edge = j.where(F.col("__bin") == F.col("__bbin"))
+    j = binned.join(bounds, strata, "left").withColumn(
+        "__bbin", F.coalesce(F.col("__bbin"), F.lit(-1).cast("long")))
+    keep = list(df.columns)
+    off = j.where(F.col("__bin") != F.col("__bbin")).select(
+        *keep, (F.col("__bin") < F.col("__bbin")).alias(flag))
     wr = Window.partitionBy(*strata).orderBy(F.col(u), F.col(order_id))
-    edge = edge.withColumn("__rn", F.row_number().over(wr)).where(F.col("__rn") <= F.col("__need"))
-    keep = [c for c in df.columns]
-    return whole.select(*keep).unionByName(edge.select(*keep))
+    edge = (j.where(F.col("__bin") == F.col("__bbin"))
+             .withColumn("__rn", F.row_number().over(wr))
+             .select(*keep, (F.col("__rn") <= F.col("__need")).alias(flag)))
+    return off.unionByName(edge)
+
+
+def k_smallest(df: DataFrame, strata: Sequence[str], quotas: DataFrame, u: str = "u",
+               order_id: str = "row_id", quota_col: str = "quota") -> DataFrame:
+    """Rows whose rank by (u, order_id) inside their stratum is <= quota."""
+    f = k_smallest_flag(df, strata, quotas, u, order_id, quota_col, "__sel")
+    return f.where(F.col("__sel")).drop("__sel")
 
 
 def sample_n(df: DataFrame, n: int, seed: int, id_col: str = "row_id",

@@ -103,3 +103,165 @@ VERDICT_SETTINGS = {
 def q_verdict_grid(spark, sf):
     f = _fair_a(spark, sf).unionByName(_fair_b(spark, sf))
     return fx.verdict_grid(f, VERDICT_SETTINGS)
+
+
+# ---------------------------------------------------------------------------
+# Stage 1: preparation
+# ---------------------------------------------------------------------------
+from ..operators import prep as px  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+from ..spec import AuditSpec  # noqa: E402
+
+SPEC_C = AuditSpec(name="orders_tab", label="y", sensitive=frames.SENSITIVE_C, id_col="row_id",
+                   features=frames.NUMERIC_C + frames.CATEGORICAL_C)
+SPEC_E = AuditSpec(name="dirty", label="y", sensitive=frames.SENSITIVE_C, id_col="row_id",
+                   features=frames.NUMERIC_C + frames.CATEGORICAL_C, null_tokens=["?"])
+
+
+@register("keep_columns")
+def q_keep_columns(spark, sf):
+    c = read_table(spark, sf, "customer")
+    return px.keep_columns(c, ["c_custkey", "c_mktsegment", "c_phone", "c_acctbal"])
+
+
+@register("drop_columns")
+def q_drop_columns(spark, sf):
+    return px.drop_columns(read_table(spark, sf, "customer"), ["c_name", "c_comment"])
+
+
+@register("normalise_names")
+def q_normalise_names(spark, sf):
+    c = read_table(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
+    c = c.toDF(" C_CustKey ", "Segment")
+    return px.normalise_names(c, {"segment": "market_segment"})
+
+
+@register("null_tokens")
+def q_null_tokens(spark, sf):
+    e = px.null_tokens(frames.dirty_tab(spark, sf), ["?"])
+    return rounded(e.select("row_id", "c_acctbal", "o_orderpriority"))
+
+
+@register("drop_missing")
+def q_drop_missing(spark, sf):
+    e = px.drop_missing(px.null_tokens(frames.dirty_tab(spark, sf), ["?"]))
+    return rounded(e)
+
+
+@register("label_from")
+def q_label_from(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority",
+                                         "o_totalprice"])
+    return o.select("o_orderkey",
+                    px.label_from("o_orderstatus", "eq", "F").alias("y_eq"),
+                    px.label_from("o_orderpriority", "ne", "1-URGENT", strip_chars=".").alias("y_ne"),
+                    px.label_from("o_totalprice", "ge", 100000.0).alias("y_ge"))
+
+
+@register("to_binary_string")
+def q_to_binary_string(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_orderstatus"])
+    return px.to_binary(o, "o_orderstatus", "y").select("o_orderkey", "y")
+
+
+@register("to_binary_float")
+def q_to_binary_float(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_totalprice"])
+    return px.to_binary(o, "o_totalprice", "y").select("o_orderkey", "y")
+
+
+@register("to_binary_int")
+def q_to_binary_int(spark, sf):
+    li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber"])
+    b = px.to_binary(li, "l_linenumber", "y")
+    return b.groupBy("y").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("impute_median")
+def q_impute_median(spark, sf):
+    e = frames.dirty_tab(spark, sf)
+    filled, _ = px.impute(e.select("row_id", "c_acctbal", "o_totalprice"),
+                          ["c_acctbal", "o_totalprice"], [])
+    return rounded(filled)
+
+
+@register("impute_mode")
+def q_impute_mode(spark, sf):
+    e = px.null_tokens(frames.dirty_tab(spark, sf), ["?"])
+    filled, _ = px.impute(e.select("row_id", "o_orderpriority", "r_name"), [],
+                          ["o_orderpriority", "r_name"])
+    return filled
+
+
+@register("split_quotas")
+def q_split_quotas(spark, sf):
+    c = frames.orders_tab(spark, sf)
+    counts = {int(r[0]): int(r[1]) for r in c.groupBy("y").count().collect()}
+    q = px.split_quotas(counts)
+    return spark.createDataFrame([(k, counts[k], v[0], v[1]) for k, v in q.items()],
+                                 "y int, n long, n_train long, n_test long")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    return px.stratified_split(frames.orders_tab(spark, sf).select("row_id", "y"), "y", 0.2, 42)
+
+
+@register("stratified_split_docs")
+def q_stratified_split_docs(spark, sf):
+    b = frames.documents_frame(spark, sf).select(F.col("doc_id").alias("row_id"), "y")
+    return px.stratified_split(b, "y", 0.2, 7)
+
+
+def _train_c(spark, sf):
+    c = frames.orders_tab(spark, sf)
+    return px.stratified_split(c, "y", 0.2, 42)
+
+
+@register("fit_encoder")
+def q_fit_encoder(spark, sf):
+    s = _train_c(spark, sf)
+    return px.fit_encoder(s.where(F.col("split") == "train"), frames.CATEGORICAL_C)
+
+
+@register("encode_unseen")
+def q_encode_unseen(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_orderpriority"])
+    enc = px.fit_encoder(o.where(F.col("o_orderpriority") != "1-URGENT"), ["o_orderpriority"])
+    return px.encode(o, enc, ["o_orderpriority"]).select(
+        "o_orderkey", F.col("o_orderpriority").alias("code"))
+
+
+@register("scale")
+def q_scale(spark, sf):
+    s = _train_c(spark, sf)
+    st = px.fit_scaler(s.where(F.col("split") == "train"), frames.NUMERIC_C)
+    return rounded(px.scale(s.select("row_id", "split", *frames.NUMERIC_C), st))
+
+
+def _prepared_c(spark, sf):
+    return px.prepare(frames.orders_tab(spark, sf), SPEC_C, seed=42)
+
+
+@register("prepare")
+def q_prepare(spark, sf):
+    out, _ = _prepared_c(spark, sf)
+    return rounded(out)
+
+
+@register("prepare_dirty")
+def q_prepare_dirty(spark, sf):
+    out, _ = px.prepare(frames.dirty_tab(spark, sf), SPEC_E, seed=42)
+    return rounded(out)
+
+
+@register("apply_prep")
+def q_apply_prep(spark, sf):
+    _, state = _prepared_c(spark, sf)
+    return rounded(px.apply_prep(frames.dirty_tab(spark, sf), state))
+
+
+@register("profile")
+def q_profile(spark, sf):
+    out, st = _prepared_c(spark, sf)
+    return rounded(px.profile(out, st.features))

@@ -153,3 +153,197 @@ SELECT dataset, sensitive, setting,
   CASE WHEN dir < dir_lo OR dir > dir_hi THEN 'FAIL' WHEN dpd > dpd_limit THEN 'FAIL'
        WHEN eod > eod_limit AND p_value < p_limit THEN 'FAIL' ELSE 'PASS' END AS verdict
 FROM allf, grid"""
+
+
+# ---------------------------------------------------------------------------
+# Stage 1: preparation
+# ---------------------------------------------------------------------------
+from ..functions.mathx import hash_uniform_sql  # noqa: E402
+
+FRAME_E = f"""
+SELECT row_id, y, o_totalprice,
+       CASE WHEN row_id % 17 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+       CASE WHEN row_id % 19 = 0 THEN '?' ELSE o_orderpriority END AS o_orderpriority,
+       c_mktsegment, r_name
+FROM ({FRAME_C}) fc
+"""
+
+FRAME_E_CLEAN = f"""
+SELECT row_id, y, o_totalprice, c_acctbal,
+       CASE WHEN trim(o_orderpriority) IN ('?') THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+       CASE WHEN trim(c_mktsegment) IN ('?') THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+       CASE WHEN trim(r_name) IN ('?') THEN NULL ELSE r_name END AS r_name
+FROM ({FRAME_E}) fe
+"""
+
+ORACLE["keep_columns"] = "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer"
+ORACLE["drop_columns"] = "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+ORACLE["normalise_names"] = "SELECT c_custkey, c_mktsegment AS market_segment FROM customer"
+ORACLE["null_tokens"] = f"""
+SELECT row_id, {R('c_acctbal')} AS c_acctbal,
+       CASE WHEN trim(o_orderpriority) = '?' THEN NULL ELSE o_orderpriority END AS o_orderpriority
+FROM ({FRAME_E}) e"""
+ORACLE["drop_missing"] = f"""
+SELECT row_id, y, {R('o_totalprice')} AS o_totalprice, {R('c_acctbal')} AS c_acctbal,
+       o_orderpriority, c_mktsegment, r_name
+FROM ({FRAME_E_CLEAN}) e
+WHERE row_id IS NOT NULL AND y IS NOT NULL AND o_totalprice IS NOT NULL AND c_acctbal IS NOT NULL
+  AND o_orderpriority IS NOT NULL AND c_mktsegment IS NOT NULL AND r_name IS NOT NULL"""
+ORACLE["label_from"] = """
+SELECT o_orderkey, CAST(trim(o_orderstatus) = 'F' AS INTEGER) AS y_eq,
+       CAST(trim(replace(o_orderpriority, '.', '')) <> '1-URGENT' AS INTEGER) AS y_ne,
+       CAST(o_totalprice >= 100000.0 AS INTEGER) AS y_ge
+FROM orders"""
+ORACLE["to_binary_string"] = """
+SELECT o_orderkey, CAST(o_orderstatus = (SELECT max(o_orderstatus) FROM orders) AS INTEGER) AS y
+FROM orders"""
+ORACLE["to_binary_float"] = """
+SELECT o_orderkey, CAST(o_totalprice >= (SELECT median(o_totalprice) FROM orders) AS INTEGER) AS y
+FROM orders"""
+ORACLE["to_binary_int"] = """
+SELECT CAST(l_linenumber = (SELECT max(l_linenumber) FROM lineitem) AS INTEGER) AS y,
+       CAST(count(*) AS BIGINT) AS n
+FROM lineitem GROUP BY 1"""
+ORACLE["impute_median"] = f"""
+WITH e AS ({FRAME_E})
+SELECT row_id,
+  {R('coalesce(c_acctbal, (SELECT coalesce(median(c_acctbal), 0.0) FROM e))')} AS c_acctbal,
+  {R('coalesce(o_totalprice, (SELECT coalesce(median(o_totalprice), 0.0) FROM e))')} AS o_totalprice
+FROM e"""
+
+
+def mode_sql(src: str, col: str) -> str:
+    return (f"coalesce((SELECT {col} FROM {src} WHERE {col} IS NOT NULL GROUP BY {col} "
+            f"ORDER BY count(*) DESC, {col} LIMIT 1), 'missing')")
+
+
+ORACLE["impute_mode"] = f"""
+WITH e AS ({FRAME_E_CLEAN})
+SELECT row_id, coalesce(o_orderpriority, {mode_sql('e', 'o_orderpriority')}) AS o_orderpriority,
+       coalesce(r_name, {mode_sql('e', 'r_name')}) AS r_name
+FROM e"""
+
+
+def split_ctes(src: str, seed: int, tag: str = "", test_size: float = 0.2) -> str:
+    """sp{tag}: rows of {src} (with row_id, y) plus split, by exact per-class quotas."""
+    u = hash_uniform_sql(seed, "split", "row_id")
+    return f"""
+cnt{tag} AS (SELECT y, count(*) AS n_c FROM {src} GROUP BY y),
+tot{tag} AS (SELECT sum(n_c) AS n, CAST(ceil({test_size!r} * sum(n_c)) AS BIGINT) AS n_test FROM cnt{tag}),
+q0{tag} AS (
+  SELECT c.y, c.n_c, t.n - t.n_test AS n_train,
+         CAST(((t.n - t.n_test) * c.n_c) // t.n AS BIGINT) AS base,
+         CAST(((t.n - t.n_test) * c.n_c) % t.n AS BIGINT) AS frac
+  FROM cnt{tag} c, tot{tag} t),
+q1{tag} AS (
+  SELECT *, row_number() OVER (ORDER BY frac DESC, n_c, y) AS r,
+         n_train - sum(base) OVER () AS rem FROM q0{tag}),
+quota{tag} AS (
+  SELECT y, n_c, base + CASE WHEN r <= rem THEN 1 ELSE 0 END AS q_train,
+         n_c - (base + CASE WHEN r <= rem THEN 1 ELSE 0 END) AS q_test FROM q1{tag}),
+rk{tag} AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.y ORDER BY {u}, s.row_id) AS rn FROM {src} s),
+sp{tag} AS (
+  SELECT rk{tag}.* EXCLUDE (rn), CASE WHEN rn <= q.q_test THEN 'test' ELSE 'train' END AS split
+  FROM rk{tag} JOIN quota{tag} q ON rk{tag}.y = q.y)"""
+
+
+ORACLE["split_quotas"] = f"""
+WITH c AS ({FRAME_C}),{split_ctes('c', 42)}
+SELECT CAST(y AS INTEGER) AS y, CAST(n_c AS BIGINT) AS n, CAST(q_train AS BIGINT) AS n_train,
+       CAST(q_test AS BIGINT) AS n_test FROM quota"""
+ORACLE["stratified_split"] = f"""
+WITH c AS (SELECT row_id, y FROM ({FRAME_C}) x),{split_ctes('c', 42)}
+SELECT row_id, y, split FROM sp"""
+ORACLE["stratified_split_docs"] = f"""
+WITH c AS (SELECT doc_id AS row_id, y FROM ({FRAME_B}) x),{split_ctes('c', 7)}
+SELECT row_id, y, split FROM sp"""
+
+CAT_C = ["o_orderpriority", "c_mktsegment", "r_name"]
+NUM_C = ["o_totalprice", "c_acctbal"]
+
+
+def encoder_cte(src: str, cats: list[str], tag: str = "") -> str:
+    vals = " UNION ".join(f"SELECT DISTINCT '{c}' AS feature, CAST({c} AS VARCHAR) AS value "
+                          f"FROM {src} WHERE {c} IS NOT NULL" for c in cats)
+    return f"""
+encv{tag} AS ({vals}),
+enc{tag} AS (SELECT feature, value,
+  CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS code FROM encv{tag})"""
+
+
+ORACLE["fit_encoder"] = f"""
+WITH c AS ({FRAME_C}),{split_ctes('c', 42)}, tr AS (SELECT * FROM sp WHERE split = 'train'),
+{encoder_cte('tr', CAT_C)}
+SELECT feature, value, code FROM enc"""
+ORACLE["encode_unseen"] = f"""
+WITH tr AS (SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT'),{encoder_cte('tr', ['o_orderpriority'])}
+SELECT o.o_orderkey, CAST(coalesce(e.code, 0) AS DOUBLE) AS code
+FROM orders o LEFT JOIN enc e ON e.feature = 'o_orderpriority' AND o.o_orderpriority = e.value"""
+
+
+def scaler_cte(src: str, nums: list[str], tag: str = "") -> str:
+    parts = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in nums)
+    return f"st{tag} AS (SELECT {parts} FROM {src})"
+
+
+def z_sql(c: str, tag: str = "") -> str:
+    return (f"coalesce(({c} - st{tag}.m_{c}) / (CASE WHEN coalesce(st{tag}.s_{c}, 0) = 0 THEN 1.0 "
+            f"ELSE st{tag}.s_{c} END), 0.0)")
+
+
+ORACLE["scale"] = f"""
+WITH c AS ({FRAME_C}),{split_ctes('c', 42)}, tr AS (SELECT * FROM sp WHERE split = 'train'),
+{scaler_cte('tr', NUM_C)}
+SELECT sp.row_id, sp.split, {R(z_sql('o_totalprice'))} AS o_totalprice, {R(z_sql('c_acctbal'))} AS c_acctbal
+FROM sp, st"""
+
+
+def prepare_sql(frame_sql: str, seed: int = 42, impute: bool = False) -> str:
+    """CTE chain ending in ``prep``: row_id, split, y, s_*, features (unrounded)."""
+    if impute:
+        fill = f"""
+raw AS ({frame_sql}),
+c AS (SELECT row_id, y,
+  coalesce(o_totalprice, (SELECT coalesce(median(o_totalprice), 0.0) FROM raw)) AS o_totalprice,
+  coalesce(c_acctbal, (SELECT coalesce(median(c_acctbal), 0.0) FROM raw)) AS c_acctbal,
+  coalesce(o_orderpriority, {mode_sql('raw', 'o_orderpriority')}) AS o_orderpriority,
+  coalesce(c_mktsegment, {mode_sql('raw', 'c_mktsegment')}) AS c_mktsegment,
+  coalesce(r_name, {mode_sql('raw', 'r_name')}) AS r_name
+FROM raw WHERE y IS NOT NULL)"""
+    else:
+        fill = f"c AS ({frame_sql})"
+    codes = ", ".join(f"CAST(coalesce(e_{c}.code, 0) AS DOUBLE) AS {c}" for c in CAT_C)
+    joins = " ".join(f"LEFT JOIN enc e_{c} ON e_{c}.feature = '{c}' AND sp.{c} = e_{c}.value"
+                     for c in CAT_C)
+    return f"""{fill},{split_ctes('c', seed)}, tr AS (SELECT * FROM sp WHERE split = 'train'),
+{encoder_cte('tr', CAT_C)},
+ec AS (SELECT sp.row_id, sp.split, sp.y, sp.o_totalprice, sp.c_acctbal, {codes} FROM sp {joins}),
+{scaler_cte("(SELECT * FROM ec WHERE split = 'train')", NUM_C)},
+prep AS (SELECT ec.row_id, ec.split, CAST(ec.y AS INTEGER) AS y,
+  ec.c_mktsegment AS s_c_mktsegment, ec.r_name AS s_r_name,
+  {z_sql('o_totalprice')} AS o_totalprice, {z_sql('c_acctbal')} AS c_acctbal,
+  ec.o_orderpriority, ec.c_mktsegment, ec.r_name FROM ec, st)"""
+
+
+PREP_COLS = ("row_id, split, y, " + ", ".join(
+    f"{R(c)} AS {c}" for c in ["s_c_mktsegment", "s_r_name", "o_totalprice", "c_acctbal",
+                               "o_orderpriority", "c_mktsegment", "r_name"]))
+
+ORACLE["prepare"] = f"WITH {prepare_sql(FRAME_C)}\nSELECT {PREP_COLS} FROM prep"
+ORACLE["prepare_dirty"] = f"WITH {prepare_sql(FRAME_E_CLEAN, impute=True)}\nSELECT {PREP_COLS} FROM prep"
+ORACLE["profile"] = f"""WITH {prepare_sql(FRAME_C)}
+SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(5 AS INTEGER) AS n_features,
+       {R('avg(y)')} AS pos_rate, CAST(0 AS BIGINT) AS n_null FROM prep GROUP BY split"""
+
+_ap_codes = ", ".join(f"CAST(coalesce(e_{c}.code, 0) AS DOUBLE) AS {c}" for c in CAT_C)
+_ap_joins = " ".join(f"LEFT JOIN enc e_{c} ON e_{c}.feature = '{c}' AND d.{c} = e_{c}.value"
+                     for c in CAT_C)
+ORACLE["apply_prep"] = f"""WITH {prepare_sql(FRAME_C)},
+d AS ({FRAME_E}),
+ad AS (SELECT d.row_id, coalesce(d.o_totalprice, 0.0) AS o_totalprice,
+              coalesce(d.c_acctbal, 0.0) AS c_acctbal, {_ap_codes} FROM d {_ap_joins})
+SELECT ad.row_id, {R(z_sql('o_totalprice'))} AS o_totalprice, {R(z_sql('c_acctbal'))} AS c_acctbal,
+       {R('ad.o_orderpriority')} AS o_orderpriority, {R('ad.c_mktsegment')} AS c_mktsegment,
+       {R('ad.r_name')} AS r_name
+FROM ad, st"""
