@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -113,19 +113,47 @@ def two_sided_p_sql(z: str) -> str:
 # ---------------------------------------------------------------------------
 # Normal quantile (AS241)
 # ---------------------------------------------------------------------------
-def norm_ppf(p: Column) -> Column:
-    """Inverse standard normal CDF for p in (0, 1) as a Column expression."""
-    p = p.cast("double")
-    q = p - 0.5
-    r_c = 0.180625 - q * q
-    central = q * _horner(r_c, AS241_A) / _horner(r_c, AS241_B)
-    r = F.sqrt(-F.log(F.when(q <= 0, p).otherwise(1.0 - p)))
+def _ppf_from(q: Column, r: Column) -> Column:
+    central = q * _horner(0.180625 - q * q, AS241_A) / _horner(0.180625 - q * q, AS241_B)
     near = _horner(r - 1.6, AS241_C) / _horner(r - 1.6, AS241_D)
     far = _horner(r - 5.0, AS241_E) / _horner(r - 5.0, AS241_F)
     tail = F.when(r <= 5.0, near).otherwise(far)
     return F.when(F.abs(q) <= 0.425, central).otherwise(F.when(q < 0, -tail).otherwise(tail))
 
 
+def _ppf_r(p: Column, q: Column) -> Column:
+    return F.sqrt(-F.log(F.when(q <= 0, p).otherwise(1.0 - p)))
+
+
+def norm_ppf(p: Column) -> Column:
+    """Inverse standard normal CDF for p in (0, 1) as a Column expression."""
+    p = p.cast("double")
+    q = p - 0.5
+    return _ppf_from(q, _ppf_r(p, q))
+
+
+def with_norm_ppf(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Add ``out = Phi^-1(src)`` for each {out: src}, in two projections so the
+    polynomials read plain columns (keeps generated code small for many columns)."""
+    keep = [c for c in df.columns]
+    st = df.select(*keep, *[(F.col(src).cast("double") - 0.5).alias(f"__q_{o}") for o, src in cols.items()])
+    st = st.select(*keep, *[F.col(f"__q_{o}") for o in cols],
+                   *[_ppf_r(F.col(src).cast("double"), F.col(f"__q_{o}")).alias(f"__r_{o}")
+                     for o, src in cols.items()])
+    return st.select(*keep, *[_ppf_from(F.col(f"__q_{o}"), F.col(f"__r_{o}")).alias(o) for o in cols])
+
+
+def with_norm_cdf(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Add ``out = Phi(src)`` for each {out: src}; |x| is its own column first."""
+    keep = [c for c in df.columns]
+    st = df.select(*keep, *[F.abs(F.col(src).cast("double")).alias(f"__a_{o}") for o, src in cols.items()])
+    out = []
+    for o, src in cols.items():
+        c = norm_lower_tail(F.col(f"__a_{o}"))
+        out.append(F.when(F.col(src) > 0, 1.0 - c).otherwise(c).alias(o))
+    return st.select(*keep, *out)
+
+
 def norm_ppf_sql(p: str) -> str:
     q = f"(({p}) - 0.5)"
     rc = f"(0.180625 - {q} * {q})"
@@ -156,10 +184,16 @@ def hash_uniform_sql(seed: int, salt: str, *keys: str) -> str:
             f"::BIGINT / {TWO_POW_48!r})")
 
 
+def hash_open_uniform(seed: int, salt: str, *keys: Column | str) -> Column:
+    """Hash uniform moved to the open interval (0, 1): (k + 0.5) / 2^48."""
+    return (hash_uniform(seed, salt, *keys) * TWO_POW_48 + 0.5) / TWO_POW_48
+
+
 def hash_normal(seed: int, salt: str, *keys: Column | str) -> Column:
-    """Standard normal draw: AS241 quantile of an open-interval hash uniform."""
-    u = (hash_uniform(seed, salt, *keys) * TWO_POW_48 + 0.5) / TWO_POW_48
-    return norm_ppf(u)
+    """Standard normal draw: AS241 quantile of an open-interval hash uniform.
+    (For many draws in one projection, select ``hash_open_uniform`` first and
+    apply ``norm_ppf`` to the resulting column.)"""
+    return norm_ppf(hash_open_uniform(seed, salt, *keys))
 
 
 def hash_normal_sql(seed: int, salt: str, *keys: str) -> str:

@@ -176,3 +176,77 @@ def sample_n(df: DataFrame, n: int, seed: int, id_col: str = "row_id",
         return u.orderBy("__u", id_col).limit(n).drop("__u")
     quotas = df.sparkSession.range(1).select(F.lit(1).alias("__s"), F.lit(n).cast("long").alias("quota"))
     return k_smallest(u.withColumn("__s", F.lit(1)), ["__s"], quotas, "__u", id_col).drop("__u", "__s")
+
+
+PREFIX_SPLITS = 256
+ASOF_BUCKET_ROWS = 1_000_000
+
+
+def prefix_counts(hist: DataFrame, part: Sequence[str], order: str, counts: Sequence[str],
+                  splits: int = PREFIX_SPLITS) -> DataFrame:
+    """Exact exclusive running sums ``<c>_before`` of ``counts`` along ``order``
+    within ``part`` (one row per distinct (part, order) expected).
+
+    Work is cut into value buckets per part (``percentile_approx`` split
+    points): bucket totals (a #parts x ``splits`` table) get their own running
+    sum, are broadcast back, and the window runs per (part, bucket) -- many
+    tasks instead of one task per part.
+    """
+    part = list(part)
+    probs = [i / splits for i in range(1, splits)]
+    sp = hist.groupBy(*part).agg(
+        F.percentile_approx(F.col(order).cast("double"), probs, 10 * splits).alias("__sp"))
+    b = hist.join(F.broadcast(sp), part).withColumn(
+        "__b", F.size(F.filter(F.array_distinct("__sp"), lambda s: s <= F.col(order).cast("double"))))
+    b = b.drop("__sp")
+    tot = b.groupBy(*part, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in counts])
+    wt = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*part, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wt), F.lit(0)).alias(f"__o_{c}")
+                                     for c in counts])
+    j = b.join(F.broadcast(tot), [*part, "__b"])
+    w = Window.partitionBy(*part, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = j.select(*hist.columns, *[
+        (F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"{c}_before")
+        for c in counts])
+    return out
+
+
+def asof_lookup(probes: DataFrame, table: DataFrame, part: Sequence[str], pos: str,
+                start: str, length: str, payload: Sequence[str], totals: DataFrame,
+                total: str = "total") -> DataFrame:
+    """For each probe (part, pos) return ``payload`` of the table entry with
+    start <= pos < start + length (entries tile [0, total) per part).
+
+    A sort-based as-of join, not a range join: positions are cut into equal-width
+    buckets per part; every entry is placed in the bucket of its start plus one
+    carry row per further bucket it spans; probes and entries are merged per
+    (part, bucket) with ``last(..., ignorenulls)``. Bucket count grows with the
+    data so a bucket holds about ASOF_BUCKET_ROWS rows, and a hot entry (one
+    value with a third of the mass) spreads over many buckets instead of
+    landing in one task.
+    """
+    part = list(part)
+    n_rows = probes.count() + table.count()
+    nb = max(1, -(-n_rows // ASOF_BUCKET_ROWS))
+    tt = F.broadcast(totals.select(*part, F.col(total).cast("long").alias("__tot")))
+    width = F.greatest(F.ceil(F.col("__tot") / F.lit(nb)), F.lit(1)).cast("long")
+    t = table.join(tt, part).withColumn("__w", width)
+    first = F.floor(F.col(start) / F.col("__w")).cast("long")
+    last = F.floor((F.col(start) + F.col(length) - 1) / F.col("__w")).cast("long")
+    t = t.withColumn("__bk", F.explode(F.sequence(first, F.greatest(first, last))))
+    pay = F.struct(*[F.col(c) for c in payload])
+    probe_t = F.struct(*[F.col(c) for c in probes.columns])
+    pq = probes.join(tt, part).withColumn("__w", width)
+    pside = pq.select(*part, F.floor(F.col(pos) / F.col("__w")).cast("long").alias("__bk"),
+                      F.col(pos).cast("long").alias("__pos"), F.lit(1).alias("__kind"),
+                      probe_t.alias("__probe"))
+    entries = t.select(*part, "__bk",
+                       F.greatest(F.col(start), F.col("__bk") * F.col("__w")).alias("__pos"),
+                       F.lit(0).alias("__kind"), pay.alias("__pay"))
+    u = (entries.withColumn("__probe", F.lit(None).cast(pside.schema["__probe"].dataType))
+         .unionByName(pside.withColumn("__pay", F.lit(None).cast(entries.schema["__pay"].dataType))))
+    w = Window.partitionBy(*part, "__bk").orderBy("__pos", "__kind").rowsBetween(
+        Window.unboundedPreceding, 0)
+    m = u.withColumn("__hit", F.last("__pay", ignorenulls=True).over(w)).where(F.col("__kind") == 1)
+    return m.select(*[F.col(f"__probe.{c}").alias(c) for c in probes.columns],
+                    *[F.col(f"__hit.{c}").alias(c) for c in payload])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType, StringType
 
 from ..functions.mathx import hash_uniform
+from ..session import cut_lineage
 from ..sources.tables import sized_broadcast
 from ..spec import MISSING_CATEGORY, TEST_SIZE, AuditSpec
 from .dist import exact_median, k_smallest_flag
@@ -301,7 +302,9 @@ def prepare(df: DataFrame, spec: AuditSpec, seed: int = 42,
     base = base.where(F.col("y").isNotNull())
     base = to_binary(base, "y")
     filled, fills = impute(base, numeric, categorical)
-    split = stratified_split(filled, "y", test_size, seed, "row_id")
+    # the split, encoder and scaler each run a few small jobs over this table
+    filled = cut_lineage(filled)
+    split = cut_lineage(stratified_split(filled, "y", test_size, seed, "row_id"))
     train = split.where(F.col("split") == "train")
     encoder = fit_encoder(train, categorical)
     enc = encode(split, encoder, categorical)
@@ -311,6 +314,7 @@ def prepare(df: DataFrame, spec: AuditSpec, seed: int = 42,
     out = scale(out, scaler)
     out = out.select("row_id", "split", "y", *[f"s_{c}" for c in spec.sensitive],
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
+    out = cut_lineage(out)
     state = PrepState(spec, numeric, categorical, feats, encoder, fills, scaler)
     return out, state
 

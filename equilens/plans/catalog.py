@@ -265,3 +265,140 @@ def q_apply_prep(spark, sf):
 def q_profile(spark, sf):
     out, st = _prepared_c(spark, sf)
     return rounded(px.profile(out, st.features))
+
+
+# ---------------------------------------------------------------------------
+# Stage 2: sampling, augmentation (G1-G19) and fidelity
+# ---------------------------------------------------------------------------
+from ..operators import augment as ax  # noqa: E402
+from ..operators import fidelity as fid  # noqa: E402
+from ..operators.dist import sample_n  # noqa: E402
+
+FEATS_C = frames.NUMERIC_C + frames.CATEGORICAL_C
+LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+VEC_FEATS = [f"f{i:02d}" for i in range(64)]
+
+
+def _train_prepared(spark, sf):
+    out, _ = _prepared_c(spark, sf)
+    return out.where(F.col("split") == "train").drop("split")
+
+
+@register("class_balance")
+def q_class_balance(spark, sf):
+    return ax.class_balance(_train_prepared(spark, sf))
+
+
+@register("sample_n")
+def q_sample_n(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_totalprice"]).withColumnRenamed(
+        "o_orderkey", "row_id")
+    return rounded(sample_n(o, 1000, 42))
+
+
+@register("stratified_sample")
+def q_stratified_sample(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_orderpriority"]).withColumnRenamed(
+        "o_orderkey", "row_id")
+    return ax.stratified_sample(o, 1500, "o_orderpriority", seed=0)
+
+
+@register("counterfactual")
+def q_counterfactual(spark, sf):
+    cf = ax.counterfactual(_train_prepared(spark, sf), frames.SENSITIVE_C, FEATS_C, n=1000, seed=42)
+    return rounded(cf.drop("synth_id"))
+
+
+@register("avg_rank")
+def q_avg_rank(spark, sf):
+    li = read_table(spark, sf, "lineitem", LINE_NUM)
+    return rounded(ax.avg_rank(li, LINE_NUM).drop("score"))
+
+
+@register("norm_scores")
+def q_norm_scores(spark, sf):
+    li = read_table(spark, sf, "lineitem", LINE_NUM)
+    return rounded(ax.avg_rank(li, LINE_NUM).select("feature", "value", "u", "score"))
+
+
+@register("copula_corr")
+def q_copula_corr(spark, sf):
+    return rounded(ax.copula_corr(_train_prepared(spark, sf), FEATS_C))
+
+
+@register("copula_sample_indep")
+def q_copula_sample_indep(spark, sf):
+    li = read_table(spark, sf, "lineitem", LINE_NUM)
+    n = li.count()
+    return rounded(ax.copula_sample(li, LINE_NUM, n, seed=42, L=None, label=None))
+
+
+@register("copula_sample")
+def q_copula_sample(spark, sf):
+    tr = _train_prepared(spark, sf)
+    s_cols = [f"s_{c}" for c in frames.SENSITIVE_C]
+    return rounded(ax.copula_fit_sample(tr, FEATS_C, tr.count(), 42, s_cols))
+
+
+def _vectors(spark, sf):
+    return frames.vectors(spark, sf)
+
+
+@register("knn_minority")
+def q_knn_minority(spark, sf):
+    v = _vectors(spark, sf).where(F.col("y") == 1)
+    return rounded(ax.knn(v, VEC_FEATS, 5))
+
+
+@register("smote_vectors")
+def q_smote_vectors(spark, sf):
+    return rounded(ax.smote(_vectors(spark, sf), VEC_FEATS, ["s_parity"], "y", seed=42))
+
+
+@register("smote_orders")
+def q_smote_orders(spark, sf):
+    tr = _train_prepared(spark, sf)
+    return rounded(ax.smote(tr, FEATS_C, [f"s_{c}" for c in frames.SENSITIVE_C], "y", seed=42))
+
+
+@register("resample_sensitive")
+def q_resample_sensitive(spark, sf):
+    tr = _train_prepared(spark, sf)
+    probes = spark.range(tr.count()).withColumnRenamed("id", "synth_id")
+    return rounded(ax.resample_sensitive(tr, [f"s_{c}" for c in frames.SENSITIVE_C], probes,
+                                         42, "resample"))
+
+
+@register("augment_full")
+def q_augment_full(spark, sf):
+    tr = _train_prepared(spark, sf)
+    return rounded(ax.augment(tr, FEATS_C, frames.SENSITIVE_C, "full", seed=42))
+
+
+@register("ks_two_sample")
+def q_ks_two_sample(spark, sf):
+    li = read_table(spark, sf, "lineitem", LINE_NUM + ["l_returnflag"])
+    return rounded(fid.ks_two_sample(li, LINE_NUM, F.col("l_returnflag") == "R"))
+
+
+@register("chi2_two_sample")
+def q_chi2_two_sample(spark, sf):
+    li = read_table(spark, sf, "lineitem", ["l_linestatus", "l_returnflag", "l_discount"])
+    return rounded(fid.chi2_two_sample(li, ["l_linestatus", "l_returnflag"],
+                                       F.col("l_discount") >= 0.05))
+
+
+@register("fidelity_docs")
+def q_fidelity_docs(spark, sf):
+    d = read_table(spark, sf, "documents", ["doc_id", "n_chars", "lang", "source"])
+    lab = read_table(spark, sf, "labels", ["doc_id"]).withColumn("__lab", F.lit(1))
+    j = d.join(lab, "doc_id", "left")
+    return rounded(fid.fidelity(j, ["n_chars"], ["lang", "source"], F.col("__lab").isNotNull()))
+
+
+@register("fidelity_cf")
+def q_fidelity_cf(spark, sf):
+    tr = _train_prepared(spark, sf)
+    real = tr.select(*FEATS_C, F.lit("real").alias("origin"))
+    cf = ax.counterfactual(tr, frames.SENSITIVE_C, FEATS_C, n=1000, seed=42).select(*FEATS_C, "origin")
+    return rounded(fid.fidelity(real.unionByName(cf), frames.NUMERIC_C, frames.CATEGORICAL_C))

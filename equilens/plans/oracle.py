@@ -229,7 +229,7 @@ def split_ctes(src: str, seed: int, tag: str = "", test_size: float = 0.2) -> st
     u = hash_uniform_sql(seed, "split", "row_id")
     return f"""
 cnt{tag} AS (SELECT y, count(*) AS n_c FROM {src} GROUP BY y),
-tot{tag} AS (SELECT sum(n_c) AS n, CAST(ceil({test_size!r} * sum(n_c)) AS BIGINT) AS n_test FROM cnt{tag}),
+tot{tag} AS (SELECT sum(n_c) AS n, CAST(ceil(CAST({test_size!r} AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_test FROM cnt{tag}),
 q0{tag} AS (
   SELECT c.y, c.n_c, t.n - t.n_test AS n_train,
          CAST(((t.n - t.n_test) * c.n_c) // t.n AS BIGINT) AS base,
@@ -347,3 +347,227 @@ SELECT ad.row_id, {R(z_sql('o_totalprice'))} AS o_totalprice, {R(z_sql('c_acctba
        {R('ad.o_orderpriority')} AS o_orderpriority, {R('ad.c_mktsegment')} AS c_mktsegment,
        {R('ad.r_name')} AS r_name
 FROM ad, st"""
+
+
+# ---------------------------------------------------------------------------
+# Stage 2: sampling, augmentation, fidelity
+# ---------------------------------------------------------------------------
+from ..functions.mathx import norm_cdf_sql, norm_ppf_sql  # noqa: E402
+
+FEATS_C = NUM_C + CAT_C
+S_C = ["s_c_mktsegment", "s_r_name"]
+LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+PREP_TRAIN = prepare_sql(FRAME_C) + ",\ntrn AS (SELECT * EXCLUDE (split) FROM prep WHERE split = 'train')"
+
+
+def D(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+ORACLE["class_balance"] = f"""WITH {PREP_TRAIN},
+cc AS (SELECT y, count(*) AS n FROM trn GROUP BY y),
+mm AS (SELECT min(n) AS mn, max(n) AS mx FROM cc),
+mino AS (SELECT cc.y FROM cc, mm WHERE cc.n = mm.mn ORDER BY cc.y LIMIT 1)
+SELECT CAST(cc.y AS INTEGER) AS y, CAST(cc.n AS BIGINT) AS n, cc.y = (SELECT y FROM mino) AS is_minority,
+       CAST(greatest(1, least(5, mm.mn - 1)) AS INTEGER) AS k,
+       CAST(CASE WHEN mm.mn < 2 OR mm.mx = mm.mn THEN 0 ELSE mm.mx - mm.mn END AS BIGINT) AS n_extra,
+       (mm.mn < 2 OR mm.mx = mm.mn) AS skip
+FROM cc, mm"""
+
+ORACLE["sample_n"] = f"""
+SELECT o_orderkey AS row_id, {R('o_totalprice')} AS o_totalprice FROM orders
+ORDER BY {hash_uniform_sql(42, 'sample', 'o_orderkey')}, o_orderkey LIMIT 1000"""
+
+ORACLE["stratified_sample"] = f"""
+WITH s AS (SELECT o_orderpriority, count(*) AS cnt FROM orders GROUP BY 1),
+q AS (SELECT o_orderpriority, CAST(least(cnt, greatest(1, round_even(
+        {D('cnt')} / {D('(SELECT count(*) FROM orders)')} * CAST(1500 AS DOUBLE), 0))) AS BIGINT) AS quota FROM s),
+r AS (SELECT o.o_orderkey AS row_id, o.o_orderpriority,
+        row_number() OVER (PARTITION BY o.o_orderpriority
+                           ORDER BY {hash_uniform_sql(0, 'strat', 'o.o_orderkey')}, o.o_orderkey) AS rn
+      FROM orders o)
+SELECT r.row_id, r.o_orderpriority FROM r JOIN q USING (o_orderpriority) WHERE r.rn <= q.quota"""
+
+
+def _cf_union(src: str) -> str:
+    feats = ", ".join(f"b.{c}" for c in FEATS_C)
+    parts = [f"SELECT b.row_id AS base_id, CAST(NULL AS VARCHAR) AS cf_attr, CAST(NULL AS DOUBLE) AS cf_value, "
+             f"b.y, b.s_c_mktsegment, b.s_r_name, {feats} FROM {src} b"]
+    for c in ["c_mktsegment", "r_name"]:
+        sv = ", ".join("d.s" if s == f"s_{c}" else f"b.{s}" for s in S_C)
+        fv = ", ".join("d.f" if f == c else f"b.{f}" for f in FEATS_C)
+        parts.append(f"SELECT b.row_id, '{c}', d.s, b.y, {sv}, {fv} FROM {src} b, "
+                     f"(SELECT DISTINCT s_{c} AS s, {c} AS f FROM trn) d")
+    return "\nUNION ALL\n".join(parts)
+
+
+CF_CTES = f"""{PREP_TRAIN},
+cfbase AS (SELECT * FROM trn ORDER BY {hash_uniform_sql(42, 'cf', 'row_id')}, row_id LIMIT 1000),
+cfv AS ({_cf_union('cfbase')})"""
+
+ORACLE["counterfactual"] = f"""WITH {CF_CTES}
+SELECT base_id, cf_attr, {R('cf_value')} AS cf_value, y, {', '.join(f"{R(c)} AS {c}" for c in S_C + FEATS_C)},
+       'cf' AS origin FROM cfv"""
+
+
+def long_sql(src: str, cols: list[str], extra: str = "") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {extra}'{c}' AS feature, CAST({c} AS DOUBLE) + 0.0 AS value FROM {src}" for c in cols)
+
+
+RANK_CTES = f"""
+lg AS ({long_sql('lineitem', LINE_NUM)}),
+hh AS (SELECT feature, value, count(*) AS cnt FROM lg GROUP BY feature, value),
+cu AS (SELECT *, CAST(sum(cnt) OVER (PARTITION BY feature ORDER BY value) - cnt AS BIGINT) AS cum_before,
+              sum(cnt) OVER (PARTITION BY feature) AS nn FROM hh),
+ar AS (SELECT *, cum_before + (cnt + 1) / 2.0 AS avg_rank FROM cu),
+au AS (SELECT *, least(greatest(avg_rank / (nn + 1), 1e-6), 1 - 1e-6) AS u FROM ar)"""
+
+ORACLE["avg_rank"] = f"""WITH {RANK_CTES}
+SELECT feature, {R('value')} AS value, CAST(cnt AS BIGINT) AS cnt, cum_before,
+       {R('avg_rank')} AS avg_rank, {R('u')} AS u FROM au"""
+ORACLE["norm_scores"] = f"""WITH {RANK_CTES}
+SELECT feature, {R('value')} AS value, {R('u')} AS u, {R(norm_ppf_sql('u'))} AS score FROM au"""
+
+_pairs = [(a, b) for i, a in enumerate(FEATS_C) for b in FEATS_C[i + 1:]]
+ORACLE["copula_corr"] = f"""WITH {PREP_TRAIN},
+lg AS ({long_sql('trn', FEATS_C, 'row_id, ')}),
+hh AS (SELECT feature, value, count(*) AS cnt FROM lg GROUP BY feature, value),
+cu AS (SELECT *, sum(cnt) OVER (PARTITION BY feature ORDER BY value) - cnt AS cum_before,
+              sum(cnt) OVER (PARTITION BY feature) AS nn FROM hh),
+au AS (SELECT feature, value,
+        least(greatest((cum_before + (cnt + 1) / 2.0) / (nn + 1), 1e-6), 1 - 1e-6) AS u FROM cu),
+sc AS (SELECT feature, value, {norm_ppf_sql('u')} AS score FROM au),
+rs AS (SELECT lg.row_id, lg.feature, sc.score FROM lg JOIN sc USING (feature, value)),
+wd AS (SELECT row_id, {', '.join(f"max(CASE WHEN feature = '{c}' THEN score END) AS {c}" for c in FEATS_C)}
+       FROM rs GROUP BY row_id)
+{' UNION ALL '.join(f"SELECT '{a}' AS fi, '{b}' AS fj, {R(f'corr({a}, {b})')} AS corr FROM wd" for a, b in _pairs)}"""
+
+
+def _copula_indep() -> str:
+    n = "(SELECT count(*) FROM lineitem)"
+    ctes = [f"sid AS (SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS synth_id FROM lineitem)"]
+    sel, joins = [], []
+    for j, c in enumerate(LINE_NUM):
+        u = f"(({hash_uniform_sql(42, f'copula_z{j}', 'synth_id')} * {TWO_POW_48_SQL} + 0.5) / {TWO_POW_48_SQL})"
+        ctes.append(f"u{j} AS (SELECT synth_id, {u} AS u FROM sid)")
+        ctes.append(f"z{j} AS (SELECT synth_id, {norm_ppf_sql('u')} AS z FROM u{j})")
+        ctes.append(f"p{j} AS (SELECT synth_id, {norm_cdf_sql('1.0 * z')} AS uu FROM z{j})")
+        ctes.append(f"i{j} AS (SELECT synth_id, CAST(least(greatest(floor(uu * {n}), 0), {n} - 1) AS BIGINT) AS pos "
+                    f"FROM p{j})")
+        ctes.append(f"o{j} AS (SELECT CAST({c} AS DOUBLE) + 0.0 AS value, "
+                    f"row_number() OVER (ORDER BY {c}) - 1 AS pos FROM lineitem)")
+        joins.append(f"JOIN i{j} ON i{j}.synth_id = sid.synth_id JOIN o{j} ON o{j}.pos = i{j}.pos")
+        sel.append(f"{R(f'o{j}.value')} AS {c}")
+    return ("WITH " + ",\n".join(ctes) + f"\nSELECT sid.synth_id, {', '.join(sel)}, 'copula' AS origin "
+            f"FROM sid {' '.join(joins)}")
+
+
+TWO_POW_48_SQL = "281474976710656.0"
+ORACLE["copula_sample_indep"] = _copula_indep()
+
+
+def _dist_sql(a: str, b: str) -> str:
+    return f"list_distance(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+KNN_CTES = f"""
+mv AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE label = 0),
+pr AS (SELECT a.id AS base_id, b.id AS nn_id, {_dist_sql('a.e', 'b.e')} AS dist FROM mv a, mv b WHERE a.id <> b.id),
+kr AS (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY dist, nn_id) AS rank FROM pr),
+knn AS (SELECT base_id, CAST(rank AS INTEGER) AS rank, nn_id, dist FROM kr
+        WHERE rank <= (SELECT greatest(1, least(5, count(*) - 1)) FROM mv))"""
+
+ORACLE["knn_minority"] = f"WITH {KNN_CTES}\nSELECT base_id, rank, nn_id, {R('dist')} AS dist FROM knn"
+
+
+def _smote_vectors() -> str:
+    m = "(SELECT count(*) FROM mv)"
+    k = f"(SELECT greatest(1, least(5, count(*) - 1)) FROM mv)"
+    extra = "(SELECT count(*) FILTER (WHERE label <> 0) - count(*) FILTER (WHERE label = 0) FROM embeddings)"
+    xs = ", ".join(
+        f"{R(f'CAST(b.e[{i + 1}] AS DOUBLE) + j.gap * (CAST(n.e[{i + 1}] AS DOUBLE) - CAST(b.e[{i + 1}] AS DOUBLE))')}"
+        f" AS f{i:02d}" for i in range(64))
+    return f"""WITH {KNN_CTES},
+di AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS base_idx FROM mv),
+tt AS (SELECT CAST(unnest(range(CAST({extra} AS BIGINT))) AS BIGINT) AS synth_id),
+dr AS (SELECT synth_id, CAST(floor({hash_uniform_sql(42, 'smote_t', 'synth_id')} * {m} * {k}) AS BIGINT) AS r,
+              {hash_uniform_sql(42, 'smote_gap', 'synth_id')} AS gap FROM tt),
+d2 AS (SELECT synth_id, gap, r // {k} AS base_idx, CAST(r % {k} + 1 AS INTEGER) AS rank FROM dr),
+j AS (SELECT d2.synth_id, d2.gap, di.id AS base_id, kn.nn_id FROM d2 JOIN di USING (base_idx)
+      JOIN knn kn ON kn.base_id = di.id AND kn.rank = d2.rank),
+sh AS (SELECT label % 2 AS s_parity, count(*) AS cnt FROM embeddings GROUP BY 1),
+sc AS (SELECT s_parity, cnt, sum(cnt) OVER (ORDER BY s_parity) - cnt AS cb FROM sh),
+sp AS (SELECT tt.synth_id, sc.s_parity FROM tt JOIN sc ON
+       floor({hash_uniform_sql(42, 'smote_s', 'tt.synth_id')} * (SELECT count(*) FROM embeddings)) >= sc.cb
+   AND floor({hash_uniform_sql(42, 'smote_s', 'tt.synth_id')} * (SELECT count(*) FROM embeddings)) < sc.cb + sc.cnt)
+SELECT j.synth_id, j.base_id, j.nn_id, {R('j.gap')} AS gap, CAST(1 AS INTEGER) AS y, {xs},
+       CAST(sp.s_parity AS INTEGER) AS s_parity, 'smote' AS origin
+FROM j JOIN mv b ON b.id = j.base_id JOIN mv n ON n.id = j.nn_id JOIN sp ON sp.synth_id = j.synth_id"""
+
+
+ORACLE["smote_vectors"] = _smote_vectors()
+
+ORACLE["resample_sensitive"] = f"""WITH {PREP_TRAIN},
+sh AS (SELECT s_c_mktsegment, s_r_name, count(*) AS cnt FROM trn GROUP BY 1, 2),
+sc AS (SELECT *, sum(cnt) OVER (ORDER BY s_c_mktsegment, s_r_name) - cnt AS cb FROM sh),
+tt AS (SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS synth_id FROM trn),
+ix AS (SELECT synth_id, floor({hash_uniform_sql(42, 'resample', 'synth_id')} * (SELECT count(*) FROM trn)) AS idx FROM tt)
+SELECT ix.synth_id, {R('sc.s_c_mktsegment')} AS s_c_mktsegment, {R('sc.s_r_name')} AS s_r_name
+FROM ix JOIN sc ON ix.idx >= sc.cb AND ix.idx < sc.cb + sc.cnt"""
+
+
+def ks_sql(long_src: str) -> str:
+    """long_src has (s int 0/1, feature, value) -> (feature, ks)."""
+    return f"""
+kh AS (SELECT feature, value, sum(1 - s) AS cr, sum(s) AS cs FROM {long_src} WHERE value IS NOT NULL
+       GROUP BY feature, value),
+kc AS (SELECT *, sum(cr) OVER w AS ccr, sum(cs) OVER w AS ccs,
+              sum(cr) OVER (PARTITION BY feature) AS nr, sum(cs) OVER (PARTITION BY feature) AS ns
+       FROM kh WINDOW w AS (PARTITION BY feature ORDER BY value)),
+ks AS (SELECT feature, max(abs({D('ccr')} / {D('nr')} - {D('ccs')} / {D('ns')})) AS ks FROM kc GROUP BY feature)"""
+
+
+def chi_sql(long_src: str) -> str:
+    """long_src has (s, feature, value string) -> chi(feature, n_categories, chi2)."""
+    def term(o: str, rs: str) -> str:
+        e = f"({rs} * (o_r + o_s) / (R_r + R_s))"
+        dev = f"abs({o} - {e})"
+        dev = f"(CASE WHEN C = 2 THEN {dev} - least(CAST(0.5 AS DOUBLE), {dev}) ELSE {dev} END)"
+        return f"({dev} * {dev} / {e})"
+    return f"""
+ce AS (SELECT feature, value, {D('sum(1 - s)')} + CAST(0.001 AS DOUBLE) AS o_r,
+              {D('sum(s)')} + CAST(0.001 AS DOUBLE) AS o_s FROM {long_src} GROUP BY feature, value),
+mg AS (SELECT feature, sum(o_r) AS R_r, sum(o_s) AS R_s, count(*) AS C FROM ce GROUP BY feature),
+ct AS (SELECT ce.feature, mg.C, {term('o_r', 'R_r')} + {term('o_s', 'R_s')} AS t FROM ce JOIN mg USING (feature)),
+chi AS (SELECT feature, CAST(C AS BIGINT) AS n_categories,
+               CASE WHEN C <= 1 THEN 0.0 ELSE sum(t) END AS chi2 FROM ct GROUP BY feature, C)"""
+
+
+_li_ks = "\nUNION ALL\n".join(
+    f"SELECT CAST(l_returnflag = 'R' AS INTEGER) AS s, '{c}' AS feature, CAST({c} AS DOUBLE) + 0.0 AS value "
+    f"FROM lineitem" for c in LINE_NUM)
+ORACLE["ks_two_sample"] = f"WITH lgk AS ({_li_ks}),{ks_sql('lgk')}\nSELECT feature, {R('ks')} AS ks FROM ks"
+
+_li_chi = "\nUNION ALL\n".join(
+    f"SELECT CAST(l_discount >= 0.05 AS INTEGER) AS s, '{c}' AS feature, CAST({c} AS VARCHAR) AS value "
+    f"FROM lineitem" for c in ["l_linestatus", "l_returnflag"])
+ORACLE["chi2_two_sample"] = (f"WITH lgc AS ({_li_chi}),{chi_sql('lgc')}\n"
+                             f"SELECT feature, n_categories, {R('chi2')} AS chi2 FROM chi")
+
+ORACLE["fidelity_docs"] = f"""WITH dd AS (
+  SELECT d.*, CAST(l.doc_id IS NOT NULL AS INTEGER) AS s FROM documents d LEFT JOIN labels l USING (doc_id)),
+lgk AS (SELECT s, 'n_chars' AS feature, CAST(n_chars AS DOUBLE) + 0.0 AS value FROM dd),
+lgc AS (SELECT s, 'lang' AS feature, CAST(lang AS VARCHAR) AS value FROM dd
+        UNION ALL SELECT s, 'source', CAST(source AS VARCHAR) FROM dd),{ks_sql('lgk')},{chi_sql('lgc')}
+SELECT {R('(SELECT avg(ks) FROM ks)')} AS ks_mean, {R('(SELECT avg(chi2) FROM chi)')} AS chi_mean,
+       CAST((SELECT sum(s) FROM dd) AS BIGINT) AS n_synth"""
+
+_cf_all = f"""SELECT 0 AS s, {', '.join(FEATS_C)} FROM trn UNION ALL SELECT 1 AS s, {', '.join(FEATS_C)} FROM cfv"""
+ORACLE["fidelity_cf"] = f"""WITH {CF_CTES},
+ff AS ({_cf_all}),
+lgk AS ({' UNION ALL '.join(f"SELECT s, '{c}' AS feature, {c} + 0.0 AS value FROM ff" for c in NUM_C)}),
+lgc AS ({' UNION ALL '.join(f"SELECT s, '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM ff" for c in CAT_C)}),
+{ks_sql('lgk')},{chi_sql('lgc')}
+SELECT {R('(SELECT avg(ks) FROM ks)')} AS ks_mean, {R('(SELECT avg(chi2) FROM chi)')} AS chi_mean,
+       CAST((SELECT sum(s) FROM ff) AS BIGINT) AS n_synth"""
