@@ -99,16 +99,49 @@ def exact_kth(df: DataFrame, col: str, ks: Sequence[int], n: int | None = None,
 
 def exact_median(df: DataFrame, col: str, empty: float | None = None) -> float | None:
     """Exact median (mean of the two middle values for even counts)."""
-    x = df.select(F.col(col).cast("double").alias("x")).where(
-        F.col("x").isNotNull() & ~F.isnan("x"))
-    n = x.count()
-    if n == 0:
-        return empty
-    a, b = (n - 1) // 2, n // 2
-    if a == b:
-        return exact_kth(x, "x", [a], n=n)[0]
-    va, vb = exact_kth(x, "x", [a, b], n=n)
-    return (va + vb) / 2.0
+    m = exact_medians(df, [col])[col]
+    return empty if m is None else m
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str], local_max: int = LOCAL_MAX
+                  ) -> dict[str, float | None]:
+    """Exact medians of several columns. One pass counts every column; columns
+    whose non-null count fits ``local_max`` share one histogram job (bounded
+    rows to the driver); larger ones use ``exact_kth`` range narrowing."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    xs = {c: F.col(c).cast("double") for c in cols}
+    row = df.agg(*[F.count(F.when(~F.isnan(x), 1)).alias(c) for c, x in xs.items()]).first()
+    n = {c: int(row[c]) for c in cols}
+    out: dict[str, float | None] = {c: None for c in cols if n[c] == 0}
+    small = [c for c in cols if 0 < n[c] <= local_max]
+    if small and sum(n[c] for c in small) <= 4 * local_max:
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("feature"), xs[c].alias("x")) for c in small])))
+        hist = (long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+                .groupBy("feature", "x").count().collect())
+        by: dict[str, list] = {c: [] for c in small}
+        for r in hist:
+            by[r["feature"]].append((r["x"], r["count"]))
+        for c in small:
+            vals = sorted(by[c])
+            a, b = (n[c] - 1) // 2, n[c] // 2
+            got, cum = {}, 0
+            for v, cnt in vals:
+                for k in (a, b):
+                    if k not in got and cum <= k < cum + cnt:
+                        got[k] = v
+                cum += cnt
+            out[c] = (got[a] + got[b]) / 2.0
+    for c in cols:
+        if c in out:
+            continue
+        x = df.select(xs[c].alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+        a, b = (n[c] - 1) // 2, n[c] // 2
+        ks = exact_kth(x, "x", sorted({a, b}), n=n[c], local_max=local_max)
+        out[c] = (ks[0] + ks[-1]) / 2.0
+    return out
 
 
 def k_smallest_flag(df: DataFrame, strata: Sequence[str], quotas: DataFrame, u: str = "u",

@@ -20,7 +20,7 @@ from ..functions.mathx import hash_uniform
 from ..session import cut_lineage
 from ..sources.tables import sized_broadcast
 from ..spec import MISSING_CATEGORY, TEST_SIZE, AuditSpec
-from .dist import exact_median, k_smallest_flag
+from .dist import exact_median, exact_medians, k_smallest_flag
 
 ENCODER_MAX_ROWS = 2_000_000
 
@@ -145,12 +145,9 @@ def fit_modes(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
 
 def fit_medians(df: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
     """Exact median per numeric column (0.0 when all NULL); distributed selection."""
-    out = {}
-    for c in numeric:
-        x = df.select(F.col(c).try_cast("double").alias(c))
-        med = exact_median(x, c)
-        out[c] = 0.0 if med is None or (isinstance(med, float) and math.isnan(med)) else med
-    return out
+    x = df.select(*[F.col(c).try_cast("double").alias(c) for c in numeric])
+    meds = exact_medians(x, numeric)
+    return {c: 0.0 if m is None or math.isnan(m) else m for c, m in meds.items()}
 
 
 def impute(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]

@@ -402,3 +402,181 @@ def q_fidelity_cf(spark, sf):
     real = tr.select(*FEATS_C, F.lit("real").alias("origin"))
     cf = ax.counterfactual(tr, frames.SENSITIVE_C, FEATS_C, n=1000, seed=42).select(*FEATS_C, "origin")
     return rounded(fid.fidelity(real.unionByName(cf), frames.NUMERIC_C, frames.CATEGORICAL_C))
+
+
+# ---------------------------------------------------------------------------
+# Stage 3-6: scoring, metrics, attributions, audit records (M, X, A)
+# ---------------------------------------------------------------------------
+from ..operators import explain as xx  # noqa: E402
+from ..operators import model as mx  # noqa: E402
+from ..operators import report as rp  # noqa: E402
+
+# The rule-based risk model for frame C (weights on raw columns)
+RISK_OFFSET = 1.2
+RISK_OFFSET_AFTER = 0.8
+
+
+def risk_terms():
+    return [F.col("o_totalprice") / 150000.0, F.col("c_acctbal") / 5000.0,
+            F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 0.4).otherwise(0.0),
+            F.when(F.col("c_mktsegment") == "AUTOMOBILE", 0.3).otherwise(0.0),
+            F.when(F.col("r_name") == "EUROPE", -0.25).otherwise(0.0)]
+
+
+def _risk_scored(spark, sf, offset=RISK_OFFSET):
+    c = frames.orders_tab(spark, sf)
+    p = mx.logistic_score(risk_terms(), offset)
+    return c.select("row_id", "y", "c_mktsegment", "r_name", p.alias("proba")).withColumn(
+        "pred", mx.threshold(F.col("proba")))
+
+
+@register("logistic_score")
+def q_logistic_score(spark, sf):
+    return rounded(_risk_scored(spark, sf).select("row_id", "proba", "pred"))
+
+
+@register("classification_metrics")
+def q_classification_metrics(spark, sf):
+    return rounded(mx.classification_metrics(_risk_scored(spark, sf), by=["c_mktsegment"]))
+
+
+@register("fairness_orders_tab")
+def q_fairness_orders_tab(spark, sf):
+    return rounded(fx.fairness(_risk_scored(spark, sf), frames.SENSITIVE_C, "orders_tab"))
+
+
+@register("compare_fairness")
+def q_compare_fairness(spark, sf):
+    b = fx.fairness(_risk_scored(spark, sf), frames.SENSITIVE_C, "orders_tab")
+    a = fx.fairness(_risk_scored(spark, sf, RISK_OFFSET_AFTER), frames.SENSITIVE_C, "orders_tab")
+    return rounded(fx.compare_fairness(b, a))
+
+
+# Linear attribution weights on the prepared features of frame C
+LINEAR_BETA = {"o_totalprice": 0.9, "c_acctbal": 0.35, "o_orderpriority": -0.2,
+               "c_mktsegment": 0.15, "r_name": -0.1}
+
+
+def _linear_attr(spark, sf, seed=42):
+    out, _ = _prepared_c(spark, sf)
+    train = out.where(F.col("split") == "train")
+    test = out.where(F.col("split") == "test")
+    means = xx.background_means(xx.explain_sample(train, 200, seed, "background"), FEATS_C)
+    return xx.linear_shap(test, LINEAR_BETA, means, ["s_c_mktsegment"])
+
+
+@register("linear_shap")
+def q_linear_shap(spark, sf):
+    return rounded(_linear_attr(spark, sf))
+
+
+@register("importance")
+def q_importance(spark, sf):
+    return rounded(xx.importance(_linear_attr(spark, sf)))
+
+
+@register("attribution_disparity")
+def q_attribution_disparity(spark, sf):
+    return rounded(xx.attribution_disparity(_linear_attr(spark, sf), "s_c_mktsegment"))
+
+
+@register("flag_features")
+def q_flag_features(spark, sf):
+    return rounded(xx.flag_features(_linear_attr(spark, sf), "s_c_mktsegment"))
+
+
+@register("top_features")
+def q_top_features(spark, sf):
+    return xx.top_features(xx.importance(_linear_attr(spark, sf)), FEATS_C, 3)
+
+
+CONSISTENCY_SEEDS = (42, 43, 44, 45, 46)
+
+
+@register("topk_consistency")
+def q_topk_consistency(spark, sf):
+    out, _ = _prepared_c(spark, sf)
+    train = out.where(F.col("split") == "train")
+    test = out.where(F.col("split") == "test")
+    imps = None
+    for s in CONSISTENCY_SEEDS:
+        # the explained rows change with the seed; the background stays fixed
+        ex = xx.explain_sample(test, 200, s, "explain")
+        means = xx.background_means(xx.explain_sample(train, 200, 42, "background"), FEATS_C)
+        imp = xx.importance(xx.linear_shap(ex, LINEAR_BETA, means)).withColumn("run_id", F.lit(s))
+        imps = imp if imps is None else imps.unionByName(imp)
+    return rounded(xx.topk_consistency(imps, FEATS_C, 2))
+
+
+def _rule_accuracy(df, name):
+    m = mx.classification_metrics(df)
+    return m.select(F.lit(name).alias("dataset"), "accuracy")
+
+
+@register("audit_record")
+def q_audit_record(spark, sf):
+    fa = _fair_a(spark, sf)
+    fb = _fair_b(spark, sf)
+    acc = _rule_accuracy(frames.orders_lines_rows(spark, sf), "orders_lines").unionByName(
+        _rule_accuracy(frames.documents_frame(spark, sf), "documents"))
+    rec = rp.audit_record(fa.unionByName(fb), acc, None, frames.SENSITIVE_A + frames.SENSITIVE_B)
+    return rounded(rec.select("dataset", "accuracy", "overall_verdict", "plain_summary",
+                              F.size("fairness").cast("int").alias("n_checks")))
+
+
+@register("audit_markdown")
+def q_audit_markdown(spark, sf):
+    fa, fb = _fair_a(spark, sf), _fair_b(spark, sf)
+    acc = _rule_accuracy(frames.orders_lines_rows(spark, sf), "orders_lines").unionByName(
+        _rule_accuracy(frames.documents_frame(spark, sf), "documents"))
+    rec = rp.audit_record(fa.unionByName(fb), acc, None, frames.SENSITIVE_A + frames.SENSITIVE_B)
+    return rp.audit_markdown(rec)
+
+
+# --- model-based (Spark ML) operators: rows-only checks -------------------
+def _ml_split(spark, sf):
+    out, st = _prepared_c(spark, sf)
+    return (out.where(F.col("split") == "train").drop("split"),
+            out.where(F.col("split") == "test").drop("split"))
+
+
+@register("train_eval_lr")
+def q_train_eval_lr(spark, sf):
+    tr, te = _ml_split(spark, sf)
+    return rounded(mx.train_eval(tr, te, FEATS_C, "lr").metrics)
+
+
+@register("train_eval_rf")
+def q_train_eval_rf(spark, sf):
+    tr, te = _ml_split(spark, sf)
+    return rounded(mx.train_eval(tr, te, FEATS_C, "rf").metrics)
+
+
+@register("ablate")
+def q_ablate(spark, sf):
+    tr, te = _ml_split(spark, sf)
+    return rounded(mx.ablate(tr, te, FEATS_C, frames.SENSITIVE_C, model_kind="lr"))
+
+
+@register("kernel_shap")
+def q_kernel_shap(spark, sf):
+    tr, te = _ml_split(spark, sf)
+    r = mx.train_eval(tr, te, FEATS_C, "rf")
+    means = xx.background_means(xx.explain_sample(tr, 200, 42, "background"), FEATS_C)
+    ex = xx.explain_sample(te, 200, 42, "explain")
+    return rounded(xx.sampling_shap(r.model, ex, FEATS_C, means, 10, 42, ["s_c_mktsegment"]))
+
+
+@register("lime")
+def q_lime(spark, sf):
+    tr, te = _ml_split(spark, sf)
+    r = mx.train_eval(tr, te, FEATS_C, "lr")
+    ex = xx.explain_sample(te, 25, 42, "lime")
+    return rounded(xx.lime(r.model, ex, tr, FEATS_C, 200, 42))
+
+
+@register("audit_one_orders")
+def q_audit_one_orders(spark, sf):
+    from .audit import audit_one
+    return rounded(rp.flatten_runs(audit_one(frames.orders_tab(spark, sf), SPEC_C, "rf", 42).run)
+                   .drop("runtime_sec"))

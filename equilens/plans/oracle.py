@@ -571,3 +571,136 @@ lgc AS ({' UNION ALL '.join(f"SELECT s, '{c}' AS feature, CAST({c} AS VARCHAR) A
 {ks_sql('lgk')},{chi_sql('lgc')}
 SELECT {R('(SELECT avg(ks) FROM ks)')} AS ks_mean, {R('(SELECT avg(chi2) FROM chi)')} AS chi_mean,
        CAST((SELECT sum(s) FROM ff) AS BIGINT) AS n_synth"""
+
+
+# ---------------------------------------------------------------------------
+# Stage 3-6
+# ---------------------------------------------------------------------------
+RISK_SQL = """(o_totalprice / 150000.0 + c_acctbal / 5000.0
+  + CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0.4 ELSE 0.0 END
+  + CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 0.3 ELSE 0.0 END
+  + CASE WHEN r_name = 'EUROPE' THEN -0.25 ELSE 0.0 END)"""
+
+
+def risk_frame(offset: float) -> str:
+    s = f"(0.0 + {RISK_SQL.replace(chr(10), ' ')})"
+    return f"""SELECT row_id, y, c_mktsegment, r_name, 1.0 / (1.0 + exp(-({s} - {offset!r}))) AS proba
+FROM ({FRAME_C}) fc"""
+
+
+def risk_scored(offset: float) -> str:
+    return f"SELECT *, CAST(proba >= 0.5 AS INTEGER) AS pred FROM ({risk_frame(offset)}) rf"
+
+
+ORACLE["logistic_score"] = f"SELECT row_id, {R('proba')} AS proba, pred FROM ({risk_scored(1.2)}) x"
+
+
+def metrics_sql(src: str, by: str = "") -> str:
+    sel = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {sel}n, tp, fp, fn, tn,
+  {R('CASE WHEN n = 0 THEN 0.0 ELSE (tp + tn) * 1.0 / n END')} AS accuracy,
+  {R('CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END')} AS f1,
+  {R('CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fp) END')} AS precision,
+  {R('CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fn) END')} AS recall
+FROM (SELECT {sel}CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE y = 1 AND pred = 1) AS BIGINT) AS tp,
+  CAST(count(*) FILTER (WHERE y = 0 AND pred = 1) AS BIGINT) AS fp,
+  CAST(count(*) FILTER (WHERE y = 1 AND pred = 0) AS BIGINT) AS fn,
+  CAST(count(*) FILTER (WHERE y = 0 AND pred = 0) AS BIGINT) AS tn FROM {src} {grp}) mm"""
+
+
+ORACLE["classification_metrics"] = f"WITH rs AS ({risk_scored(1.2)})\n" + metrics_sql("rs", "c_mktsegment")
+
+FAIR_C = rates_ctes("orders_tab", risk_scored(1.2), ["c_mktsegment", "r_name"], "c") + "," + fairness_ctes("c")
+FAIR_C2 = rates_ctes("orders_tab", risk_scored(0.8), ["c_mktsegment", "r_name"], "d") + "," + fairness_ctes("d")
+ORACLE["fairness_orders_tab"] = "WITH " + FAIR_C + f"\nSELECT {FAIR_COLS} FROM fvc"
+_cmp_m = ["dpd", "dir", "eod", "p_value", "bias_score"]
+ORACLE["compare_fairness"] = "WITH " + FAIR_C + "," + FAIR_C2 + f"""
+SELECT b.dataset, b.sensitive, {', '.join(f"{R(f'b.{m}')} AS {m}_before" for m in _cmp_m)},
+       b.verdict AS verdict_before, {', '.join(f"{R(f'a.{m}')} AS {m}_after" for m in _cmp_m)},
+       a.verdict AS verdict_after,
+       {R('CASE WHEN b.bias_score > 0 THEN 100.0 * (b.bias_score - a.bias_score) / b.bias_score END')}
+         AS bias_reduction_pct
+FROM fvc b FULL OUTER JOIN fvd a ON a.dataset = b.dataset AND a.sensitive = b.sensitive"""
+
+LINEAR_BETA = {"o_totalprice": 0.9, "c_acctbal": 0.35, "o_orderpriority": -0.2,
+               "c_mktsegment": 0.15, "r_name": -0.1}
+
+
+def linear_ctes(seed_bg: int = 42, explain: str = "tst") -> str:
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in FEATS_C)
+    parts = " UNION ALL ".join(
+        f"SELECT e.row_id, e.s_c_mktsegment, '{c}' AS feature, "
+        f"{LINEAR_BETA[c]!r} * ({c} - bm.m_{c}) AS phi FROM {explain} e, bm" for c in FEATS_C)
+    return f"""
+bgs AS (SELECT * FROM prep WHERE split = 'train'
+        ORDER BY {hash_uniform_sql(seed_bg, 'background', 'row_id')}, row_id LIMIT 200),
+bm AS (SELECT {means} FROM bgs),
+la AS ({parts})"""
+
+
+LIN_BASE = f"WITH {prepare_sql(FRAME_C)},\ntst AS (SELECT * FROM prep WHERE split = 'test'),{linear_ctes()}"
+ORACLE["linear_shap"] = f"{LIN_BASE}\nSELECT row_id, {R('s_c_mktsegment')} AS s_c_mktsegment, feature, {R('phi')} AS phi FROM la"
+ORACLE["importance"] = f"{LIN_BASE}\nSELECT feature, {R('avg(abs(phi))')} AS mean_abs FROM la GROUP BY feature"
+ORACLE["attribution_disparity"] = f"""{LIN_BASE}
+SELECT feature, CAST(s_c_mktsegment AS VARCHAR) AS grp, {R('avg(abs(phi))')} AS mean_abs
+FROM la GROUP BY feature, CAST(s_c_mktsegment AS VARCHAR)"""
+ORACLE["flag_features"] = f"""{LIN_BASE},
+dg AS (SELECT feature, CAST(s_c_mktsegment AS VARCHAR) AS grp, avg(abs(phi)) AS ma FROM la GROUP BY 1, 2),
+spd AS (SELECT feature, max(ma) - min(ma) AS spread FROM dg GROUP BY feature),
+im AS (SELECT feature, avg(abs(phi)) AS mean_abs FROM la GROUP BY feature)
+SELECT spd.feature, {R('spread')} AS spread, {R('spread / greatest(1e-6, mean_abs)')} AS ratio,
+       spread / greatest(1e-6, mean_abs) > 0.2 AS flagged FROM spd JOIN im USING (feature)"""
+_fpos = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(FEATS_C)) + " END"
+ORACLE["top_features"] = f"""{LIN_BASE},
+im AS (SELECT feature, avg(abs(phi)) AS mean_abs FROM la GROUP BY feature),
+rnk AS (SELECT feature, row_number() OVER (ORDER BY mean_abs DESC, {_fpos}) AS rank FROM im)
+SELECT feature, CAST(rank AS INTEGER) AS rank FROM rnk WHERE rank <= 3"""
+
+
+def _consistency_sql() -> str:
+    # one explained sample per seed; the background stays the seed-42 sample
+    parts = []
+    for s in (42, 43, 44, 45, 46):
+        ex = (f"(SELECT * FROM prep WHERE split = 'test' "
+              f"ORDER BY {hash_uniform_sql(s, 'explain', 'row_id')}, row_id LIMIT 200)")
+        for c in FEATS_C:
+            parts.append(f"SELECT {s} AS run_id, '{c}' AS feature, {LINEAR_BETA[c]!r} * (e.{c} - bm.m_{c}) AS phi "
+                         f"FROM {ex} e, bm")
+    return f"""WITH {prepare_sql(FRAME_C)},{linear_ctes()},
+rr AS ({' UNION ALL '.join(parts)}),
+im AS (SELECT run_id, feature, avg(abs(phi)) AS mean_abs FROM rr GROUP BY 1, 2),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY mean_abs DESC, {_fpos}) AS rank FROM im),
+tp AS (SELECT feature, count(DISTINCT run_id) AS c FROM rnk WHERE rank <= 2 GROUP BY feature),
+nr AS (SELECT count(DISTINCT run_id) AS n_runs FROM im)
+SELECT CAST(nr.n_runs AS BIGINT) AS n_runs, CAST(count(*) FILTER (WHERE c = nr.n_runs) AS BIGINT) AS inter,
+       CAST(count(*) AS BIGINT) AS uni,
+       {R('CASE WHEN nr.n_runs < 2 THEN 1.0 ELSE count(*) FILTER (WHERE c = nr.n_runs) * 1.0 / greatest(count(*), 1) END')}
+         AS consistency
+FROM tp, nr GROUP BY nr.n_runs"""
+
+
+ORACLE["topk_consistency"] = _consistency_sql()
+
+
+def _record_sql() -> str:
+    fmt = ("printf('sensitive=''%s'' DPD=%.3f DIR=%.3f EOD=%.3f (p=%.3f)', sensitive, dpd, dir, eod, p_value)")
+    order = "CASE sensitive " + " ".join(
+        f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(["c_mktsegment", "r_name", "n_name", "lang", "source"])) + " END"
+    return "WITH " + FAIR_A + "," + FAIR_B + f""",
+allf AS (SELECT * FROM fva UNION ALL SELECT * FROM fvb),
+acc AS (SELECT 'orders_lines' AS dataset, avg(CAST(y = pred AS INTEGER)) AS accuracy FROM fa
+        UNION ALL SELECT 'documents', avg(CAST(y = pred AS INTEGER)) FROM fb),
+agg AS (SELECT dataset, count(*) FILTER (WHERE verdict = 'FAIL') AS fails, count(*) AS n,
+          string_agg(CASE WHEN verdict = 'FAIL' THEN {fmt} END, '; ' ORDER BY {order}) AS bits
+        FROM allf GROUP BY dataset)
+SELECT agg.dataset, {R('acc.accuracy')} AS accuracy,
+  CASE WHEN fails > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_verdict,
+  CASE WHEN fails > 0 THEN agg.dataset || ': FAIL on ' || bits || '. Top SHAP-flagged features: none.'
+       ELSE agg.dataset || ': model passes all fairness checks (DPD<=0.1, 0.8<=DIR<=1.25). No subgroup disparity flagged.'
+  END AS plain_summary, CAST(n AS INTEGER) AS n_checks
+FROM agg JOIN acc USING (dataset)"""
+
+
+ORACLE["audit_record"] = _record_sql()
