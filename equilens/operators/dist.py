@@ -246,7 +246,7 @@ def prefix_counts(hist: DataFrame, part: Sequence[str], order: str, counts: Sequ
 
 def asof_lookup(probes: DataFrame, table: DataFrame, part: Sequence[str], pos: str,
                 start: str, length: str, payload: Sequence[str], totals: DataFrame,
-                total: str = "total") -> DataFrame:
+                total: str = "total", n_rows: int | None = None) -> DataFrame:
     """For each probe (part, pos) return ``payload`` of the table entry with
     start <= pos < start + length (entries tile [0, total) per part).
 
@@ -259,7 +259,8 @@ def asof_lookup(probes: DataFrame, table: DataFrame, part: Sequence[str], pos: s
     landing in one task.
     """
     part = list(part)
-    n_rows = probes.count() + table.count()
+    if n_rows is None:          # callers usually know the sizes; counting re-runs both inputs
+        n_rows = probes.count() + table.count()
     nb = max(1, -(-n_rows // ASOF_BUCKET_ROWS))
     tt = F.broadcast(totals.select(*part, F.col(total).cast("long").alias("__tot")))
     width = F.greatest(F.ceil(F.col("__tot") / F.lit(nb)), F.lit(1)).cast("long")

@@ -119,12 +119,12 @@ def ablate(train: DataFrame, test: DataFrame, features: Sequence[str], sensitive
            kinds: Sequence[str] = ("baseline", "smote", "cf", "copula", "smote_copula", "full"),
            model_kind: str = "rf", seed: int = 42) -> DataFrame:
     """Accuracy / F1 / precision / recall per augmentation, one row each."""
-    from .augment import augment
+    from .augment import augment_batches
     s_cols = [f"s_{c}" for c in sensitive]
     rows = None
+    batches = augment_batches(train, features, sensitive, seed, kinds)
     for k in kinds:
-        aug = augment(train, features, sensitive, k, seed)
-        r = train_eval(aug, test, features, model_kind, k, seed, s_cols)
+        r = train_eval(batches[k], test, features, model_kind, k, seed, s_cols)
         m = r.metrics.select(F.lit(k).alias("augmentation"), "*")
         rows = m if rows is None else rows.unionByName(m)
     return rows

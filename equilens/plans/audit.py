@@ -71,24 +71,15 @@ def audit_one(df: DataFrame, spec: AuditSpec, model_kind: str = "rf", seed: int
     mark("preprocess")
 
     # stage 2: every synthetic batch once
-    real = ax._as_rows(train, "real", feats, s_cols)
-    sm = cut_lineage(ax._as_rows(ax.smote(train, feats, s_cols, seed=seed), "smote", feats, s_cols), "smote")
-    sm_all = real.unionByName(sm)
-    mark("smote")
-    cf = cut_lineage(ax._as_rows(ax.counterfactual(train, spec.sensitive, feats, seed=seed),
-                                 "cf", feats, s_cols), "cf")
-    mark("counterfactual")
-    gan_rows = cut_lineage(ax._as_rows(ax.copula_fit_sample(train, feats, n_train, seed, s_cols),
-                                       "copula", feats, s_cols), "copula")
-    sg_rows = cut_lineage(ax._as_rows(ax.copula_fit_sample(sm_all, feats, max(1, n_train // 2), seed,
-                                                           s_cols), "copula", feats, s_cols), "copula2")
-    gan = real.unionByName(gan_rows)
-    full = sm_all.unionByName(sg_rows).unionByName(cf)
+    b = ax.augment_batches(train, feats, spec.sensitive, seed,
+                           ("baseline", "smote", "cf", "copula", "full"))
+    gan = b["copula"]
     fidel = fid.fidelity(gan, state.numeric, state.categorical).first()
-    mark("copula")
+    mark("augment")
 
     # stage 3: five fits, scored on the real test rows only
-    batches = {"baseline": real, "smote": sm_all, "cf": cf, "gan": gan, "full": full}
+    batches = {"baseline": b["baseline"], "smote": b["smote"], "cf": b["cf"], "gan": gan,
+               "full": b["full"]}
     res = {k: mx.train_eval(b, test, feats, model_kind, k, seed, s_cols) for k, b in batches.items()}
     acc = {k: _acc(r) for k, r in res.items()}
     mark("training")
