@@ -215,6 +215,51 @@ PREFIX_SPLITS = 256
 ASOF_BUCKET_ROWS = 1_000_000
 
 
+def column_splits(df: DataFrame, cols: Sequence[str], splits: int = PREFIX_SPLITS
+                  ) -> dict[str, list[float]]:
+    """Split points per column from ONE ``approxQuantile`` pass over the wide
+    table (at most len(cols) x splits numbers reach the driver)."""
+    probs = [i / splits for i in range(1, splits)]
+    cast = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    qs = cast.approxQuantile(list(cols), probs, 1.0 / (10 * splits))
+    return {c: sorted(set(float(v) for v in q if v == v)) for c, q in zip(cols, qs)}
+
+
+def bucketed_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
+                  splits: int = PREFIX_SPLITS) -> DataFrame:
+    """Unpivot numeric columns to (keep..., feature, __b, value): ``__b`` is the
+    value bucket from a multi-column Bucketizer (binary search in the JVM),
+    ``value`` has -0.0 folded into 0.0."""
+    cols = list(cols)
+    sp = column_splits(df, cols, splits)
+    x = df.select(*keep, *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(cols)])
+    bz = Bucketizer(splitsArray=[[-math.inf] + sp[c] + [math.inf] for c in cols],
+                    inputCols=[f"__v{i}" for i in range(len(cols))],
+                    outputCols=[f"__b{i}" for i in range(len(cols))], handleInvalid="keep")
+    x = bz.transform(x)
+    return x.select(*keep, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"__b{i}").cast("int").alias("__b"),
+                 (F.col(f"__v{i}") + F.lit(0.0)).alias("value"))
+        for i, c in enumerate(cols)])))
+
+
+def bucket_prefix(hist: DataFrame, part: Sequence[str], order: str, counts: Sequence[str],
+                  bucket: str = "__b") -> DataFrame:
+    """Exclusive running sums ``<c>_before`` when ``hist`` already carries a value
+    bucket: bucket totals (small) get a running sum, are broadcast back, and
+    the window runs per (part, bucket)."""
+    part = list(part)
+    tot = hist.groupBy(*part, bucket).agg(*[F.sum(c).alias(f"__t_{c}") for c in counts])
+    wt = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*part, bucket, *[F.coalesce(F.sum(f"__t_{c}").over(wt), F.lit(0)).alias(f"__o_{c}")
+                                      for c in counts])
+    j = hist.join(F.broadcast(tot), [*part, bucket])
+    w = Window.partitionBy(*part, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return j.select(*hist.columns, *[
+        (F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"{c}_before")
+        for c in counts])
+
+
 def prefix_counts(hist: DataFrame, part: Sequence[str], order: str, counts: Sequence[str],
                   splits: int = PREFIX_SPLITS) -> DataFrame:
     """Exact exclusive running sums ``<c>_before`` of ``counts`` along ``order``
