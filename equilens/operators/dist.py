@@ -67,9 +67,9 @@ def exact_kth(df: DataFrame, col: str, ks: Sequence[int], n: int | None = None,
             qs = sub.agg(F.percentile_approx("x", probs, 10 * splits).alias("q")).first()["q"]
             edges = sorted(set(float(v) for v in qs) | set(forced))
             forced = []
-            full = [-math.inf if lo is None else lo] + [e for e in edges
-                                                        if (lo is None or e > lo) and (hi is None or e < hi)]
-            full += [math.inf if hi is None else hi]
+            inner = [e for e in edges if (lo is None or e > lo) and (hi is None or e < hi)]
+            full = ([-math.inf] + ([lo] if lo is not None else []) + inner
+                    + ([hi] if hi is not None else []) + [math.inf])
             bz = Bucketizer(splits=full, inputCol="x", outputCol="b", handleInvalid="keep")
             stats = (bz.transform(sub).groupBy("b")
                      .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo_v"),
@@ -112,7 +112,8 @@ def exact_medians(df: DataFrame, cols: Sequence[str], local_max: int = LOCAL_MAX
     if not cols:
         return {}
     xs = {c: F.col(c).cast("double") for c in cols}
-    row = df.agg(*[F.count(F.when(~F.isnan(x), 1)).alias(c) for c, x in xs.items()]).first()
+    row = df.agg(*[F.count(F.when(x.isNotNull() & ~F.isnan(x), 1)).alias(c)
+                   for c, x in xs.items()]).first()
     n = {c: int(row[c]) for c in cols}
     out: dict[str, float | None] = {c: None for c in cols if n[c] == 0}
     small = [c for c in cols if 0 < n[c] <= local_max]
