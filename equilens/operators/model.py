@@ -24,6 +24,7 @@ LR_MAX_ITER = 200
 LR_C = 1.0
 RF_TREES = 100
 RF_DEPTH = 8
+RF_NODE_MEMORY_MB = 1024
 
 
 # ---------------------------------------------------------------------------
@@ -77,13 +78,20 @@ def fit_model(train: DataFrame, features: Sequence[str], kind: str = "rf", seed:
     """lr: L2 logistic regression, C = 1 on a summed loss -> regParam = 1 / n,
     no standardisation, 200 iterations. rf: 100 trees, depth 8, sqrt features."""
     data = assemble(train, features).select(F.col(label).cast("double").alias("label"), "features")
+    # iterative learners make many passes: spread an under-partitioned input
+    # (e.g. a small checkpointed table) over every core once, up front
+    par = train.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < par:
+        data = data.repartition(par)
     if kind == "lr":
         n = train.count()
         est = LogisticRegression(maxIter=LR_MAX_ITER, regParam=1.0 / (LR_C * max(1, n)),
                                  elasticNetParam=0.0, standardization=False, fitIntercept=True)
     elif kind == "rf":
+        # larger node-statistics budget: fewer passes per tree level for 100 trees
         est = RandomForestClassifier(numTrees=RF_TREES, maxDepth=RF_DEPTH,
-                                     featureSubsetStrategy="sqrt", seed=seed)
+                                     featureSubsetStrategy="sqrt", seed=seed,
+                                     maxMemoryInMB=RF_NODE_MEMORY_MB, cacheNodeIds=True)
     else:
         raise ValueError(f"unknown model kind {kind}")
     return est.fit(data)
