@@ -136,3 +136,16 @@ def ablate(train: DataFrame, test: DataFrame, features: Sequence[str], sensitive
         m = r.metrics.select(F.lit(k).alias("augmentation"), "*")
         rows = m if rows is None else rows.unionByName(m)
     return rows
+
+
+def leakage_test(model: Model, features: Sequence[str], test_real: DataFrame,
+                 test_synth: DataFrame) -> DataFrame:
+    """Accuracy (percent) on real held-out rows vs on real + synthetic held-out
+    rows, and the difference real - mixed (inflation shows as a negative diff)."""
+    real = score(model, test_real, features, ["y"]).withColumn("__syn", F.lit(0))
+    syn = score(model, test_synth, features, ["y"]).withColumn("__syn", F.lit(1))
+    both = real.unionByName(syn)
+    hit = (F.col("y") == F.col("pred")).cast("double")
+    return both.agg((F.avg(F.when(F.col("__syn") == 0, hit)) * 100).alias("real_only"),
+                    (F.avg(hit) * 100).alias("real_plus_synth")).withColumn(
+        "delta", F.col("real_only") - F.col("real_plus_synth"))

@@ -580,3 +580,53 @@ def q_audit_one_orders(spark, sf):
     from .audit import audit_one
     return rounded(rp.flatten_runs(audit_one(frames.orders_tab(spark, sf), SPEC_C, "rf", 42).run)
                    .drop("runtime_sec"))
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (S1-S10), leakage test
+# ---------------------------------------------------------------------------
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import tables as src  # noqa: E402
+
+
+def _scratch(spark, name):
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """customer -> ';'-separated CSV with a header and '?' for NULL -> read back."""
+    c = read_table(spark, sf, "customer")
+    path = _scratch(spark, "customer_csv")
+    c.write.option("header", True).option("sep", ";").option("nullValue", "?").csv(path)
+    back = src.read_csv(spark, path, c.schema, header=True, sep=";", null_tokens=["?"])
+    return rounded(back)
+
+
+@register("csv_noheader_roundtrip")
+def q_csv_noheader_roundtrip(spark, sf):
+    """nation -> header-less CSV with leading spaces -> read back with a fixed schema."""
+    n = read_table(spark, sf, "nation")
+    path = _scratch(spark, "nation_csv")
+    n.select(*[F.concat(F.lit(" "), F.col(c).cast("string")).alias(c) for c in n.columns]) \
+        .write.option("header", False).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return src.read_csv(spark, path, n.schema, header=False, skip_leading_space=True)
+
+
+@register("json_roundtrip")
+def q_json_roundtrip(spark, sf):
+    """fairness records -> JSON sink -> read back with the same schema."""
+    f = rounded(_fair_a(spark, sf))
+    path = _scratch(spark, "fair_json")
+    src.write_json(f, path)
+    return spark.read.schema(f.schema).json(path)
+
+
+@register("leakage_test")
+def q_leakage_test(spark, sf):
+    from ..operators import augment as ax2
+    tr, te = _ml_split(spark, sf)
+    r = mx.train_eval(tr, te, FEATS_C, "lr")
+    syn = ax2.smote(te, FEATS_C, [], seed=42)
+    return rounded(mx.leakage_test(r.model, FEATS_C, te, syn))

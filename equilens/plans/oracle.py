@@ -704,3 +704,11 @@ FROM agg JOIN acc USING (dataset)"""
 
 
 ORACLE["audit_record"] = _record_sql()
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks
+# ---------------------------------------------------------------------------
+ORACLE["csv_roundtrip"] = f"SELECT c_custkey, c_name, c_nationkey, {R('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer"
+ORACLE["csv_noheader_roundtrip"] = "SELECT * FROM nation"
+ORACLE["json_roundtrip"] = ORACLE["fairness_orders"]
