@@ -198,3 +198,160 @@ def lime_importance(weights: DataFrame, n_explained: int) -> DataFrame:
 def explain_sample(df: DataFrame, n: int, seed: int, salt: str) -> DataFrame:
     """The rows to explain / the background: n rows by hash order."""
     return sample_n(df, n, seed, "row_id", salt)
+
+
+# ---------------------------------------------------------------------------
+# X3 TreeSHAP for Spark tree ensembles (path-dependent, Lundberg et al. 2018)
+# ---------------------------------------------------------------------------
+def forest_arrays(model: Model) -> list[dict]:
+    """Node arrays per tree (left, right, feature, threshold, value = class-1
+    fraction, cover = weighted count), read from the saved model. The size is
+    bounded by the model (trees x nodes), not by the data."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    spark = model.sparkSession if hasattr(model, "sparkSession") else None
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/forest-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data")
+    if "treeID" not in nodes.columns:           # a single decision tree
+        nodes = nodes.withColumn("treeID", F.lit(0))
+    rows = nodes.select("treeID", "nodeData.id", "nodeData.impurityStats", "nodeData.leftChild",
+                        "nodeData.rightChild", "nodeData.split.featureIndex",
+                        "nodeData.split.leftCategoriesOrThreshold").collect()
+    trees: dict[int, list] = {}
+    for r in rows:
+        trees.setdefault(r["treeID"], []).append(r)
+    out = []
+    for tid in sorted(trees):
+        rs = sorted(trees[tid], key=lambda r: r["id"])
+        n = len(rs)
+        t = {"left": np.full(n, -1), "right": np.full(n, -1), "feat": np.zeros(n, dtype=int),
+             "thr": np.zeros(n), "value": np.zeros(n), "cover": np.zeros(n)}
+        for r in rs:
+            i = r["id"]
+            stats = np.asarray(r["impurityStats"], dtype=float)
+            t["cover"][i] = stats.sum()
+            t["value"][i] = stats[1] / stats.sum() if stats.sum() > 0 and len(stats) > 1 else 0.0
+            t["left"][i], t["right"][i] = r["leftChild"], r["rightChild"]
+            if r["leftChild"] >= 0:
+                t["feat"][i] = r["featureIndex"]
+                t["thr"][i] = r["leftCategoriesOrThreshold"][0]
+        out.append(t)
+    return out
+
+
+def _tree_phi(t: dict, X: np.ndarray) -> np.ndarray:
+    """Exact path-dependent Shapley values of one tree for all rows of X at once
+    (the recursion is shared; per-row 'one fractions' are vectors)."""
+    R, d = X.shape
+    phi = np.zeros((R, d))
+    left, right, feat, thr, val, cov = t["left"], t["right"], t["feat"], t["thr"], t["value"], t["cover"]
+
+    def extend(fs, z, o, w, pz, po, pf):
+        l = len(fs)
+        fs.append(pf)
+        z.append(pz)
+        o.append(po)
+        w.append(np.ones(R) if l == 0 else np.zeros(R))
+        for i in range(l - 1, -1, -1):
+            w[i + 1] = w[i + 1] + po * w[i] * (i + 1) / (l + 1)
+            w[i] = pz * w[i] * (l - i) / (l + 1)
+
+    def unwind(fs, z, o, w, k):
+        ud = len(fs) - 1
+        of, zf, nxt = o[k], z[k], w[ud]
+        nz = of != 0
+        safe = np.where(nz, of, 1.0)
+        for i in range(ud - 1, -1, -1):
+            w_nz = nxt * (ud + 1) / ((i + 1) * safe)
+            nxt_nz = w[i] - w_nz * zf * (ud - i) / (ud + 1)
+            w_z = w[i] * (ud + 1) / (zf * (ud - i)) if zf != 0 else np.zeros(R)
+            nxt = np.where(nz, nxt_nz, nxt)
+            w[i] = np.where(nz, w_nz, w_z)
+        del fs[k], z[k], o[k], w[ud]
+
+    def unwound_sum(z, o, w, k):
+        ud = len(z) - 1
+        of, zf, nxt = o[k], z[k], w[ud]
+        nz = of != 0
+        safe = np.where(nz, of, 1.0)
+        total = np.zeros(R)
+        for i in range(ud - 1, -1, -1):
+            tmp = nxt * (ud + 1) / ((i + 1) * safe)
+            alt = (w[i] / zf) / ((ud - i) / (ud + 1)) if zf != 0 else np.zeros(R)
+            total = total + np.where(nz, tmp, alt)
+            nxt = np.where(nz, w[i] - tmp * zf * ((ud - i) / (ud + 1)), nxt)
+        return total
+
+    def recurse(node, fs, z, o, w, pz, po, pf):
+        fs, z, o, w = list(fs), list(z), list(o), list(w)
+        extend(fs, z, o, w, pz, po, pf)
+        if left[node] < 0:
+            for i in range(1, len(fs)):
+                phi[:, fs[i]] += unwound_sum(z, o, w, i) * (o[i] - z[i]) * val[node]
+            return
+        f = feat[node]
+        go_left = (X[:, f] <= thr[node]).astype(float)
+        iz, io = 1.0, np.ones(R)
+        if f in fs[1:]:
+            k = fs.index(f, 1)
+            iz, io = z[k], o[k]
+            unwind(fs, z, o, w, k)
+        a, b = left[node], right[node]
+        recurse(a, fs, z, o, w, iz * cov[a] / cov[node], io * go_left, f)
+        recurse(b, fs, z, o, w, iz * cov[b] / cov[node], io * (1.0 - go_left), f)
+
+    recurse(0, [], [], [], [], 1.0, np.ones(R), -1)
+    return phi
+
+
+def tree_base_value(trees: list[dict]) -> float:
+    """Expected forest output: mean over trees of the cover-weighted leaf values."""
+    vals = []
+    for t in trees:
+        leaves = t["left"] < 0
+        vals.append(float((t["cover"][leaves] * t["value"][leaves]).sum() / t["cover"][0]))
+    return float(np.mean(vals))
+
+
+def tree_shap(model: Model, rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ()
+              ) -> DataFrame:
+    """(row_id, keep..., feature, phi) for the class-1 probability of a Spark
+    random forest / decision tree; sum(phi) + base value = predicted probability.
+
+    The node arrays are broadcast. Work is split by trees as well as rows: each
+    row is replicated once per tree group (a generator, G <= parallelism),
+    every task walks only its group's trees for its rows (vectorised over the
+    Arrow batch), and a grouped sum combines the groups."""
+    feats = list(features)
+    trees = forest_arrays(model)
+    spark = rows.sparkSession
+    groups = max(1, min(len(trees), spark.sparkContext.defaultParallelism))
+    bc = spark.sparkContext.broadcast(trees)
+    keep = list(keep)
+    n_trees = len(trees)
+
+    def fn(it):
+        ts = bc.value
+        for pdf in it:
+            if pdf.empty:
+                continue
+            for g, part in pdf.groupby("__g"):
+                X = part[feats].to_numpy(dtype=np.float64)
+                mine = ts[int(g)::groups]
+                phi = sum(_tree_phi(t, X) for t in mine)
+                out = part[["row_id", *keep]].loc[np.repeat(part.index.to_numpy(), len(feats))]
+                out = out.reset_index(drop=True)
+                out["feature"] = np.tile(np.array(feats, dtype=object), len(part))
+                out["phi"] = phi.ravel()
+                yield out
+
+    key_types = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep]
+    schema = ", ".join(["row_id long", *key_types, "feature string", "phi double"])
+    x = rows.select("row_id", *keep, *feats).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__g"))
+    part = x.repartition(groups, "__g").mapInPandas(fn, schema)
+    return part.groupBy("row_id", *keep, "feature").agg((F.sum("phi") / n_trees).alias("phi"))

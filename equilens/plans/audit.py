@@ -103,6 +103,8 @@ def audit_one(df: DataFrame, spec: AuditSpec, model_kind: str = "rf", seed: int
         means = xx.background_means(bg, feats)
         if model_kind == "lr":
             attr = xx.linear_shap(ex, xx.lr_coefficients(res["full"].model, feats), means, s_cols[:1])
+        elif model_kind == "rf":
+            attr = xx.tree_shap(res["full"].model, ex, feats, s_cols[:1])
         else:
             attr = xx.sampling_shap(res["full"].model, ex, feats, means, n_perm, seed, s_cols[:1])
         attr = cut_lineage(attr, "attr")

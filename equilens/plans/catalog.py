@@ -567,6 +567,14 @@ def q_kernel_shap(spark, sf):
     return rounded(xx.sampling_shap(r.model, ex, FEATS_C, means, 10, 42, ["s_c_mktsegment"]))
 
 
+@register("tree_shap")
+def q_tree_shap(spark, sf):
+    tr, te = _ml_split(spark, sf)
+    r = mx.train_eval(tr, te, FEATS_C, "rf")
+    ex = xx.explain_sample(te, 200, 42, "explain")
+    return rounded(xx.tree_shap(r.model, ex, FEATS_C, ["s_c_mktsegment"]))
+
+
 @register("lime")
 def q_lime(spark, sf):
     tr, te = _ml_split(spark, sf)
