@@ -296,12 +296,12 @@ def prepare(df: DataFrame, spec: AuditSpec, seed: int = 42,
     base = df.select(F.col(spec.id_col).alias("row_id"), F.col(spec.label).alias("y"), *feats)
     if spec.null_tokens:
         base = null_tokens(base, spec.null_tokens, categorical)
-    base = base.where(F.col("y").isNotNull())
+    # the label rule, imputation fits, split, encoder and scaler each run a few
+    # small jobs over this table: materialise it once instead of re-running the source
+    base = cut_lineage(base.where(F.col("y").isNotNull()), "raw")
     base = to_binary(base, "y")
     filled, fills = impute(base, numeric, categorical)
-    # the split, encoder and scaler each run a few small jobs over this table
-    filled = cut_lineage(filled)
-    split = cut_lineage(stratified_split(filled, "y", test_size, seed, "row_id"))
+    split = cut_lineage(stratified_split(filled, "y", test_size, seed, "row_id"), "split")
     train = split.where(F.col("split") == "train")
     encoder = fit_encoder(train, categorical)
     enc = encode(split, encoder, categorical)
