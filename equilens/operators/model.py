@@ -105,6 +105,14 @@ def score(model: Model, df: DataFrame, features: Sequence[str], keep: Sequence[s
     return out.select(*keep, proba.alias("proba")).withColumn("pred", threshold(F.col("proba"), t))
 
 
+def minmax_scores(df: DataFrame, raw: str, out: str = "proba") -> DataFrame:
+    """Unbounded decision scores -> [0, 1]: (s - min) / (max - min + 1e-9); one
+    aggregate for min/max, then a projection."""
+    mm = df.agg(F.min(raw).alias("lo"), F.max(raw).alias("hi")).first()
+    lo, hi = float(mm["lo"] or 0.0), float(mm["hi"] or 0.0)
+    return df.withColumn(out, (F.col(raw) - F.lit(lo)) / F.lit(hi - lo + 1e-9))
+
+
 @dataclass
 class TrainResult:
     kind: str

@@ -638,3 +638,16 @@ def q_leakage_test(spark, sf):
     r = mx.train_eval(tr, te, FEATS_C, "lr")
     syn = ax2.smote(te, FEATS_C, [], seed=42)
     return rounded(mx.leakage_test(r.model, FEATS_C, te, syn))
+
+
+@register("runs_report")
+def q_runs_report(spark, sf):
+    """Two-seed audit sweep of frame C (logistic regression, no attributions) ->
+    run history -> audit summary rows (A7) joined with seed statistics (Y2)."""
+    from .audit import sweep
+    from .registry import fixture_loaders
+    runs = sweep(spark, {"orders_tab": fixture_loaders(sf)["orders_tab"]}, [42, 43],
+                 model_kind="lr", run_xai=False)
+    summ = rp.audit_summary(runs).drop("runtime_sec", "shap_flagged")
+    stats = rp.seed_stats(runs, "accuracy_full")
+    return rounded(summ.join(stats, "dataset"))

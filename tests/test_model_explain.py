@@ -61,3 +61,9 @@ def test_lime_shapes(spark):
     assert w.count() == 10
     imp = {row["feature"]: row["mean_abs"] for row in xx.lime_importance(w, 5).collect()}
     assert "a" in imp
+
+
+def test_minmax_scores(spark):
+    df = spark.createDataFrame([(-2.0,), (0.0,), (2.0,)], "s double")
+    got = [round(r[0], 6) for r in mx.minmax_scores(df, "s").orderBy("s").select("proba").collect()]
+    assert got == [0.0, 0.5, 1.0]
