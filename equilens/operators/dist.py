@@ -214,6 +214,7 @@ def sample_n(df: DataFrame, n: int, seed: int, id_col: str = "row_id",
 
 PREFIX_SPLITS = 256
 ASOF_BUCKET_ROWS = 1_000_000
+ASOF_FILL_CORES = True
 
 
 def column_splits(df: DataFrame, cols: Sequence[str], splits: int = PREFIX_SPLITS
@@ -307,10 +308,11 @@ def asof_lookup(probes: DataFrame, table: DataFrame, part: Sequence[str], pos: s
     part = list(part)
     if n_rows is None:          # callers usually know the sizes; counting re-runs both inputs
         n_rows = probes.count() + table.count()
-    # enough buckets for the data size, and at least one task per core overall
-    n_parts = max(1, totals.count())
-    par = probes.sparkSession.sparkContext.defaultParallelism
-    nb = max(1, -(-n_rows // ASOF_BUCKET_ROWS), -(-par // n_parts))
+    # enough buckets for the data size, and (optionally) at least one task per core overall
+    nb = max(1, -(-n_rows // ASOF_BUCKET_ROWS))
+    if ASOF_FILL_CORES:
+        n_parts = max(1, totals.count())
+        nb = max(nb, -(-probes.sparkSession.sparkContext.defaultParallelism // n_parts))
     tt = F.broadcast(totals.select(*part, F.col(total).cast("long").alias("__tot")))
     width = F.greatest(F.ceil(F.col("__tot") / F.lit(nb)), F.lit(1)).cast("long")
     t = table.join(tt, part).withColumn("__w", width)
