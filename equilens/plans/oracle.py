@@ -684,7 +684,7 @@ FROM tp, nr GROUP BY nr.n_runs"""
 ORACLE["topk_consistency"] = _consistency_sql()
 
 
-def _record_sql() -> str:
+def _record_sql(raw_accuracy: bool = False) -> str:
     fmt = ("printf('sensitive=''%s'' DPD=%.3f DIR=%.3f EOD=%.3f (p=%.3f)', sensitive, dpd, dir, eod, p_value)")
     order = "CASE sensitive " + " ".join(
         f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(["c_mktsegment", "r_name", "n_name", "lang", "source"])) + " END"
@@ -695,7 +695,7 @@ acc AS (SELECT 'orders_lines' AS dataset, avg(CAST(y = pred AS INTEGER)) AS accu
 agg AS (SELECT dataset, count(*) FILTER (WHERE verdict = 'FAIL') AS fails, count(*) AS n,
           string_agg(CASE WHEN verdict = 'FAIL' THEN {fmt} END, '; ' ORDER BY {order}) AS bits
         FROM allf GROUP BY dataset)
-SELECT agg.dataset, {R('acc.accuracy')} AS accuracy,
+SELECT agg.dataset, {'acc.accuracy' if raw_accuracy else R('acc.accuracy')} AS accuracy,
   CASE WHEN fails > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_verdict,
   CASE WHEN fails > 0 THEN agg.dataset || ': FAIL on ' || bits || '. Top SHAP-flagged features: none.'
        ELSE agg.dataset || ': model passes all fairness checks (DPD<=0.1, 0.8<=DIR<=1.25). No subgroup disparity flagged.'
@@ -712,3 +712,16 @@ ORACLE["audit_record"] = _record_sql()
 ORACLE["csv_roundtrip"] = f"SELECT c_custkey, c_name, c_nationkey, {R('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer"
 ORACLE["csv_noheader_roundtrip"] = "SELECT * FROM nation"
 ORACLE["json_roundtrip"] = ORACLE["fairness_orders"]
+
+
+ORACLE["audit_markdown"] = f"""WITH recq AS ({_record_sql(raw_accuracy=True)}),
+fr AS (WITH {FAIR_A},{FAIR_B} SELECT * FROM fva UNION ALL SELECT * FROM fvb)
+SELECT '# Automated Fairness Audit Report' AS line
+UNION ALL SELECT ''
+UNION ALL SELECT '## ' || dataset || ' — ' || overall_verdict FROM recq
+UNION ALL SELECT printf('- Accuracy: **%.2f%%**', accuracy * 100) FROM recq
+UNION ALL SELECT printf('  - %s: DPD=%.3f, DIR=%.3f, EOD=%.3f, p=%.3f, verdict=**%s**',
+                        sensitive, dpd, dir, eod, p_value, verdict) FROM fr
+UNION ALL SELECT '' FROM recq
+UNION ALL SELECT '' FROM recq
+UNION ALL SELECT '> ' || plain_summary FROM recq"""
