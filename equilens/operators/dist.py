@@ -8,6 +8,10 @@
 * ``k_smallest``: per-stratum "first q rows by (u, id)" with a quota table;
   rows below the boundary bin are taken whole, the window runs only inside
   one boundary bin per stratum (bins sized from the largest stratum).
+* ``bucketed_long`` / ``bucket_prefix``: exact running sums along a value order,
+  cut into value buckets (one ``approxQuantile`` pass + a multi-column
+  Bucketizer) so the window runs per bucket, not per column.
+* ``asof_lookup``: position -> entry of a cumulative histogram, sort-based.
 * ``sample_n``: n rows without replacement by hash order.
 """
 
@@ -262,35 +266,6 @@ def bucket_prefix(hist: DataFrame, part: Sequence[str], order: str, counts: Sequ
         for c in counts])
 
 
-def prefix_counts(hist: DataFrame, part: Sequence[str], order: str, counts: Sequence[str],
-                  splits: int = PREFIX_SPLITS) -> DataFrame:
-    """Exact exclusive running sums ``<c>_before`` of ``counts`` along ``order``
-    within ``part`` (one row per distinct (part, order) expected).
-
-    Work is cut into value buckets per part (``percentile_approx`` split
-    points): bucket totals (a #parts x ``splits`` table) get their own running
-    sum, are broadcast back, and the window runs per (part, bucket) -- many
-    tasks instead of one task per part.
-    """
-    part = list(part)
-    probs = [i / splits for i in range(1, splits)]
-    sp = hist.groupBy(*part).agg(
-        F.percentile_approx(F.col(order).cast("double"), probs, 10 * splits).alias("__sp"))
-    b = hist.join(F.broadcast(sp), part).withColumn(
-        "__b", F.size(F.filter(F.array_distinct("__sp"), lambda s: s <= F.col(order).cast("double"))))
-    b = b.drop("__sp")
-    tot = b.groupBy(*part, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in counts])
-    wt = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*part, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wt), F.lit(0)).alias(f"__o_{c}")
-                                     for c in counts])
-    j = b.join(F.broadcast(tot), [*part, "__b"])
-    w = Window.partitionBy(*part, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = j.select(*hist.columns, *[
-        (F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"{c}_before")
-        for c in counts])
-    return out
-
-
 def asof_lookup(probes: DataFrame, table: DataFrame, part: Sequence[str], pos: str,
                 start: str, length: str, payload: Sequence[str], totals: DataFrame,
                 total: str = "total", n_rows: int | None = None) -> DataFrame:
