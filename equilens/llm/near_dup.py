@@ -29,8 +29,8 @@ from .common import (bound_batches, chunks, components, lists_of, mix, shingles_
 
 SIZE = 2              # minhashes per collection
 MISS = 1e-4           # largest probability of missing a link at the threshold
-PAIR_BUCKET = 64      # up to this many members a bucket's open pairs are tested in one round
-PIVOTS = 16           # pivots per round in larger buckets
+PAIR_BUCKET = 512     # up to this many members all of a bucket become pivots in one round
+PIVOTS = 64           # pivots of the first such round in larger buckets, four times more in each next
 
 
 def n_groups(num: int, den: int, size: int = SIZE, miss: float = MISS) -> int:
@@ -116,77 +116,98 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
         signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("set_key")
               .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                    F.first("groups").alias("groups")), "sets")
-    keys = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("groups")[i], F.col("groups")[j])
-                     for i, j in itertools.combinations(range(groups), 2)])
-    keyed = reps.select("rep", "n", F.explode(keys).alias("key"))
+    pairs_of = list(itertools.combinations(range(groups), 2))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("groups")[i], F.col("groups")[j]) for i, j in pairs_of])
+    keyed = reps.select("set_key", "rep", F.posexplode(keys).alias("t", "key"))
     shared = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("pivot"))
                    .where(F.col("members") > 1))
     buckets = cut_lineage(keyed.join(shared, "key"), "buckets")
 
-    links = None
+    check = _Check(src, reps, k, num, den)
+    links = check.links(buckets.where(F.col("rep") != F.col("pivot"))
+                               .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     used = cut_lineage(buckets.select("key", F.col("pivot").alias("rep")).distinct(), "used")
-    pairs = (buckets.where(F.col("rep") != F.col("pivot"))
-                    .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+    n_pivots = PIVOTS
     while True:
-        found = _verified(src, cut_lineage(pairs, "pairs"), reps, k, num, den)
-        links = found if links is None else cut_lineage(links.unionByName(found), "links")
         comp = components(links, "a", "b")
-        open_ = cut_lineage(_open(buckets, comp), "open")
-        pivots = cut_lineage(_pivots(open_, used), "pivots")
+        open_ = cut_lineage(_open(buckets, comp).join(reps.select("set_key", "n", "groups"), "set_key"), "open")
+        pivots = cut_lineage(_pivots(open_, used, n_pivots), "pivots")
         if pivots.isEmpty():
             break
-        pairs = _next_pairs(open_, pivots)
+        found = check.links(_next_pairs(open_, pivots, pairs_of, num, den))
+        links = cut_lineage(links.unionByName(found), "links")
         used = cut_lineage(used.unionByName(pivots.select("key", "rep")), "used")
+        n_pivots *= 4
     member = signed.join(reps.select("set_key", "rep"), "set_key", "left")
     return _labelled(member, comp, links)
 
 
-def _verified(src: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets fulfil den * |a & b| >= num * |a | b|."""
-    size = reps.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    cand = (pairs.join(size.select(F.col("rep").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
-                 .join(size.select(F.col("rep").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
-                 .where((F.col("ahi") * den >= F.col("blo") * num) & (F.col("bhi") * den >= F.col("alo") * num))
-                 .select("a", "b"))
-    cand = cut_lineage(cand, "candidates")
-    ids = cut_lineage(cand.select(F.col("a").alias("doc_id")).unionByName(
-        cand.select(F.col("b").alias("doc_id"))).distinct(), "needed")
-    sets = src.join(small(ids), "doc_id", "left_semi").mapInArrow(_setter(k), "rep long, items array<long>")
-    sets = cut_lineage(sets, "full_sets")
-    both = (cand.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
-                .join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b"))
-    inter = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", inter.cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-    return cut_lineage(both.where((F.col("i") > 0) & (F.col("i") * den >= (F.col("s") - F.col("i")) * num))
-                           .select("a", "b").distinct(), "links")
+class _Check:
+    """Confirms pairs on full sets; sets are made once per document that any pair names."""
+
+    def __init__(self, src: DataFrame, reps: DataFrame, k: int, num: int, den: int):
+        self.src, self.k, self.num, self.den = src, k, num, den
+        self.size = reps.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        self.sets: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets fulfil den * |a & b| >= num * |a | b|."""
+        num, den = self.num, self.den
+        of = lambda c: self.size.select(F.col("rep").alias(c), F.col("lo").alias(c + "lo"), F.col("hi").alias(c + "hi"))
+        cand = (pairs.join(of("a"), "a").join(of("b"), "b")
+                     .where((F.col("ahi") * den >= F.col("blo") * num) & (F.col("bhi") * den >= F.col("alo") * num))
+                     .select("a", "b"))
+        cand = cut_lineage(cand, "candidates")
+        ids = cand.select(F.col("a").alias("doc_id")).unionByName(cand.select(F.col("b").alias("doc_id"))).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
+        ids = cut_lineage(ids, "needed")
+        if self.sets is None or not ids.isEmpty():
+            more = cut_lineage(self.src.join(small(ids), "doc_id", "left_semi").mapInArrow(
+                _setter(self.k), "rep long, items array<long>"), "full_sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        both = (cand.join(self.sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
+                    .join(self.sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b"))
+        inter = F.size(F.array_intersect("x", "y"))
+        both = both.select("a", "b", inter.cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
+        return cut_lineage(both.where((F.col("i") > 0) & (F.col("i") * den >= (F.col("s") - F.col("i")) * num))
+                               .select("a", "b").distinct(), "links")
 
 
 def _open(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component: (key, rep, members, comp)."""
-    at = (buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-                 .select("key", "rep", "members", F.coalesce("component", "rep").alias("comp")))
+    """Members of buckets that still hold more than one component."""
+    at = (buckets.where(F.col("members") > 2).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+                 .select("key", "t", "set_key", "rep", "members", F.coalesce("component", "rep").alias("comp")))
     mixed = (at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                .where(F.col("lo") != F.col("hi")).select("key"))
-    return at.join(mixed, "key", "left_semi").where(F.col("members") > 2)
+    return at.join(mixed, "key", "left_semi")
 
 
-def _pivots(open_: DataFrame, used: DataFrame) -> DataFrame:
-    """(key, rep, comp): members of open buckets to compare the others with next."""
+def _pivots(open_: DataFrame, used: DataFrame, n_pivots: int) -> DataFrame:
+    """Members of open buckets to compare the others with next."""
     fresh = open_.join(used, ["key", "rep"], "left_anti")
-    few = fresh.where(F.col("members") <= PAIR_BUCKET).select("key", "rep", "comp")
+    cols = ["rep", "set_key", "comp", "n", "groups"]
+    few = fresh.where(F.col("members") <= PAIR_BUCKET).select("key", *cols)
     many = (fresh.where(F.col("members") > PAIR_BUCKET)
-                 .groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("slot"))
-                 .agg(F.min(F.struct("rep", "comp")).alias("p"))
-                 .select("key", F.col("p.rep").alias("rep"), F.col("p.comp").alias("comp")))
-    return few.unionByName(many).distinct()
-
-
-def _next_pairs(open_: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Pairs of a pivot and a member of another component in the same bucket."""
-    p = pivots.select("key", F.col("rep").alias("b"), F.col("comp").alias("bc"))
-    return (open_.join(p, "key").where(F.col("comp") != F.col("bc"))
-                 .where((F.col("members") > PAIR_BUCKET) | (F.col("rep") > F.col("b")))
-                 .select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct())
+                 .groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(n_pivots)).alias("slot"))
+                 .agg(F.min(F.struct(*cols)).alias("p")).select("key", "p.*"))
+    return few.unionByName(many)
+
+
+def _next_pairs(open_: DataFrame, pivots: DataFrame, pairs_of: list[tuple[int, int]], num: int, den: int) -> DataFrame:
+    """Pairs of a pivot and a member of another component in the same bucket whose set sizes allow
+    a link, each taken from the first table the two share."""
+    p = pivots.select("key", *[F.col(c).alias("p_" + c) for c in ("rep", "comp", "n", "groups")])
+    same = F.filter(F.transform(F.arrays_zip("groups", "p_groups"), lambda x, i: F.when(x["groups"] == x["p_groups"], i)),
+                    lambda i: i.isNotNull())
+    table = {ij: t for t, ij in enumerate(pairs_of)}
+    wide = max(j for _, j in pairs_of) + 1
+    number = F.create_map(*[F.lit(x) for (i, j), t in table.items() for x in (i * wide + j, t)])
+    first = F.element_at(number, F.get(same, 0) * wide + F.get(same, 1))
+    both = open_.join(p, "key").where(
+        (F.col("comp") != F.col("p_comp")) & ((F.col("members") > PAIR_BUCKET) | (F.col("rep") > F.col("p_rep")))
+        & (F.col("n") * den >= F.col("p_n") * num) & (F.col("p_n") * den >= F.col("n") * num) & (first == F.col("t")))
+    return both.select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
 
 
 def _labelled(member: DataFrame, comp: DataFrame, links: DataFrame) -> DataFrame:
