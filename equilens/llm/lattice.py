@@ -143,7 +143,7 @@ def _coder(scale: float, probes: int, rounds: int):
 
 
 def _meet(threshold: float, width: int):
-    def links(x, home, code, a, b):  # noqa: ANN001
+    def links(x, home, a, b):  # noqa: ANN001
         """Index pairs (from a, from b) in one cell with a sufficient cosine."""
         s = x[a] @ x[b].T
         i, j = np.nonzero(s >= threshold - 1e-9)
@@ -173,8 +173,7 @@ def _meet(threshold: float, width: int):
         home, blk = pdf["home"].to_numpy(), pdf["blk"].to_numpy()
         cells, bi, bj = pdf["code"].to_numpy(), pdf["bi"].to_numpy(), pdf["bj"].to_numpy()
         label = pdf["label"].to_numpy()
-        code = np.stack(pdf["codes"].to_numpy()) if len(pdf) else np.zeros((0, width), np.int64)
-        code = code.reshape(len(pdf), -1, width)
+        codes_of = pdf["codes"].to_numpy()
         new = np.ones(len(pdf), dtype=bool)
         new[1:] = (label[1:] != label[:-1]) | (cells[1:] != cells[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
         bounds = np.append(np.flatnonzero(new), len(pdf))
@@ -184,14 +183,15 @@ def _meet(threshold: float, width: int):
             x = _unit(np.stack(vecs[lo:hi]))
             at = np.arange(hi - lo)
             if bi[lo] == bj[lo]:
-                i, j = links(x, home[lo:hi], None, at, at)
+                i, j = links(x, home[lo:hi], at, at)
                 keep = i < j
                 i, j = i[keep], j[keep]
             else:
-                i, j = links(x, home[lo:hi], None, at[blk[lo:hi] == bi[lo]], at[blk[lo:hi] == bj[lo]])
+                i, j = links(x, home[lo:hi], at[blk[lo:hi] == bi[lo]], at[blk[lo:hi] == bj[lo]])
             if not len(i):
                 continue
-            counted = first_cell(code[lo:hi], i, j) == cells[lo]
+            code = np.stack(codes_of[lo:hi]).reshape(hi - lo, -1, width)
+            counted = first_cell(code, i, j) == cells[lo]
             n = np.zeros(hi - lo, dtype=np.int64)
             np.add.at(n, i[counted], copies[lo:hi][j[counted]])
             np.add.at(n, j[counted], copies[lo:hi][i[counted]])
