@@ -84,9 +84,10 @@ def duplicate_units(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str
         _digests(min_words), "doc_id long, text_hash long, start long, end long, d1 long, d2 long"), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
     # repeats only: a count and a minimum per digest, combined on the map side, so the commonest
-    # line is one row per task; the join back can be split by AQE
-    first = (units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
-                  .where(F.col("n") > 1).select("d1", "d2", "first"))
+    # line is one row per task; written, so that both sides of the join back are shuffled anew
+    # and AQE can split the commonest line's occurrences
+    first = cut_lineage(units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
+                  .where(F.col("n") > 1).select("d1", "d2", "first"), "repeated_units")
     return (units.join(first, ["d1", "d2"]).where(rank != F.col("first"))
                  .select("doc_id", "text_hash", "start", "end", F.col("first.doc_id").alias("first_doc"),
                          F.col("first.start").alias("first_start")))
