@@ -63,7 +63,7 @@ def brute_vectors(rows, threshold=0.98):
     for a in ok:
         for b in ok:
             if a < b and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
-                x, y = np.array(rows[a][1], float), np.array(rows[b][1], float)
+                x, y = (np.array(rows[k][1], float) / max(map(abs, rows[k][1])) for k in (a, b))
                 if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= threshold:
                     links[a].add(b)
                     links[b].add(a)
