@@ -31,7 +31,7 @@ from .common import bound_batches, chunks, mix, powers, utf8, worker_cache
 SIZE = 1024
 END_ID = 0
 CACHE_BITS = 22               # slots of a worker's cache of stretches; it starts anew when half full
-SLOT_ROWS = 20_000            # aimed pieces per rank slot
+SLOT_ROWS = 1_000             # aimed pieces per rank slot
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 # lead and second bytes of the white space characters beyond ASCII
