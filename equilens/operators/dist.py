@@ -216,7 +216,8 @@ def sample_n(df: DataFrame, n: int, seed: int, id_col: str = "row_id",
     return k_smallest(u.withColumn("__s", F.lit(1)), ["__s"], quotas, "__u", id_col).drop("__u", "__s")
 
 
-PREFIX_SPLITS = 256
+PREFIX_SPLITS = 256            # buckets of a small table
+PREFIX_BUCKET_ROWS = 500_000   # rows aimed at per bucket in a larger one
 ASOF_BUCKET_ROWS = 1_000_000
 ASOF_FILL_CORES = True
 
@@ -231,13 +232,18 @@ def column_splits(df: DataFrame, cols: Sequence[str], splits: int = PREFIX_SPLIT
     return {c: sorted(set(float(v) for v in q if v == v)) for c, q in zip(cols, qs)}
 
 
+def n_splits(rows: int) -> int:
+    """Value buckets for a table: at least PREFIX_SPLITS, growing with its rows."""
+    return max(PREFIX_SPLITS, -(-rows // PREFIX_BUCKET_ROWS))
+
+
 def bucketed_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
-                  splits: int = PREFIX_SPLITS) -> DataFrame:
+                  splits: int | None = None) -> DataFrame:
     """Unpivot numeric columns to (keep..., feature, __b, value): ``__b`` is the
     value bucket from a multi-column Bucketizer (binary search in the JVM),
     ``value`` has -0.0 folded into 0.0."""
     cols = list(cols)
-    sp = column_splits(df, cols, splits)
+    sp = column_splits(df, cols, n_splits(df.count()) if splits is None else splits)
     x = df.select(*keep, *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(cols)])
     bz = Bucketizer(splitsArray=[[-math.inf] + sp[c] + [math.inf] for c in cols],
                     inputCols=[f"__v{i}" for i in range(len(cols))],

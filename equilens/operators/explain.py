@@ -195,9 +195,9 @@ def lime_importance(weights: DataFrame, n_explained: int) -> DataFrame:
         (F.sum(F.abs("weight")) / F.lit(max(1, n_explained))).alias("mean_abs"))
 
 
-def explain_sample(df: DataFrame, n: int, seed: int, salt: str) -> DataFrame:
-    """The rows to explain / the background: n rows by hash order."""
-    return sample_n(df, n, seed, "row_id", salt)
+def explain_sample(df: DataFrame, n: int | None, seed: int, salt: str) -> DataFrame:
+    """The rows to explain / the background (X1): all of them, or n rows by hash order."""
+    return df if n is None else sample_n(df, n, seed, "row_id", salt)
 
 
 # ---------------------------------------------------------------------------
@@ -322,36 +322,26 @@ def tree_shap(model: Model, rows: DataFrame, features: Sequence[str], keep: Sequ
     """(row_id, keep..., feature, phi) for the class-1 probability of a Spark
     random forest / decision tree; sum(phi) + base value = predicted probability.
 
-    The node arrays are broadcast. Work is split by trees as well as rows: each
-    row is replicated once per tree group (a generator, G <= parallelism),
-    every task walks only its group's trees for its rows (vectorised over the
-    Arrow batch), and a grouped sum combines the groups."""
+    The node arrays are broadcast (bounded by the model); every task walks all trees for its own
+    rows, vectorised over the Arrow batch, so rows are neither copied nor shuffled."""
     feats = list(features)
     trees = forest_arrays(model)
     spark = rows.sparkSession
-    groups = max(1, min(len(trees), spark.sparkContext.defaultParallelism))
     bc = spark.sparkContext.broadcast(trees)
     keep = list(keep)
-    n_trees = len(trees)
 
     def fn(it):
         ts = bc.value
         for pdf in it:
             if pdf.empty:
                 continue
-            for g, part in pdf.groupby("__g"):
-                X = part[feats].to_numpy(dtype=np.float64)
-                mine = ts[int(g)::groups]
-                phi = sum(_tree_phi(t, X) for t in mine)
-                out = part[["row_id", *keep]].loc[np.repeat(part.index.to_numpy(), len(feats))]
-                out = out.reset_index(drop=True)
-                out["feature"] = np.tile(np.array(feats, dtype=object), len(part))
-                out["phi"] = phi.ravel()
-                yield out
+            X = pdf[feats].to_numpy(dtype=np.float64)
+            phi = sum(_tree_phi(t, X) for t in ts) / len(ts)
+            out = pdf[["row_id", *keep]].loc[np.repeat(pdf.index.to_numpy(), len(feats))].reset_index(drop=True)
+            out["feature"] = np.tile(np.array(feats, dtype=object), len(pdf))
+            out["phi"] = phi.ravel()
+            yield out
 
     key_types = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep]
     schema = ", ".join(["row_id long", *key_types, "feature string", "phi double"])
-    x = rows.select("row_id", *keep, *feats).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__g"))
-    part = x.repartition(groups, "__g").mapInPandas(fn, schema)
-    return part.groupBy("row_id", *keep, "feature").agg((F.sum("phi") / n_trees).alias("phi"))
+    return rows.select("row_id", *keep, *feats).mapInPandas(fn, schema)

@@ -299,6 +299,10 @@ def prepare(df: DataFrame, spec: AuditSpec, seed: int = 42,
     # the label rule, imputation fits, split, encoder and scaler each run a few
     # small jobs over this table: materialise it once instead of re-running the source
     base = cut_lineage(base.where(F.col("y").isNotNull()), "raw")
+    # draws, splits and joins go by row id: repeated ids would multiply or merge rows
+    twice = base.groupBy("row_id").count().where(F.col("count") > 1).limit(1).collect()
+    if twice:
+        raise ValueError(f"row id {twice[0][0]} occurs {twice[0][1]} times; ids must be unique")
     base = to_binary(base, "y")
     filled, fills = impute(base, numeric, categorical)
     split = cut_lineage(stratified_split(filled, "y", test_size, seed, "row_id"), "split")

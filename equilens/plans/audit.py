@@ -23,7 +23,7 @@ from ..operators import model as mx
 from ..operators import prep as px
 from ..operators import report as rp
 from ..session import cut_lineage
-from ..spec import SHAP_BACKGROUND, SHAP_EXPLAIN, AuditSpec
+from ..spec import COUNTERFACTUAL_N, AuditSpec
 
 VARIANTS = ("baseline", "smote", "cf", "gan", "full")
 
@@ -49,8 +49,8 @@ def _summary_struct(fair: DataFrame) -> dict:
 
 
 def audit_one(df: DataFrame, spec: AuditSpec, model_kind: str = "rf", seed: int = 42,
-              run_xai: bool = True, n_explain: int = SHAP_EXPLAIN,
-              n_background: int = SHAP_BACKGROUND, n_perm: int = 10) -> AuditResult:
+              run_xai: bool = True, n_explain: int | None = None,
+              n_background: int | None = None, n_perm: int = 10) -> AuditResult:
     """Full audit of one table (the reference's per-dataset run)."""
     spark = df.sparkSession
     t0 = time.perf_counter()
@@ -72,7 +72,7 @@ def audit_one(df: DataFrame, spec: AuditSpec, model_kind: str = "rf", seed: int
 
     # stage 2: every synthetic batch once
     b = ax.augment_batches(train, feats, spec.sensitive, seed,
-                           ("baseline", "smote", "cf", "copula", "full"))
+                           ("baseline", "smote", "cf", "copula", "full"), cf_n=COUNTERFACTUAL_N)
     gan = b["copula"]
     fidel = fid.fidelity(gan, state.numeric, state.categorical).first()
     mark("augment")
@@ -155,14 +155,18 @@ def audit_all(spark: SparkSession, loaders: dict[str, Loader], names: Sequence[s
 
 def sweep(spark: SparkSession, loaders: dict[str, Loader], seeds: Sequence[int],
           names: Sequence[str] | None = None, model_kind: str = "rf", run_xai: bool = False
-          ) -> DataFrame | None:
-    """Multi-seed sweep: one run row per (dataset, seed)."""
-    out = None
+          ) -> tuple[DataFrame | None, DataFrame]:
+    """Multi-seed sweep: one run row per (dataset, seed), and the failures (seed, dataset, error)."""
+    out = failed = None
     for s in seeds:
-        runs, _ = audit_all(spark, loaders, names, model_kind, s, run_xai)
+        runs, errs = audit_all(spark, loaders, names, model_kind, s, run_xai)
+        errs = errs.select(F.lit(s).alias("seed"), "dataset", "error")
+        failed = errs if failed is None else failed.unionByName(errs)
         if runs is not None:
             out = runs if out is None else out.unionByName(runs)
-    return out
+    if failed is None:
+        failed = spark.createDataFrame([], "seed int, dataset string, error string")
+    return out, failed
 
 
 def summary_from_runs(runs: DataFrame) -> DataFrame:
@@ -183,8 +187,8 @@ def summary_from_runs(runs: DataFrame) -> DataFrame:
     return g.select(
         F.lit(None).cast("int").alias("pos"), "dataset", F.lit(None).cast("string").alias("domain"),
         F.array_join("sens", ", ").alias("sensitive"), F.col("size").cast("long").alias("size"),
-        F.struct(F.col("baseline").alias("baseline"), F.col("gan").alias("smote_gan_only"),
-                 F.col("cf").alias("counterfactual_only"), F.col("smote").alias("smote_gan_then_cf"),
+        F.struct(F.col("baseline").alias("baseline"), F.lit(None).cast("double").alias("smote_gan_only"),
+                 F.col("cf").alias("counterfactual_only"), F.lit(None).cast("double").alias("smote_gan_then_cf"),
                  F.col("mean").alias("full_framework")).alias("accuracy"),
         F.struct(F.col("baseline").alias("baseline"), F.col("mean").alias("mean"), F.col("low").alias("low"),
                  F.col("high").alias("high")).alias("stability_10runs"),

@@ -303,9 +303,33 @@ def q_stratified_sample(spark, sf):
     return ax.stratified_sample(o, 1500, "o_orderpriority", seed=0)
 
 
+@register("stratified_sample_nulls")
+def q_stratified_sample_nulls(spark, sf):
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_orderpriority"]).select(
+        F.col("o_orderkey").alias("row_id"),
+        F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")).alias("key"))
+    return ax.stratified_sample(o, 1500, "key", seed=0)
+
+
+@register("smote_duplicates")
+def q_smote_duplicates(spark, sf):
+    """SMOTE and counterfactual row counts over lineitem columns full of equal rows."""
+    from .registry import _with_id
+    li = read_table(spark, sf, "lineitem", ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"])
+    t = _with_id(li.select(F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d"),
+                           ((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)
+                            & (F.col("l_quantity") > 40)).cast("int").alias("y"),
+                           (F.col("l_linestatus") == "O").cast("double").alias("s_o"),
+                           (F.col("l_linestatus") == "O").cast("double").alias("o")))
+    sm = ax.smote(t, ["q", "d"], ["s_o"], "y", seed=42)
+    cf = ax.counterfactual(t, ["o"], ["q", "d", "o"])
+    return sm.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("synth_id").alias("n_ids")).unionByName(
+        cf.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("synth_id").alias("n_ids")))
+
+
 @register("counterfactual")
 def q_counterfactual(spark, sf):
-    cf = ax.counterfactual(_train_prepared(spark, sf), frames.SENSITIVE_C, FEATS_C, n=1000, seed=42)
+    cf = ax.counterfactual(_train_prepared(spark, sf), frames.SENSITIVE_C, FEATS_C, seed=42)
     return rounded(cf.drop("synth_id"))
 
 
@@ -372,7 +396,7 @@ def q_resample_sensitive(spark, sf):
 @register("augment_full")
 def q_augment_full(spark, sf):
     tr = _train_prepared(spark, sf)
-    return rounded(ax.augment(tr, FEATS_C, frames.SENSITIVE_C, "full", seed=42))
+    return rounded(ax.augment_batches(tr, FEATS_C, frames.SENSITIVE_C, 42, ("full",))["full"])
 
 
 @register("ks_two_sample")
@@ -400,13 +424,14 @@ def q_fidelity_docs(spark, sf):
 def q_fidelity_cf(spark, sf):
     tr = _train_prepared(spark, sf)
     real = tr.select(*FEATS_C, F.lit("real").alias("origin"))
-    cf = ax.counterfactual(tr, frames.SENSITIVE_C, FEATS_C, n=1000, seed=42).select(*FEATS_C, "origin")
+    cf = ax.counterfactual(tr, frames.SENSITIVE_C, FEATS_C, seed=42).select(*FEATS_C, "origin")
     return rounded(fid.fidelity(real.unionByName(cf), frames.NUMERIC_C, frames.CATEGORICAL_C))
 
 
 # ---------------------------------------------------------------------------
 # Stage 3-6: scoring, metrics, attributions, audit records (M, X, A)
 # ---------------------------------------------------------------------------
+from ..functions.mathx import hash_uniform  # noqa: E402
 from ..operators import explain as xx  # noqa: E402
 from ..operators import model as mx  # noqa: E402
 from ..operators import report as rp  # noqa: E402
@@ -461,7 +486,7 @@ def _linear_attr(spark, sf, seed=42):
     out, _ = _prepared_c(spark, sf)
     train = out.where(F.col("split") == "train")
     test = out.where(F.col("split") == "test")
-    means = xx.background_means(xx.explain_sample(train, 200, seed, "background"), FEATS_C)
+    means = xx.background_means(train, FEATS_C)
     return xx.linear_shap(test, LINEAR_BETA, means, ["s_c_mktsegment"])
 
 
@@ -499,10 +524,10 @@ def q_topk_consistency(spark, sf):
     train = out.where(F.col("split") == "train")
     test = out.where(F.col("split") == "test")
     imps = None
+    means = xx.background_means(train, FEATS_C)
     for s in CONSISTENCY_SEEDS:
-        # the explained rows change with the seed; the background stays fixed
-        ex = xx.explain_sample(test, 200, s, "explain")
-        means = xx.background_means(xx.explain_sample(train, 200, 42, "background"), FEATS_C)
+        # a random half of the test rows per seed; the background stays fixed
+        ex = test.where(hash_uniform(s, "explain", "row_id") < 0.5)
         imp = xx.importance(xx.linear_shap(ex, LINEAR_BETA, means)).withColumn("run_id", F.lit(s))
         imps = imp if imps is None else imps.unionByName(imp)
     return rounded(xx.topk_consistency(imps, FEATS_C, 2))
@@ -554,6 +579,7 @@ def q_train_eval_rf(spark, sf):
 
 @register("ablate")
 def q_ablate(spark, sf):
+    # the fitted counterfactual set is bounded by COUNTERFACTUAL_N base rows
     tr, te = _ml_split(spark, sf)
     return rounded(mx.ablate(tr, te, FEATS_C, frames.SENSITIVE_C, model_kind="lr"))
 
@@ -562,8 +588,8 @@ def q_ablate(spark, sf):
 def q_kernel_shap(spark, sf):
     tr, te = _ml_split(spark, sf)
     r = mx.train_eval(tr, te, FEATS_C, "rf")
-    means = xx.background_means(xx.explain_sample(tr, 200, 42, "background"), FEATS_C)
-    ex = xx.explain_sample(te, 200, 42, "explain")
+    means = xx.background_means(tr, FEATS_C)
+    ex = te
     return rounded(xx.sampling_shap(r.model, ex, FEATS_C, means, 10, 42, ["s_c_mktsegment"]))
 
 
@@ -571,7 +597,7 @@ def q_kernel_shap(spark, sf):
 def q_tree_shap(spark, sf):
     tr, te = _ml_split(spark, sf)
     r = mx.train_eval(tr, te, FEATS_C, "rf")
-    ex = xx.explain_sample(te, 200, 42, "explain")
+    ex = te
     return rounded(xx.tree_shap(r.model, ex, FEATS_C, ["s_c_mktsegment"]))
 
 
@@ -579,7 +605,7 @@ def q_tree_shap(spark, sf):
 def q_lime(spark, sf):
     tr, te = _ml_split(spark, sf)
     r = mx.train_eval(tr, te, FEATS_C, "lr")
-    ex = xx.explain_sample(te, 25, 42, "lime")
+    ex = te
     return rounded(xx.lime(r.model, ex, tr, FEATS_C, 200, 42))
 
 
@@ -646,7 +672,7 @@ def q_runs_report(spark, sf):
     run history -> audit summary rows (A7) joined with seed statistics (Y2)."""
     from .audit import sweep
     from .registry import fixture_loaders
-    runs = sweep(spark, {"orders_tab": fixture_loaders(sf)["orders_tab"]}, [42, 43],
+    runs, _ = sweep(spark, {"orders_tab": fixture_loaders(sf)["orders_tab"]}, [42, 43],
                  model_kind="lr", run_xai=False)
     summ = rp.audit_summary(runs).drop("runtime_sec", "shap_flagged")
     stats = rp.seed_stats(runs, "accuracy_full")

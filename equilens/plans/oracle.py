@@ -388,6 +388,22 @@ r AS (SELECT o.o_orderkey AS row_id, o.o_orderpriority,
       FROM orders o)
 SELECT r.row_id, r.o_orderpriority FROM r JOIN q USING (o_orderpriority) WHERE r.rn <= q.quota"""
 
+ORACLE["stratified_sample_nulls"] = f"""
+WITH k AS (SELECT o_orderkey AS row_id, nullif(o_orderpriority, '1-URGENT') AS key FROM orders),
+kn AS (SELECT * FROM k WHERE key IS NOT NULL),
+s AS (SELECT key, count(*) AS cnt FROM kn GROUP BY 1),
+q AS (SELECT key, CAST(least(cnt, greatest(1, round_even(
+        {D('cnt')} / {D('(SELECT count(*) FROM kn)')} * CAST(1500 AS DOUBLE), 0))) AS BIGINT) AS quota FROM s),
+r AS (SELECT kn.*, row_number() OVER (PARTITION BY key ORDER BY {hash_uniform_sql(0, 'strat', 'kn.row_id')}, kn.row_id) AS rn
+      FROM kn)
+SELECT r.row_id, r.key FROM r JOIN q USING (key) WHERE r.rn <= q.quota"""
+
+ORACLE["smote_duplicates"] = """
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R' AND l_discount >= 0.09 AND l_quantity > 40) AS p,
+                  count(DISTINCT l_linestatus = 'O') AS k FROM lineitem)
+SELECT 'smote' AS origin, CAST(n - 2 * p AS BIGINT) AS n, CAST(n - 2 * p AS BIGINT) AS n_ids FROM c
+UNION ALL SELECT 'cf', CAST(n * (1 + k) AS BIGINT), CAST(n * (1 + k) AS BIGINT) FROM c"""
+
 
 def _cf_union(src: str) -> str:
     feats = ", ".join(f"b.{c}" for c in FEATS_C)
@@ -402,7 +418,7 @@ def _cf_union(src: str) -> str:
 
 
 CF_CTES = f"""{PREP_TRAIN},
-cfbase AS (SELECT * FROM trn ORDER BY {hash_uniform_sql(42, 'cf', 'row_id')}, row_id LIMIT 1000),
+cfbase AS (SELECT * FROM trn),
 cfv AS ({_cf_union('cfbase')})"""
 
 ORACLE["counterfactual"] = f"""WITH {CF_CTES}
@@ -628,14 +644,13 @@ LINEAR_BETA = {"o_totalprice": 0.9, "c_acctbal": 0.35, "o_orderpriority": -0.2,
                "c_mktsegment": 0.15, "r_name": -0.1}
 
 
-def linear_ctes(seed_bg: int = 42, explain: str = "tst") -> str:
+def linear_ctes(explain: str = "tst") -> str:
     means = ", ".join(f"avg({c}) AS m_{c}" for c in FEATS_C)
     parts = " UNION ALL ".join(
         f"SELECT e.row_id, e.s_c_mktsegment, '{c}' AS feature, "
         f"{LINEAR_BETA[c]!r} * ({c} - bm.m_{c}) AS phi FROM {explain} e, bm" for c in FEATS_C)
     return f"""
-bgs AS (SELECT * FROM prep WHERE split = 'train'
-        ORDER BY {hash_uniform_sql(seed_bg, 'background', 'row_id')}, row_id LIMIT 200),
+bgs AS (SELECT * FROM prep WHERE split = 'train'),
 bm AS (SELECT {means} FROM bgs),
 la AS ({parts})"""
 
@@ -660,11 +675,11 @@ SELECT feature, CAST(rank AS INTEGER) AS rank FROM rnk WHERE rank <= 3"""
 
 
 def _consistency_sql() -> str:
-    # one explained sample per seed; the background stays the seed-42 sample
+    # a random half of the test rows per seed; the background stays fixed
     parts = []
     for s in (42, 43, 44, 45, 46):
         ex = (f"(SELECT * FROM prep WHERE split = 'test' "
-              f"ORDER BY {hash_uniform_sql(s, 'explain', 'row_id')}, row_id LIMIT 200)")
+              f"AND {hash_uniform_sql(s, 'explain', 'row_id')} < 0.5)")
         for c in FEATS_C:
             parts.append(f"SELECT {s} AS run_id, '{c}' AS feature, {LINEAR_BETA[c]!r} * (e.{c} - bm.m_{c}) AS phi "
                          f"FROM {ex} e, bm")

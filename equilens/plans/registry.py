@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators import prep as px
 from ..sources.tables import read_csv
+from ..session import cut_lineage
 from ..spec import AuditSpec
 from . import frames
 
@@ -46,8 +47,9 @@ TITANIC_KEEP = ["pclass", "sex", "age", "sibsp", "parch", "fare", "embarked", "s
 
 
 def _with_id(df: DataFrame) -> DataFrame:
-    # a stable row id from the content (files carry none); ties broken by the hash itself
-    return df.withColumn("row_id", F.xxhash64(*df.columns))
+    """``df`` with a unique ``row_id`` by position in the files (which carry none). The table is
+    written, so ids stay the same for every later reader; equal rows get different ids."""
+    return cut_lineage(df.withColumn("row_id", F.monotonically_increasing_id()), "identified")
 
 
 def load_adult(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:

@@ -66,15 +66,6 @@ def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast-hint ``df`` only when it provably holds at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows per partition (a limit, not a
-    full count); larger inputs stay unhinted and Spark/AQE picks a shuffle join.
+    full count) at every use, since a table may grow under the same path; larger inputs stay unhinted and Spark/AQE picks a shuffle join.
     """
-    key = (df.semanticHash(), max_rows)
-    ok = _BROADCAST_OK.get(key)
-    if ok is None:
-        ok = df.limit(max_rows + 1).count() <= max_rows
-        _BROADCAST_OK[key] = ok
-    return F.broadcast(df) if ok else df
-
-
-# size-check results per (plan, limit) for the life of the process
-_BROADCAST_OK: dict[tuple[int, int], bool] = {}
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

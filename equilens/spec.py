@@ -14,14 +14,14 @@ DIR_LO, DIR_HI = 0.80, 1.25
 EOD_LIMIT = 0.10
 P_LIMIT = 0.05
 SMOTE_K = 5
-COUNTERFACTUAL_N = 1000
-SHAP_BACKGROUND = 200
-SHAP_EXPLAIN = 200
+COUNTERFACTUAL_N = 1000     # base rows of the copies a model is fitted on (ablation, audit); the operator takes all
 LIME_SAMPLES = 200
-LIME_EXPLAIN = 25
 DISPARITY_LIMIT = 0.20
 DISPARITY_FLOOR = 1e-6
 COPULA_CLIP = 1e-6
+CORR_UNKNOWN_SHIFT = 1e-6
+CORR_MIN_EIGENVALUE = 1e-6
+CORR_JITTER = 1e-8
 SEEDS = tuple(range(42, 52))
 MISSING_CATEGORY = "missing"
 

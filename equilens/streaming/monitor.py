@@ -27,9 +27,9 @@ def decisions_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> Da
     order / customer / nation / region tables (stream-static joins)."""
     path = os.path.join(sf_dir, "lineitem.parquet")
     schema = spark.read.parquet(path).schema
-    # a file stream watches a folder; new lineitem files are picked up as they land
+    # new files are picked up as they land, as lineitem*.parquet or inside such folders
     li = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-          .option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
+          .parquet(os.path.join(sf_dir, "lineitem*.parquet"))
           .select("l_orderkey", "l_shipdate", "l_returnflag", "l_discount"))
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_nationkey"])
@@ -87,7 +87,7 @@ def start_monitor(stream: DataFrame, sensitive: Sequence[str], out_path: str, da
                   checkpoint: str | None = None, windowed: bool = False, ts: str = "ts",
                   window: str = "30 days", watermark: str = "7 days", available_now: bool = True):
     """Start the monitor: counts in streaming state, fairness per micro-batch
-    appended (with the batch id) to Parquet at ``out_path``."""
+    written to its own ``batch_id`` partition of the Parquet table at ``out_path``."""
     spark = stream.sparkSession
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{dataset}"
     if windowed:
@@ -106,7 +106,8 @@ def start_monitor(stream: DataFrame, sensitive: Sequence[str], out_path: str, da
             f = fairness_of_counts(b, dataset, ["window_start"])
         else:
             f = fairness_of_counts(batch, dataset)
-        f.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        # one folder per batch, overwritten: a batch that is tried again is not written twice
+        f.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     w = counts.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -69,3 +69,12 @@ def test_prepare_shapes(spark):
     assert set(st.categorical) == {"cat"} and set(st.numeric) == {"a", "b"}
     prof = {r["split"]: r for r in px.profile(out, st.features).collect()}
     assert prof["train"]["n"] + prof["test"]["n"] == 300 and prof["test"]["n_null"] == 0
+
+
+def test_prepare_rejects_repeated_ids(spark):
+    import pytest
+    from equilens.operators import prep
+    from equilens.spec import AuditSpec
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 1, 3.0)], "row_id long, y int, x double")
+    with pytest.raises(ValueError, match="unique"):
+        prep.prepare(df, AuditSpec("t", "y", ["x"]))
