@@ -124,17 +124,19 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     buckets = cut_lineage(keyed.join(shared, "key"), "buckets")
 
     check = _Check(src, reps, k, num, den)
-    links = check.links(buckets.where(F.col("rep") != F.col("pivot"))
-                               .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+    links, far = check.links(buckets.where(F.col("rep") != F.col("pivot"))
+                                    .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), all_sizes=True)
+    far = far.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "d")
     used = cut_lineage(buckets.select("key", F.col("pivot").alias("rep")).distinct(), "used")
     n_pivots = PIVOTS
     while True:
         comp = components(links, "a", "b")
-        open_ = cut_lineage(_open(buckets, comp).join(reps.select("set_key", "n", "groups"), "set_key"), "open")
+        open_ = _open(buckets, comp).join(reps.select("set_key", "n", "groups"), "set_key").join(far, ["rep", "pivot"], "left")
+        open_ = cut_lineage(open_, "open")
         pivots = cut_lineage(_pivots(open_, used, n_pivots), "pivots")
         if pivots.isEmpty():
             break
-        found = check.links(_next_pairs(open_, pivots, pairs_of, num, den))
+        found, _ = check.links(_next_pairs(open_, pivots, pairs_of, num, den))
         links = cut_lineage(links.unionByName(found), "links")
         used = cut_lineage(used.unionByName(pivots.select("key", "rep")), "used")
         n_pivots *= 4
@@ -150,12 +152,13 @@ class _Check:
         self.size = reps.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         self.sets: DataFrame | None = None
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets fulfil den * |a & b| >= num * |a | b|."""
+    def links(self, pairs: DataFrame, all_sizes: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The pairs (a, b) whose full sets fulfil den * |a & b| >= num * |a | b|, and the largest
+        Jaccard distance (a, b, d) of every pair tested: those whose sizes allow a link, or all."""
         num, den = self.num, self.den
         of = lambda c: self.size.select(F.col("rep").alias(c), F.col("lo").alias(c + "lo"), F.col("hi").alias(c + "hi"))
         cand = (pairs.join(of("a"), "a").join(of("b"), "b")
-                     .where((F.col("ahi") * den >= F.col("blo") * num) & (F.col("bhi") * den >= F.col("alo") * num))
+                     .where(F.lit(all_sizes) | (F.col("ahi") * den >= F.col("blo") * num) & (F.col("bhi") * den >= F.col("alo") * num))
                      .select("a", "b"))
         cand = cut_lineage(cand, "candidates")
         ids = cand.select(F.col("a").alias("doc_id")).unionByName(cand.select(F.col("b").alias("doc_id"))).distinct()
@@ -170,23 +173,30 @@ class _Check:
                     .join(self.sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b"))
         inter = F.size(F.array_intersect("x", "y"))
         both = both.select("a", "b", inter.cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-        return cut_lineage(both.where((F.col("i") > 0) & (F.col("i") * den >= (F.col("s") - F.col("i")) * num))
-                               .select("a", "b").distinct(), "links")
+        linked = (F.col("i") > 0) & (F.col("i") * den >= (F.col("s") - F.col("i")) * num)
+        tested = cut_lineage(both.groupBy("a", "b").agg(
+            F.max(linked).alias("linked"), F.min(F.col("i") / (F.col("s") - F.col("i"))).alias("least"),
+            F.count(F.lit(1)).alias("n")), "tested")
+        # with several sets under one id the distance of a single pair of sets is not known
+        far = tested.select("a", "b", F.when(F.col("n") == 1, 1.0 - F.col("least")).alias("d"))
+        return tested.where("linked").select("a", "b"), far
 
 
 def _open(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component."""
+    """Members of buckets that still hold more than one component, with the largest (``main``)."""
     at = (buckets.where(F.col("members") > 2).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-                 .select("key", "t", "set_key", "rep", "members", F.coalesce("component", "rep").alias("comp")))
-    mixed = (at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-               .where(F.col("lo") != F.col("hi")).select("key"))
-    return at.join(mixed, "key", "left_semi")
+                 .select("key", "t", "set_key", "rep", "pivot", "members", F.coalesce("component", "rep").alias("comp")))
+    sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp")).alias("m"))
+                  .where(F.col("k") > 1).select("key", F.col("m.comp").alias("main")))
+    return at.join(mixed, "key")
 
 
 def _pivots(open_: DataFrame, used: DataFrame, n_pivots: int) -> DataFrame:
-    """Members of open buckets to compare the others with next."""
-    fresh = open_.join(used, ["key", "rep"], "left_anti")
-    cols = ["rep", "set_key", "comp", "n", "groups"]
+    """Members of open buckets to compare the others with next. Of any two components one is not
+    the main one, so pivots outside it meet every open pair."""
+    fresh = open_.where(F.col("comp") != F.col("main")).join(used, ["key", "rep"], "left_anti")
+    cols = ["rep", "set_key", "comp", "n", "groups", "d"]
     few = fresh.where(F.col("members") <= PAIR_BUCKET).select("key", *cols)
     many = (fresh.where(F.col("members") > PAIR_BUCKET)
                  .groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(n_pivots)).alias("slot"))
@@ -195,9 +205,10 @@ def _pivots(open_: DataFrame, used: DataFrame, n_pivots: int) -> DataFrame:
 
 
 def _next_pairs(open_: DataFrame, pivots: DataFrame, pairs_of: list[tuple[int, int]], num: int, den: int) -> DataFrame:
-    """Pairs of a pivot and a member of another component in the same bucket whose set sizes allow
-    a link, each taken from the first table the two share."""
-    p = pivots.select("key", *[F.col(c).alias("p_" + c) for c in ("rep", "comp", "n", "groups")])
+    """Pairs of a pivot and a member of another component in the same bucket, each taken from the
+    first table the two share. Pairs that cannot link are left out: by the sizes of their sets, and
+    by the triangle inequality, as both know their Jaccard distance to the bucket's first pivot."""
+    p = pivots.select("key", *[F.col(c).alias("p_" + c) for c in ("rep", "comp", "n", "groups", "d")])
     same = F.filter(F.transform(F.arrays_zip("groups", "p_groups"), lambda x, i: F.when(x["groups"] == x["p_groups"], i)),
                     lambda i: i.isNotNull())
     table = {ij: t for t, ij in enumerate(pairs_of)}
@@ -205,7 +216,8 @@ def _next_pairs(open_: DataFrame, pivots: DataFrame, pairs_of: list[tuple[int, i
     number = F.create_map(*[F.lit(x) for (i, j), t in table.items() for x in (i * wide + j, t)])
     first = F.element_at(number, F.get(same, 0) * wide + F.get(same, 1))
     both = open_.join(p, "key").where(
-        (F.col("comp") != F.col("p_comp")) & ((F.col("members") > PAIR_BUCKET) | (F.col("rep") > F.col("p_rep")))
+        (F.col("comp") != F.col("p_comp")) & ((F.col("comp") == F.col("main")) | (F.col("members") > PAIR_BUCKET) | (F.col("rep") > F.col("p_rep")))
+        & (F.coalesce(F.abs(F.col("d") - F.col("p_d")), F.lit(0.0)) <= 1 - num / den + 1e-9)
         & (F.col("n") * den >= F.col("p_n") * num) & (F.col("p_n") * den >= F.col("n") * num) & (first == F.col("t")))
     return both.select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
 
