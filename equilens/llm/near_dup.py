@@ -209,12 +209,13 @@ def _next_pairs(open_: DataFrame, pivots: DataFrame, pairs_of: list[tuple[int, i
     first table the two share. Pairs that cannot link are left out: by the sizes of their sets, and
     by the triangle inequality, as both know their Jaccard distance to the bucket's first pivot."""
     p = pivots.select("key", *[F.col(c).alias("p_" + c) for c in ("rep", "comp", "n", "groups", "d")])
-    same = F.filter(F.transform(F.arrays_zip("groups", "p_groups"), lambda x, i: F.when(x["groups"] == x["p_groups"], i)),
-                    lambda i: i.isNotNull())
-    table = {ij: t for t, ij in enumerate(pairs_of)}
-    wide = max(j for _, j in pairs_of) + 1
-    number = F.create_map(*[F.lit(x) for (i, j), t in table.items() for x in (i * wide + j, t)])
-    first = F.element_at(number, F.get(same, 0) * wide + F.get(same, 1))
+    # the first two collections that agree, told by plain comparisons that stay in generated code
+    agree = lambda i: F.col("groups")[i] == F.col("p_groups")[i]
+    last = max(j for _, j in pairs_of)
+    one = F.coalesce(*[F.when(agree(i), F.lit(i)) for i in range(last + 1)])
+    two = F.coalesce(*[F.when(agree(j) & (one < j), F.lit(j)) for j in range(1, last + 1)])
+    # number of the table of collections (i, j) in the order of ``pairs_of``
+    first = F.floor(one * (2 * last + 1 - one) / 2).cast("int") + two - one - 1
     both = open_.join(p, "key").where(
         (F.col("comp") != F.col("p_comp")) & ((F.col("comp") == F.col("main")) | (F.col("members") > PAIR_BUCKET) | (F.col("rep") > F.col("p_rep")))
         & (F.coalesce(F.abs(F.col("d") - F.col("p_d")), F.lit(0.0)) <= 1 - num / den + 1e-9)
