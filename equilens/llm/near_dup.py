@@ -11,12 +11,18 @@ Documents with equal shingle sets collapse to one node first. In every bucket th
 are compared with pivots instead of with each other; buckets whose members already share a
 component are done, the others get further pivots until no cross-component pair is left
 untested. All links are confirmed on the full shingle sets.
+
+Before a pair's full sets are fetched, two necessary conditions are tested: the set sizes, and
+the parity bitmaps. Bit b of a set's bitmap is the parity of its shingles that hash to b, so two
+bitmaps differ in at most as many bits as the sets do in shingles: a pair with more differing bits
+than the threshold allows differing shingles cannot link. This drops no link.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +35,9 @@ from .common import (bound_batches, chunks, components, lists_of, mix, shingles_
 
 SIZE = 2              # minhashes per collection
 MISS = 1e-4           # largest probability of missing a link at the threshold
+PARITY_BITS = 1024    # bits of a set's parity bitmap (a multiple of 64)
 PAIR_BUCKET = 512     # up to this many members all of a bucket become pivots in one round
-PIVOTS = 64           # pivots of the first such round in larger buckets, four times more in each next
+PIVOTS = 256          # pivots of the first such round in larger buckets, four times more in each next
 
 
 def n_groups(num: int, den: int, size: int = SIZE, miss: float = MISS) -> int:
@@ -49,6 +56,13 @@ def _sets(batch_texts: list[bytes], k: int):
     return [np.unique(h[at[i]:at[i + 1]]) for i in range(len(batch_texts))]
 
 
+def _parity(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of consecutive sets of ``n`` shingles each: (sets, PARITY_BITS / 64) int64."""
+    at = np.repeat(np.arange(len(n)) * PARITY_BITS, n) + (mix(flat) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(n) * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(n), -1)
+
+
 def _signer(k: int, groups: int, size: int):
     rng = np.random.default_rng(20240607)
     mul = rng.integers(1, 1 << 63, groups * size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,9 +77,11 @@ def _signer(k: int, groups: int, size: int):
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 full = np.flatnonzero(n)
                 keys = np.zeros((hi - lo, groups), dtype=np.int64)
+                bits = np.zeros((hi - lo, PARITY_BITS // 64), dtype=np.int64)
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
                     at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
+                    bits[full] = _parity(flat, n[full])
                     for g in range(groups):
                         acc = np.full(len(full), g + 1, dtype=np.uint64)
                         for j in range(g * size, g * size + size):
@@ -75,8 +91,9 @@ def _signer(k: int, groups: int, size: int):
                         keys[full, g] = acc.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest, pa.binary()),
-                     lists_of(keys.reshape(-1), np.arange(hi - lo + 1) * groups, pa.int64())],
-                    ["doc_id", "n", "set_key", "groups"])
+                     lists_of(keys.reshape(-1), np.arange(hi - lo + 1) * groups, pa.int64()),
+                     lists_of(bits.reshape(-1), np.arange(hi - lo + 1) * bits.shape[1], pa.int64())],
+                    ["doc_id", "n", "set_key", "groups", "bits"])
     return sign
 
 
@@ -111,34 +128,34 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     groups = n_groups(num, den, size, miss)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut_lineage(src.mapInArrow(
-        _signer(k, groups, size), "doc_id long, n long, set_key binary, groups array<long>"), "minhash")
+        _signer(k, groups, size), "doc_id long, n long, set_key binary, groups array<long>, bits array<long>"), "minhash")
     reps = cut_lineage(
         signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("set_key")
               .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
-                   F.first("groups").alias("groups")), "sets")
-    pairs_of = list(itertools.combinations(range(groups), 2))
-    keys = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("groups")[i], F.col("groups")[j]) for i, j in pairs_of])
-    keyed = reps.select("set_key", "rep", F.posexplode(keys).alias("t", "key"))
+                   F.first("groups").alias("groups"), F.first("bits").alias("bits")), "sets")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("groups")[i], F.col("groups")[j])
+                     for i, j in itertools.combinations(range(groups), 2)])
+    keyed = reps.select("set_key", "rep", F.explode(keys).alias("key"))
     shared = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("pivot"))
                    .where(F.col("members") > 1))
     buckets = cut_lineage(keyed.join(shared, "key"), "buckets")
 
     check = _Check(src, reps, k, num, den)
-    links, far = check.links(buckets.where(F.col("rep") != F.col("pivot"))
-                                    .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), all_sizes=True)
-    far = far.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "d")
-    used = cut_lineage(buckets.select("key", F.col("pivot").alias("rep")).distinct(), "used")
+    links = check.links(buckets.where(F.col("rep") != F.col("pivot"))
+                               .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+    used = cut_lineage(buckets.where(F.col("rep") == F.col("pivot")).select("key", "set_key"), "used")
     n_pivots = PIVOTS
+    comp = components(links, "a", "b")
     while True:
-        comp = components(links, "a", "b")
-        open_ = _open(buckets, comp).join(reps.select("set_key", "n", "groups"), "set_key").join(far, ["rep", "pivot"], "left")
-        open_ = cut_lineage(open_, "open")
+        open_ = cut_lineage(_open(buckets, comp).join(reps.select("set_key", "n", "bits"), "set_key"), "open")
         pivots = cut_lineage(_pivots(open_, used, n_pivots), "pivots")
         if pivots.isEmpty():
             break
-        found, _ = check.links(_next_pairs(open_, pivots, pairs_of, num, den))
-        links = cut_lineage(links.unionByName(found), "links")
-        used = cut_lineage(used.unionByName(pivots.select("key", "rep")), "used")
+        found = check.links(_next_pairs(open_, pivots, num, den))
+        if not found.isEmpty():
+            links = cut_lineage(links.unionByName(found), "links")
+            comp = components(links, "a", "b")
+        used = cut_lineage(used.unionByName(pivots.select("key", "set_key")), "used")
         n_pivots *= 4
     member = signed.join(reps.select("set_key", "rep"), "set_key", "left")
     return _labelled(member, comp, links)
@@ -149,16 +166,19 @@ class _Check:
 
     def __init__(self, src: DataFrame, reps: DataFrame, k: int, num: int, den: int):
         self.src, self.k, self.num, self.den = src, k, num, den
-        self.size = reps.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        # the bitmap of an id that several sets share is not known and passes every pair
+        self.size = reps.groupBy("rep").agg(
+            F.min("n").alias("lo"), F.max("n").alias("hi"),
+            F.when(F.count(F.lit(1)) == 1, F.first("bits")).alias("bits"))
         self.sets: DataFrame | None = None
 
-    def links(self, pairs: DataFrame, all_sizes: bool = False) -> tuple[DataFrame, DataFrame]:
-        """The pairs (a, b) whose full sets fulfil den * |a & b| >= num * |a | b|, and the largest
-        Jaccard distance (a, b, d) of every pair tested: those whose sizes allow a link, or all."""
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets fulfil den * |a & b| >= num * |a | b|."""
         num, den = self.num, self.den
-        of = lambda c: self.size.select(F.col("rep").alias(c), F.col("lo").alias(c + "lo"), F.col("hi").alias(c + "hi"))
+        of = lambda c: self.size.select(F.col("rep").alias(c), *[F.col(x).alias(c + x) for x in ("lo", "hi", "bits")])
         cand = (pairs.join(of("a"), "a").join(of("b"), "b")
-                     .where(F.lit(all_sizes) | (F.col("ahi") * den >= F.col("blo") * num) & (F.col("bhi") * den >= F.col("alo") * num))
+                     .where((F.col("ahi") * den >= F.col("blo") * num) & (F.col("bhi") * den >= F.col("alo") * num)
+                            & _may_link("abits", "bbits", F.col("ahi") + F.col("bhi"), num, den))
                      .select("a", "b"))
         cand = cut_lineage(cand, "candidates")
         ids = cand.select(F.col("a").alias("doc_id")).unionByName(cand.select(F.col("b").alias("doc_id"))).distinct()
@@ -174,18 +194,20 @@ class _Check:
         inter = F.size(F.array_intersect("x", "y"))
         both = both.select("a", "b", inter.cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
         linked = (F.col("i") > 0) & (F.col("i") * den >= (F.col("s") - F.col("i")) * num)
-        tested = cut_lineage(both.groupBy("a", "b").agg(
-            F.max(linked).alias("linked"), F.min(F.col("i") / (F.col("s") - F.col("i"))).alias("least"),
-            F.count(F.lit(1)).alias("n")), "tested")
-        # with several sets under one id the distance of a single pair of sets is not known
-        far = tested.select("a", "b", F.when(F.col("n") == 1, 1.0 - F.col("least")).alias("d"))
-        return tested.where("linked").select("a", "b"), far
+        return cut_lineage(both.where(linked).select("a", "b").distinct(), "linked")
+
+
+def _may_link(bits: str, others: str, total: F.Column, num: int, den: int) -> F.Column:
+    """Whether two sets of ``total`` shingles together can still link by their parity bitmaps:
+    they differ in at least as many shingles as the bitmaps do in bits."""
+    differ = [F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(others)[i])) for i in range(PARITY_BITS // 64)]
+    return F.coalesce(sum(differ[1:], differ[0]).cast("long") * (den + num) <= total * (den - num), F.lit(True))
 
 
 def _open(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of buckets that still hold more than one component, with the largest (``main``)."""
     at = (buckets.where(F.col("members") > 2).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-                 .select("key", "t", "set_key", "rep", "pivot", "members", F.coalesce("component", "rep").alias("comp")))
+                 .select("key", "set_key", "rep", "members", F.coalesce("component", "rep").alias("comp")))
     sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = (sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp")).alias("m"))
                   .where(F.col("k") > 1).select("key", F.col("m.comp").alias("main")))
@@ -195,8 +217,8 @@ def _open(buckets: DataFrame, comp: DataFrame) -> DataFrame:
 def _pivots(open_: DataFrame, used: DataFrame, n_pivots: int) -> DataFrame:
     """Members of open buckets to compare the others with next. Of any two components one is not
     the main one, so pivots outside it meet every open pair."""
-    fresh = open_.where(F.col("comp") != F.col("main")).join(used, ["key", "rep"], "left_anti")
-    cols = ["rep", "set_key", "comp", "n", "groups", "d"]
+    fresh = open_.where(F.col("comp") != F.col("main")).join(used, ["key", "set_key"], "left_anti")
+    cols = ["rep", "set_key", "comp", "n", "bits"]
     few = fresh.where(F.col("members") <= PAIR_BUCKET).select("key", *cols)
     many = (fresh.where(F.col("members") > PAIR_BUCKET)
                  .groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(n_pivots)).alias("slot"))
@@ -204,22 +226,18 @@ def _pivots(open_: DataFrame, used: DataFrame, n_pivots: int) -> DataFrame:
     return few.unionByName(many)
 
 
-def _next_pairs(open_: DataFrame, pivots: DataFrame, pairs_of: list[tuple[int, int]], num: int, den: int) -> DataFrame:
-    """Pairs of a pivot and a member of another component in the same bucket, each taken from the
-    first table the two share. Pairs that cannot link are left out: by the sizes of their sets, and
-    by the triangle inequality, as both know their Jaccard distance to the bucket's first pivot."""
-    p = pivots.select("key", *[F.col(c).alias("p_" + c) for c in ("rep", "comp", "n", "groups", "d")])
-    # the first two collections that agree, told by plain comparisons that stay in generated code
-    agree = lambda i: F.col("groups")[i] == F.col("p_groups")[i]
-    last = max(j for _, j in pairs_of)
-    one = F.coalesce(*[F.when(agree(i), F.lit(i)) for i in range(last + 1)])
-    two = F.coalesce(*[F.when(agree(j) & (one < j), F.lit(j)) for j in range(1, last + 1)])
-    # number of the table of collections (i, j) in the order of ``pairs_of``
-    first = F.floor(one * (2 * last + 1 - one) / 2).cast("int") + two - one - 1
-    both = open_.join(p, "key").where(
+def _next_pairs(open_: DataFrame, pivots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a pivot and a member of another component in the same bucket. Pairs that cannot
+    link are left out: by the sizes of their sets and by their parity bitmaps. The join is on
+    bucket and size class; sizes that allow a link lie in the same or in adjacent classes, so a
+    large bucket meets class by class."""
+    size_class = F.floor(F.log("n") / (math.log(den / num) + 1e-6)) if num < den else F.col("n")
+    p = (pivots.withColumn("class", F.explode(F.array(size_class - 1, size_class, size_class + 1)))
+               .select("key", "class", *[F.col(c).alias("p_" + c) for c in ("rep", "comp", "n", "bits")]))
+    both = open_.withColumn("class", size_class).join(p, ["key", "class"]).where(
         (F.col("comp") != F.col("p_comp")) & ((F.col("comp") == F.col("main")) | (F.col("members") > PAIR_BUCKET) | (F.col("rep") > F.col("p_rep")))
-        & (F.coalesce(F.abs(F.col("d") - F.col("p_d")), F.lit(0.0)) <= 1 - num / den + 1e-9)
-        & (F.col("n") * den >= F.col("p_n") * num) & (F.col("p_n") * den >= F.col("n") * num) & (first == F.col("t")))
+        & (F.col("n") * den >= F.col("p_n") * num) & (F.col("p_n") * den >= F.col("n") * num)
+        & _may_link("bits", "p_bits", F.col("n") + F.col("p_n"), num, den))
     return both.select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
 
 
