@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BROADCAST_ROWS = 500_000     # a side is broadcast only after counting at most this many rows
-BATCH_ROWS = 512             # rows per Arrow batch handed to Python
-CHUNK_BYTES = 4 << 20        # text handled at once by the vectorised kernels (or one document)
+BATCH_ROWS = 128             # rows per Arrow batch handed to Python
+CHUNK_BYTES = 1_000_000      # text handled at once by the vectorised kernels (or one document)
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
