@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     n_pivots = PIVOTS
     comp = components(links, "a", "b")
     while True:
-        open_ = cut_lineage(_open(buckets, comp).join(reps.select("set_key", "n", "bits"), "set_key"), "open")
+        open_ = cut_lineage(_with_sets(_open(buckets, comp), reps), "open")
         pivots = cut_lineage(_pivots(open_, used, n_pivots), "pivots")
         if pivots.isEmpty():
             break
@@ -214,6 +214,15 @@ def _open(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     return at.join(mixed, "key")
 
 
+def _with_sets(open_: DataFrame, reps: DataFrame) -> DataFrame:
+    """Adds size and bitmap to the open members: a set's memberships, one per table at most, are
+    gathered first, so that its bitmap is joined once and not once per table."""
+    cols = [c for c in open_.columns if c != "set_key"]
+    of = open_.groupBy("set_key").agg(F.collect_list(F.struct(*cols)).alias("in"))
+    return (of.join(reps.select("set_key", "n", "bits"), "set_key")
+              .select("set_key", "n", "bits", F.inline("in")))
+
+
 def _pivots(open_: DataFrame, used: DataFrame, n_pivots: int) -> DataFrame:
     """Members of open buckets to compare the others with next. Of any two components one is not
     the main one, so pivots outside it meet every open pair."""
