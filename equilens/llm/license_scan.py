@@ -1,10 +1,9 @@
 """Operator 6: licence scan with a positional index of rare words, in DataFrame functions only.
 
 Each template is indexed by its words of highest IDF, taken over all documents, with their
-positions. A file looks up the licence words it holds, highest IDF first; every occurrence
-votes for the template at the offset (file position - template position), and a template is a
-candidate where enough of its indexed words agree on one offset. Its mandatory key phrases
-must then occur in the file. Nothing is shuffled but one count per licence word.
+positions. A file looks up every indexed word it holds; every occurrence votes for the template
+at the offset (file position - template position), and a template is a candidate where enough
+of its indexed words agree on one offset. Its mandatory key phrases must then occur in the file. Nothing is shuffled but one count per licence word.
 """
 
 from __future__ import annotations
@@ -36,7 +35,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 INDEX_WORDS = 6      # indexed words per template
-FILE_WORDS = 12      # highest-IDF licence words looked up per file
 AGREE = 0.6          # share of a template's indexed words that must agree on an offset
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -95,15 +93,19 @@ def _template(label: str, ws, must, idf: dict[str, float], agree: float) -> F.Co
         return sum((F.when(F.array_contains(o, d), idf[w]).otherwise(0.0)
                     for o, (w, _) in zip(lists, ws)), F.lit(0.0)) / total
 
-    best = F.array_max(F.transform(F.filter(F.array_distinct(F.concat(*lists)), enough), share))
+    # an offset on which ``need`` words agree is one of any len - need + 1 words': the rarest suffice
+    rare = sorted(range(len(ws)), key=lambda j: -idf[ws[j][0]])[:len(ws) - need + 1]
+    tried = F.array_distinct(F.concat(*[lists[j] for j in rare]))
+    best = F.array_max(F.transform(F.filter(tried, enough), share))
     verified = F.col("hits").isNotNull()
     for m in must:
         verified = verified & F.contains(F.col("c"), F.lit(f" {m} "))
-    return F.when(verified, F.struct(F.lit(label).alias("label"), F.least(best, F.lit(1.0)).alias("s")))
+    # least() skips nulls: without an agreed offset the share must stay null
+    return F.when(verified, F.struct(F.lit(label).alias("label"), F.when(best > 1.0, 1.0).otherwise(best).alias("s")))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,
-         base=BASE, file_words: int = FILE_WORDS, agree: float = AGREE) -> DataFrame:
+         base=BASE, agree: float = AGREE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) per row.
 
     ``places``: the starts of the base phrases as word numbers. Null, empty and wordless texts
@@ -117,7 +119,6 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     n_words = F.when(F.col("c") == "", 0).otherwise(
         F.length("c") - F.length(F.replace(F.col("c"), F.lit(" "), F.lit(""))) - 1).cast("long")
     indexed = sorted({w for _, ws, _ in tpl for w, _ in ws})
-    lookup = F.create_map(*[x for w in indexed for x in (F.lit(w), F.lit(idf[w]))])
     none = F.array().cast("array<int>")
 
     has_base = F.lit(False)
@@ -127,12 +128,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     present = F.array_intersect(_words(F.col("c")), F.array(*[F.lit(w) for w in indexed]))
     src = src.select("doc_id", "c", n_words.alias("n_words"), has_base.alias("has_base"), present.alias("present"))
     go = F.col("has_base") | (F.size("present") >= 2)
-    ranked = F.transform("present", lambda w: F.struct((-F.element_at(lookup, w)).alias("k"), w.alias("w")))
-    top = F.transform(F.slice(F.array_sort(ranked), 1, file_words), lambda x: x["w"])
     src = src.select("doc_id", "c", "n_words", "has_base",
-                     F.when(go, _words(F.col("c"))).alias("w"), F.when(go, top).alias("top"))
+                     F.when(go, _words(F.col("c"))).alias("w"), F.when(go, F.col("present")).alias("present"))
     hits = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-                    lambda x: F.array_contains(F.col("top"), x["w"]))
+                    lambda x: F.array_contains(F.col("present"), x["w"]))
 
     def places(phrase: str) -> F.Column:
         p = phrase.split()

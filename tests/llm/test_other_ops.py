@@ -149,6 +149,22 @@ def test_license_scan_equals_brute_force(spark, docs, texts):
     assert license_scan.scan(make(spark, [])).count() == 0
 
 
+def test_license_scan_finds_every_notice_of_a_file(spark, docs):
+    by = {}
+    for label, text, _ in license_scan.TEMPLATES:
+        by.setdefault(label, text)
+    by["mit"] = next(t for label, t, _ in license_scan.TEMPLATES if label == "mit" and t.startswith("permission"))
+    groups = [("mit", "apache-2.0"), ("isc", "bsd", "apache-2.0"), ("bsd", "apache-2.0", "gpl-2.0", "mpl-2.0"), tuple(by)]
+    rows = [(9200 + i, " some lines between them \n".join(by[x] for x in g)) for i, g in enumerate(groups)]
+    table = make(spark, rows).unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    got = {r["doc_id"]: r for r in license_scan.scan(table).where("doc_id >= 9200").collect()}
+    for i, g in enumerate(groups):
+        assert set(g) <= set(got[9200 + i]["labels"].split(",")), g
+    # a mandatory phrase alone, without the words that stand around it in the template, is no notice
+    alone = make(spark, [(1, "an eclipse public license and a mozilla public license, of the terms")])
+    assert tuple(license_scan.scan(alone).select("labels", "score").first()) == ("", 0.0)
+
+
 def test_class_lm_base_score_and_gain(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
