@@ -8,7 +8,8 @@ block values within ``radius // blocks`` bits of its own, so each item within ``
 found in at least one block. Windows found are verified by exact weighted Jaccard similarity.
 
 The benchmark is a stated query set: it is read in parts of bounded size, and all texts are run
-against each part.
+against each part. Shingle weights are counted once over the whole benchmark: of its shingles
+those that several items share are broadcast, any other has the weight of a shingle seen once.
 """
 
 from __future__ import annotations
@@ -35,25 +36,41 @@ _BITS = np.arange(64, dtype=np.uint64)
 _SEPARATES = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
+def item_sets(texts: list[bytes], k: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Distinct shingles of every item that has words, and all items' numbers of words. An item
+    shorter than a shingle is one shingle of its own length."""
+    word, _, first, _, _, _ = words_of([t.lower() for t in texts], _SEPARATES)
+    n = np.diff(first).astype(np.int64)
+    return {i: np.unique(shingles_of(word[first[i]:first[i + 1]], np.array([0, n[i]]), int(min(k, n[i])))[0])
+            for i in range(len(texts)) if n[i]}, n
+
+
+def _item_shingles(k: int):
+    def run(batches):
+        for b in batches:
+            sets, _ = item_sets(utf8(b.column(0)), k)
+            h = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+    return run
+
+
 class Index:
     """Shingles, weights, fingerprints and the multi-index of one part of the benchmark."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], k: int, radius: int):
-        word, _, first, _, _, _ = words_of([t.lower() for t in texts], _SEPARATES)
+    def __init__(self, ids: list[int], texts: list[bytes], k: int, radius: int, shared=None):  # noqa: ANN001
+        """``shared``: items, shared shingles (sorted) and their items in the whole benchmark; if
+        None, the part is all of it."""
         self.k, self.radius, self.ids = k, radius, ids
-        n_words = np.diff(first)
-        items = [i for i in range(len(ids)) if n_words[i]]
-        # an item shorter than a shingle is one shingle of its own length
-        self.gram = np.array([min(k, n_words[i]) for i in range(len(ids))], dtype=np.int64)
-        self.sets: dict[int, np.ndarray] = {}
+        self.sets, n_words = item_sets(texts, k)
+        items = list(self.sets)
+        self.gram = np.minimum(k, n_words)
         self.length = {i: int(n_words[i]) for i in items}
-        for i in items:
-            h, _ = shingles_of(word[first[i]:first[i + 1]], np.array([0, n_words[i]]), int(self.gram[i]))
-            self.sets[i] = np.unique(h)
         every = np.concatenate([self.sets[i] for i in items]) if items else np.zeros(0, np.uint64)
         self.vocab, df = np.unique(every, return_counts=True)
-        self.weight = np.log(1.0 + len(ids) / df) if len(df) else np.zeros(0)
-        self.rare = math.log(1.0 + len(ids))                  # weight of a shingle no item has
+        n, self.shared, df = shared or (len(ids), self.vocab, df)
+        self.shared_weight = np.log(1.0 + n / df)
+        self.rare = math.log(1.0 + n)                         # weight of a shingle of one item or of none
+        self.weight = self.weights(self.vocab)
         post: dict[int, list[int]] = {}
         for i in items:
             for p in np.searchsorted(self.vocab, self.sets[i]).tolist():
@@ -83,10 +100,10 @@ class Index:
             self.blocks[length] = tables
 
     def weights(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.vocab):
+        if not len(self.shared):
             return np.full(len(h), self.rare)
-        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        return np.where(self.vocab[at] == h, self.weight[at], self.rare)
+        at = np.minimum(np.searchsorted(self.shared, h), len(self.shared) - 1)
+        return np.where(self.shared[at] == h, self.shared_weight[at], self.rare)
 
     def lookup(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) for all fingerprints within the radius of an item of that length."""
@@ -102,6 +119,7 @@ class Index:
 
 def fingerprints(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     """SimHash of the shingles starts..starts+m of each window."""
+    weight = np.round(weight * (1 << 24))        # whole numbers: sums do not depend on where they begin
     sign = np.where((h[:, None] >> _BITS) & np.uint64(1), weight[:, None], -weight[:, None])
     acc = np.concatenate((np.zeros((1, 64)), np.cumsum(sign, axis=0)))
     total = acc[np.minimum(starts + m, len(h))] - acc[starts]
@@ -142,9 +160,9 @@ def _scan_text(ix: Index, h: np.ndarray, gram: int, at: np.ndarray, similarity:
                 yield i, s, m, sim, d
 
 
-def _scanner(part, similarity: float):  # noqa: ANN001
+def _scanner(part, shared, similarity: float):  # noqa: ANN001
     def run(batches):
-        ix: Index = Index(*part.value)
+        ix: Index = Index(*part.value, shared.value)
         for b in batches:
             doc, texts = b.column(0).to_pylist(), utf8(b.column(1))
             for lo, hi in chunks(map(len, texts)):
@@ -190,14 +208,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
         F.length("text") > 0).distinct()
     n, chars = items.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     parts = max(1, math.ceil((n or 0) / PART_ITEMS), math.ceil((chars or 0) / PART_CHARS))
+    df = (items.select("text").mapInArrow(_item_shingles(k), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+               .where(F.col("n") > 1).toArrow())              # 16 bytes for a shingle that items share
+    h = df.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    shared = spark.sparkContext.broadcast((n, h[order], df.column("n").to_numpy().astype(np.int64)[order]))
     out = None
     for p in range(parts):
         rows = sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect(),
                       key=lambda r: (r[0] is None, r[0], r[1]))
         part = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1].encode("utf-8", "surrogatepass") for r in rows],
                                              k, radius))
-        found = src.mapInArrow(_scanner(part, similarity), "doc_id long, item_id long, start long, end long, "
-                                                           "similarity double, bits long")
+        found = src.mapInArrow(_scanner(part, shared, similarity), "doc_id long, item_id long, start long, end long, "
+                                                                   "similarity double, bits long")
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "end", "bits")).alias("b")
     return cut_lineage(out.groupBy("doc_id", "item_id").agg(best).select(

@@ -181,6 +181,25 @@ def test_contamination_near_copies_short_items_and_edges(spark):
     assert decontaminate.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminations_do_not_depend_on_the_parts(spark, monkeypatch):
+    # items that share half of their shingles, and texts that differ from them in a few words
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(20)]
+    items = [(i, " ".join(common + [f"i{i}x{j}" for j in range(20)])) for i in range(12)]
+    docs = []
+    for i, t in items:
+        for s in range(12):
+            w = t.split()
+            for j in rng.choice(len(w), 1 + s % 3, replace=False):
+                w[j] = "zz"
+            docs.append((100 * i + s, " ".join(w)))
+    docs, bench = make(spark, docs), make(spark, items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.contaminations(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "PART_ITEMS", 2)
+    parts = sorted(map(tuple, decontaminate.contaminations(docs, bench).collect()))
+    assert 0 < len(one) < 144 and one == parts
+
+
 def test_simhash_blocks_find_every_item_within_the_radius():
     rng = np.random.default_rng(3)
     texts = [b" ".join(b"v%d" % x for x in rng.integers(0, 500, 20)) for _ in range(60)]
