@@ -1,8 +1,8 @@
 """Operator 3: URL filtering by association rules.
 
 URLs become sets of tokens (host parts, registered domain, path words, extension, query keys).
-Spark's FP-growth mines the labelled pages; rules "tokens -> unwanted" are kept by support and
-confidence and dropped where a rule on fewer of the tokens is as sure. Rules are filed under
+Spark's FP-growth mines the labelled pages; rules "tokens -> unwanted" are kept by their number of
+unwanted pages (the same at every size of the corpus) and their confidence and dropped where a rule on fewer of the tokens is as sure. Rules are filed under
 their rarest token; a URL meets only the rules filed under a token of its own and matches those
 whose tokens it holds all. A fixed list of (host, path) rules overrides the mined ones.
 """
@@ -21,9 +21,10 @@ from .common import small
 # The list rules (verdict, host, path)
 LIST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
               ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MIN_SUPPORT = 0.002      # of the labelled pages
 MIN_PAGES = 20           # labelled pages that must hold a rule's tokens and be unwanted
 MIN_CONFIDENCE = 0.6
+SURE = 0.5               # the 95 % lower bound (Wilson) of a rule's confidence must lie above this
+_Z = 1.645
 UNWANTED = "!unwanted"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,8 +74,8 @@ class Rules:
 
 
 def mine(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
-         label_id: str = "doc_id", min_support: float = MIN_SUPPORT,
-         min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE) -> Rules:
+         label_id: str = "doc_id", min_pages: int = MIN_PAGES,
+         min_confidence: float = MIN_CONFIDENCE) -> Rules:
     """Rules from all pages whose id has a label; a page is unwanted if any label of it says
     toxic = 1 or quality = 0. Labels null in both columns, null ids and URLs without a host teach
     nothing; no labelled page: no rules."""
@@ -86,10 +87,14 @@ def mine(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_co
                 .select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(UNWANTED)))).otherwise(F.col("t")).alias("items")))
     src = cut_lineage(src, "transactions")
     n = src.count()
-    if n == 0 or min_pages > n:
+    if n == 0 or min_pages > n:                            # fewer pages than any rule needs
         return Rules(None)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / n), minConfidence=min_confidence).fit(src)
-    rules = (model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == UNWANTED))
+    # half a page less than needed, as the product is rounded up to a count again
+    model = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / n, minConfidence=min_confidence).fit(src)
+    c, held = F.col("confidence"), F.col("support") * n / F.col("confidence")      # pages that hold the tokens
+    z2 = _Z * _Z
+    least = (c + z2 / (2 * held) - _Z * F.sqrt((c * (1 - c) + z2 / (4 * held)) / held)) / (1 + z2 / held)
+    rules = (model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == UNWANTED) & (least > SURE))
                   .select(F.sort_array("antecedent").alias("need"), "confidence", "support"))
     seen = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("key"), "freq")
     rules = cut_lineage(rules.withColumn("rule_id", F.xxhash64(F.concat_ws(" ", "need"))), "rules")

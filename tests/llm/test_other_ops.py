@@ -56,6 +56,18 @@ def test_mined_rules_are_found_pruned_and_matched(spark):
     assert url_rules.judge(pages.limit(0), rules).count() == 0
 
 
+def test_a_rule_needs_the_same_pages_at_every_size(spark):
+    # 20 unwanted pages of one site make a rule among 400 labelled pages and among 20,000
+    for n in (400, 20_000):
+        pages = spark.range(n).select(F.col("id").alias("page_id"), F.when(F.col("id") < 20, "http://bad.example.com/").otherwise(
+            F.concat(F.lit("http://h"), (F.col("id") % 50).cast("string"), F.lit(".example.org/"))).alias("url"))
+        labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") < 20).cast("int").alias("toxic"))
+        rules = url_rules.mine(pages, labels)
+        got = url_rules.judge(pages, rules).where("mined is not null").select("page_id", "confidence").collect()
+        assert sorted(map(tuple, got)) == [(i, 1.0) for i in range(20)], n
+        assert url_rules.mine(pages, labels.where("doc_id != 3")).table.isEmpty()         # 19 pages are too few
+
+
 def brute_vectors(rows, threshold=0.98):
     ok = [i for i, (_, v, lab) in enumerate(rows) if v is not None and lab is not None and len(v) and all(
         x is not None and math.isfinite(x) for x in v) and any(v)]
