@@ -45,7 +45,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated units leave the texts; every document stays. ``n_chars`` follows the text."""
-    out = substring.substring_dedup(docs).drop("removed")
+    out = substring.substring_dedup(docs, every_line=True).drop("removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -16,7 +16,7 @@ def tokenizer_path() -> str:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated units cut out, and where they were."""
-    out = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), every_line=True)
     spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"]))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"),
                       F.array_join(spans, ",").alias("removed"),

@@ -9,7 +9,8 @@ import pytest
 from conftest_llm import DOCS, EDGE, SF, make
 from pyspark.sql import functions as F
 
-from equilens.llm import decontaminate, language, near_dup, packing, substring
+import corpus_pipeline
+from equilens.llm import decontaminate, language, near_dup, packing, queries, substring
 from equilens.llm.queries import tokenizer_path
 
 
@@ -137,6 +138,18 @@ def test_substring_passage_inside_lines_and_edges(spark):
     assert [r["text"] for r in every.where("doc_id = 10").collect()] == [""]
 
 
+def test_substring_short_lines_and_texts_without_spaces(spark, tmp_path):
+    cjk = "これは空白のない長い段落です。同じ文が何度も現れます。" * 40
+    rows = [(1, f"Read more\nFirst text of its own here.\n{cjk}\nShare"), (2, f"share\nSecond text is another one.\nRead  more\n{cjk}"),
+            (3, f"These five words come first. {cjk}"), (4, f"Here are five other words. {cjk}\nRead more of it")]
+    make(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    left = {r["doc_id"]: r["text"] for r in queries.op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert left == {1: rows[0][1], 2: "Second text is another one.\n", 3: "These five words come first. ",
+                    4: "Here are five other words. Read more of it"}
+    stage = corpus_pipeline.substring_stage(spark, make(spark, rows), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in stage} == left
+
+
 def plain(text):
     return "".join(c if ord(c) > 127 or c.isalnum() else " " for c in text or "").encode().lower().split()
 
