@@ -31,7 +31,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id (5 words,
-    similarity 0.8). Rows that repeat an id and its text are one document: one row stays."""
+    similarity 0.8). Rows that repeat an id and its text are one document: one row stays; different
+    texts under one id all stay."""
     judged = near_dup.near_duplicates(docs, k=5, num=80, den=100)
     kept = _without(docs, judged.where(~F.col("kept")))
     # repeated rows of a kept id: found by a count per id first, so no text is shuffled without need
@@ -40,7 +41,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if again.isEmpty():
         return kept
     return _without(kept, again).unionByName(
-        kept.join(small(again), "doc_id", "left_semi").select(*kept.columns).dropDuplicates(["doc_id"]))
+        kept.join(small(again), "doc_id", "left_semi").select(*kept.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,13 @@ def test_packing_edges_and_stretches(spark):
     assert packing.pack(make(spark, []), tokenizer_path()).count() == 0
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark, tmp_path):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = make(spark, [(1, a), (1, b), (1, b), (2, "c " + a[::-1])])
+    got = corpus_pipeline.near_dup_stage(spark, rows, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, a), (1, b), (2, "c " + a[::-1])])
+
+
 def test_shortest_pack_first_places_every_length():
     rng = np.random.default_rng(0)
     hist = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 101), 60, replace=False), rng.integers(1, 50, 60))}
