@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, worker_cache
 
 DICT_BYTES = 256 << 10        # dictionary size per language (the bound of the fitted sample)
-SAMPLE_CHARS = 1500           # of a sampled training text
+SAMPLE_CHARS = 1500           # of a sampled training text, if the language's texts then fill twice its dictionary
 BLOCK = 8 << 10               # bytes compressed at once
 LEVEL = 3
 MARGIN = 0.005                # relative lead over the second language below which a text is rejected
@@ -34,21 +34,35 @@ def normal(text: str) -> bytes:
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         dict_bytes: int = DICT_BYTES, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """{language: dictionary}. At most about twice the rows that fill ``dict_bytes`` are gathered
-    per language, chosen by a hash of id and text over the whole table; the dictionary is cut to
-    ``dict_bytes``. Rows with a null language or text are ignored; no rows: no languages."""
+    """{language: dictionary}. Of a text a window is taken at a place chosen by its hash: ``chars``
+    long, doubled for a language whose windows do not fill twice ``dict_bytes`` until they do or
+    are whole texts. At most about twice the rows that fill ``dict_bytes`` are gathered per
+    language (four times their characters where windows were doubled), chosen by a hash of id and
+    text over the whole table; the dictionary is cut to ``dict_bytes``. Rows with a null language or text are ignored; no rows: no languages."""
     src = docs.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("h"),
-                      F.substring(text_col, 1, chars).alias("text")).where(
-        F.col("lang").isNotNull() & (F.length(text_col) > 0))
-    # per language: rows and mean bytes, one aggregate over all training rows
-    stats = {r[0]: (r[1], r[2]) for r in src.groupBy("lang").agg(
-        F.count(F.lit(1)), F.avg(F.octet_length("text"))).collect()}
-    share = [(lang, min(1.0, 2.0 * dict_bytes / max(1.0, mean * n))) for lang, (n, mean) in stats.items()]
-    if not share:
+                      F.col(text_col).alias("text"), F.length(text_col).alias("n")).where(
+        F.col("lang").isNotNull() & (F.col("n") > 0))
+    # per language: characters of all windows of each size, one aggregate over all training rows
+    sizes = [chars]
+    while sizes[-1] < 2 * dict_bytes:
+        sizes.append(2 * sizes[-1])
+    stats = {r[0]: list(r)[1:] for r in src.groupBy("lang").agg(
+        *[F.sum(F.least("n", F.lit(s))) for s in sizes]).collect()}
+    if not stats:
         return {}
+    window, share = [], []
+    for lang, total in stats.items():
+        j = next((j for j, t in enumerate(total) if t >= 2 * dict_bytes), len(sizes) - 1)
+        window.append((lang, sizes[j]))
+        share.append((lang, min(1.0, 2.0 * dict_bytes / total[j]) if j == 0 else 1.0))
+
+    def by_lang(pairs):  # noqa: ANN001
+        return F.create_map(*[F.lit(x) for kv in pairs for x in kv])[F.col("lang")]
     u = (F.pmod("h", F.lit(1 << 30)) / float(1 << 30))
-    keep = F.create_map(*[F.lit(x) for kv in share for x in kv])[F.col("lang")]
-    rows = sorted((r["lang"], r["h"], r["text"]) for r in src.where(u < keep).collect())
+    size = by_lang(window)
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.col("n") - size + 1, F.lit(1))).cast("int") + 1
+    rows = sorted((r["lang"], r["h"], r["text"]) for r in src.where(u < by_lang(share)).select(
+        "lang", "h", F.col("text").substr(place, size).alias("text")).collect())
     out: dict[str, bytes] = {}
     for lang, _, text in rows:
         have = out.get(lang, b"")

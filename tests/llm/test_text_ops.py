@@ -297,6 +297,18 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["p"]["accepted"] for r in got) >= 0.97 * len(got)
 
 
+def test_language_learns_from_whole_texts(spark):
+    # 20 long texts behind one common header; a language with text enough stays with short windows
+    header = "all rights of this common header are reserved " * 40
+    long = [(i, header + " ".join(f"{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}zq" for j in range(1500)), "xx") for i in range(20)]
+    many = [(100 + i, "der die das und nicht " * 100, "de") for i in range(500)]
+    dicts = language.fit(make(spark, long + many))
+    assert len(dicts["xx"]) > 200_000 and len(dicts["de"]) == language.DICT_BYTES
+    assert sum(f"{chr(97 + i)}bczq".encode() in dicts["xx"] for i in range(20)) == 20
+    windows = language.fit(make(spark, [(1000 * k + i, t, x) for k in range(30) for i, t, x in long]), dict_bytes=30_000)
+    assert b"zq" in windows["xx"] and len(windows["xx"]) == 30_000
+
+
 def test_language_edges(spark):
     train = make(spark, [(1, "der die das und nicht", "de"), (2, "the and of to in", "en"), (3, None, "en"), (4, "x", None),
                          (None, "the cat", "en"), (2, "the and of to in", "en")])
