@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, class_lm, decontaminate, language, lattice, license_scan, near_dup, packing, substring, url_rules
+from . import (chat, class_lm, collocations, decontaminate, fill_middle, language, lattice, license_scan, near_dup,
+               packing, secrets, sql, substring, url_rules)
 from .common import crc_mod, table
 
 
@@ -74,10 +75,31 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text")))))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secrets.BASE]
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"].isin(kinds))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in kinds], F.sha2(said(base), 256).alias("base_sha256"),
+                        said(F.col("spans")).alias("spans"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_decontaminate, op3_url_rules, op4_lattice_near_dup, op5_pack, op6_license_scan,
-    op7_minhash_near_dup, op8_language_id, op9_class_lm, op10_chat_format)}
+    op7_minhash_near_dup, op8_language_id, op9_class_lm, op10_chat_format, op11_fill_in_middle, op12_secret_scan,
+    op13_collocations)}
 
-# none of the ten can be written in SQL in full (learned models, hashes, tokenizers, closures);
+# the others cannot be written in SQL in full (learned models, hashes, tokenizers, closures);
 # tests/llm holds each against a brute-force version
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.ORACLE

@@ -3,4 +3,4 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from conftest_llm import docs, texts  # noqa: E402, F401
+from llm_fixtures import docs, texts  # noqa: E402, F401

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest_llm import EDGE, SF, make
+from llm_fixtures import EDGE, SF, make
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest_llm import DOCS, EDGE, SF, make
+from llm_fixtures import DOCS, EDGE, SF, make
 from pyspark.sql import functions as F
 
 import corpus_pipeline
