@@ -1,10 +1,6 @@
 """Distributed order statistics and selections (no single-task global sort).
 
-* ``exact_kth`` / ``exact_median``: exact k-th smallest value by iterative
-  range narrowing. Each round is one scan: ``percentile_approx`` split points,
-  a Bucketizer (binary search, JVM side) and a per-bucket count; only the
-  bucket holding rank k survives to the next round. When the surviving range
-  holds at most ``local_max`` rows its value histogram (bounded) decides.
+* ``exact_kth`` / ``exact_median``: see ``quantiles.py``.
 * ``k_smallest``: per-stratum "first q rows by (u, id)" with a quota table;
   rows below the boundary bin are taken whole, the window runs only inside
   one boundary bin per stratum (bins sized from the largest stratum).
@@ -13,6 +9,7 @@
   Bucketizer) so the window runs per bucket, not per column.
 * ``asof_lookup``: position -> entry of a cumulative histogram, sort-based.
 * ``sample_n``: n rows without replacement by hash order.
+* ``numbered``: consecutive numbers along an order, from range partitions and their offsets.
 """
 
 from __future__ import annotations
@@ -25,130 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import hash_uniform
+from .quantiles import exact_kth, exact_median, exact_medians, exact_ranks  # noqa: F401
 
-LOCAL_MAX = 200_000
-SPLITS = 1024
 BOUNDARY_BIN_ROWS = 1_000_000
 
 
-def _range_filter(x, lo, hi):
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (x >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (x < F.lit(hi))
-    return cond
-
-
-def exact_kth(df: DataFrame, col: str, ks: Sequence[int], n: int | None = None,
-              local_max: int = LOCAL_MAX, splits: int = SPLITS) -> list[float]:
-    """Exact k-th smallest non-null values (0-based ranks ``ks``) of ``col``."""
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull()
-                                                               & ~F.isnan("x"))
-    out = []
-    for k in ks:
-        lo = hi = None
-        offset = 0
-        m = n if n is not None else None
-        value = None
-        forced: list[float] = []
-        while value is None:
-            sub = x.where(_range_filter(F.col("x"), lo, hi))
-            if m is None:
-                m = sub.count()
-            if m <= local_max:
-                hist = sub.groupBy("x").count().orderBy("x").collect()
-                cum = offset
-                for row in hist:
-                    cum += row["count"]
-                    if cum > k:
-                        value = row["x"]
-                        break
-                if value is None:
-                    raise ValueError(f"rank {k} out of range")
-                break
-            probs = [i / splits for i in range(1, splits)]
-            qs = sub.agg(F.percentile_approx("x", probs, 10 * splits).alias("q")).first()["q"]
-            edges = sorted(set(float(v) for v in qs) | set(forced))
-            forced = []
-            inner = [e for e in edges if (lo is None or e > lo) and (hi is None or e < hi)]
-            full = ([-math.inf] + ([lo] if lo is not None else []) + inner
-                    + ([hi] if hi is not None else []) + [math.inf])
-            bz = Bucketizer(splits=full, inputCol="x", outputCol="b", handleInvalid="keep")
-            stats = (bz.transform(sub).groupBy("b")
-                     .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo_v"),
-                          F.max("x").alias("hi_v"))
-                     .orderBy("b").collect())
-            cum = offset
-            for row in stats:
-                if cum + row["c"] > k:
-                    b = int(row["b"])
-                    if row["lo_v"] == row["hi_v"]:
-                        value = row["lo_v"]
-                    elif row["c"] == m:
-                        # no progress (split points collapsed): halve the value range
-                        forced = [(row["lo_v"] + row["hi_v"]) / 2.0]
-                    else:
-                        lo, hi = full[b], full[b + 1]
-                        lo = None if lo == -math.inf else lo
-                        hi = None if hi == math.inf else hi
-                        offset, m = cum, row["c"]
-                    break
-                cum += row["c"]
-            else:
-                raise ValueError(f"rank {k} out of range")
-        out.append(float(value))
-    return out
-
-
-def exact_median(df: DataFrame, col: str, empty: float | None = None) -> float | None:
-    """Exact median (mean of the two middle values for even counts)."""
-    m = exact_medians(df, [col])[col]
-    return empty if m is None else m
-
-
-def exact_medians(df: DataFrame, cols: Sequence[str], local_max: int = LOCAL_MAX
-                  ) -> dict[str, float | None]:
-    """Exact medians of several columns. One pass counts every column; columns
-    whose non-null count fits ``local_max`` share one histogram job (bounded
-    rows to the driver); larger ones use ``exact_kth`` range narrowing."""
-    cols = list(cols)
-    if not cols:
-        return {}
-    xs = {c: F.col(c).cast("double") for c in cols}
-    row = df.agg(*[F.count(F.when(x.isNotNull() & ~F.isnan(x), 1)).alias(c)
-                   for c, x in xs.items()]).first()
-    n = {c: int(row[c]) for c in cols}
-    out: dict[str, float | None] = {c: None for c in cols if n[c] == 0}
-    small = [c for c in cols if 0 < n[c] <= local_max]
-    if small and sum(n[c] for c in small) <= 4 * local_max:
-        long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), xs[c].alias("x")) for c in small])))
-        hist = (long.where(F.col("x").isNotNull() & ~F.isnan("x"))
-                .groupBy("feature", "x").count().collect())
-        by: dict[str, list] = {c: [] for c in small}
-        for r in hist:
-            by[r["feature"]].append((r["x"], r["count"]))
-        for c in small:
-            vals = sorted(by[c])
-            a, b = (n[c] - 1) // 2, n[c] // 2
-            got, cum = {}, 0
-            for v, cnt in vals:
-                for k in (a, b):
-                    if k not in got and cum <= k < cum + cnt:
-                        got[k] = v
-                cum += cnt
-            out[c] = (got[a] + got[b]) / 2.0
-    for c in cols:
-        if c in out:
-            continue
-        x = df.select(xs[c].alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-        a, b = (n[c] - 1) // 2, n[c] // 2
-        ks = exact_kth(x, "x", sorted({a, b}), n=n[c], local_max=local_max)
-        out[c] = (ks[0] + ks[-1]) / 2.0
-    return out
-
-
 def k_smallest_flag(df: DataFrame, strata: Sequence[str], quotas: DataFrame, u: str = "u",
                     order_id: str = "row_id", quota_col: str = "quota",
                     flag: str = "selected") -> DataFrame:
@@ -316,3 +194,17 @@ def asof_lookup(probes: DataFrame, table: DataFrame, part: Sequence[str], pos: s
     m = u.withColumn("__hit", F.last("__pay", ignorenulls=True).over(w)).where(F.col("__kind") == 1)
     return m.select(*[F.col(f"__probe.{c}").alias(c) for c in probes.columns],
                     *[F.col(f"__hit.{c}").alias(c) for c in payload])
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str, part: Sequence[str] = ()) -> DataFrame:
+    """``df`` with its 0-based place along ``order`` inside each ``part`` (rows distinct in both). Rows are
+    dealt by range and written; a place is the sum of the ranges before and the place in its own range."""
+    from ..session import cut_lineage
+    part = list(part)
+    dealt = cut_lineage(df.repartitionByRange(*part, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*part, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.broadcast(sizes.select(*part, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")))
+    own = Window.partitionBy(*part, "__range").orderBy(*order)
+    return dealt.join(first, [*part, "__range"]).withColumn(
+        out, (F.col("__first") + F.row_number().over(own) - 1).cast("long")).select(*df.columns, out)

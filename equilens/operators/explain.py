@@ -10,6 +10,7 @@ in pandas (``applyInPandas``, one explained row per group, bounded size).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -49,15 +50,20 @@ def lr_coefficients(model: Model, features: Sequence[str]) -> dict[str, float]:
 # ---------------------------------------------------------------------------
 # X5-X7, X9-X10 reductions
 # ---------------------------------------------------------------------------
+def mean_abs(phi: str = "phi") -> F.Column:
+    """mean |phi|, added up in whole steps of 2^-40, so that it does not depend on the order of rows."""
+    steps = F.round(F.abs(F.col(phi)) * float(1 << 40)).cast("decimal(20,0)")
+    return (F.sum(steps).cast("double") / F.count(phi) / float(1 << 40)).alias("mean_abs")
+
+
 def importance(attr: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """mean |phi| per feature (optionally per run / dataset)."""
-    return attr.groupBy(*by, "feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
+    return attr.groupBy(*by, "feature").agg(mean_abs())
 
 
 def attribution_disparity(attr: DataFrame, group_col: str, by: Sequence[str] = ()) -> DataFrame:
     """mean |phi| per (feature, group) of one sensitive column."""
-    return attr.groupBy(*by, "feature", F.col(group_col).cast("string").alias("grp")).agg(
-        F.avg(F.abs("phi")).alias("mean_abs"))
+    return attr.groupBy(*by, "feature", F.col(group_col).cast("string").alias("grp")).agg(mean_abs())
 
 
 def flag_features(attr: DataFrame, group_col: str, by: Sequence[str] = (),
@@ -243,68 +249,60 @@ def forest_arrays(model: Model) -> list[dict]:
     return out
 
 
+def tree_paths(t: dict) -> list[tuple]:
+    """Leaves of a tree as (features, lower and upper limits, share of the training rows that pass each
+    feature's tests, value); a row reaches the leaf if lower < x <= upper for all its features."""
+    out = []
+    todo = [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        if t["left"][node] < 0:
+            feats = sorted(path)
+            out.append((feats, *(np.array([path[f][i] for f in feats]) for i in range(3)), float(t["value"][node])))
+            continue
+        f, cut = int(t["feat"][node]), float(t["thr"][node])
+        lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, limits in ((t["left"][node], (lo, min(hi, cut))), (t["right"][node], (max(lo, cut), hi))):
+            if t["cover"][child] > 0:
+                todo.append((int(child), {**path, f: (*limits, share * t["cover"][child] / t["cover"][node])}))
+    return out
+
+
+def _pattern_phi(share: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves with the same number m of features, for every pattern of tests passed:
+    (leaves, 2^m, m), for a leaf value of 1. A coalition's value is the product over features of, inside
+    it, whether the row passes, and outside, the share that passes."""
+    n, m = share.shape
+    passes = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
+    weight = np.array([math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)])
+    out = np.empty((n, 1 << m, m))
+    for j in range(m):
+        by_size = np.zeros((n, 1 << m, m))              # sums over coalitions of the other features, by size
+        by_size[..., 0] = 1.0
+        for k in range(m):
+            if k != j:
+                grown = by_size * share[:, None, k, None]
+                grown[..., 1:] += by_size[..., :-1] * passes[None, :, k, None]
+                by_size = grown
+        out[..., j] = (by_size @ weight) * (passes[None, :, j] - share[:, None, j])
+    return out
+
+
 def _tree_phi(t: dict, X: np.ndarray) -> np.ndarray:
-    """Exact path-dependent Shapley values of one tree for all rows of X at once
-    (the recursion is shared; per-row 'one fractions' are vectors)."""
-    R, d = X.shape
-    phi = np.zeros((R, d))
-    left, right, feat, thr, val, cov = t["left"], t["right"], t["feat"], t["thr"], t["value"], t["cover"]
-
-    def extend(fs, z, o, w, pz, po, pf):
-        l = len(fs)
-        fs.append(pf)
-        z.append(pz)
-        o.append(po)
-        w.append(np.ones(R) if l == 0 else np.zeros(R))
-        for i in range(l - 1, -1, -1):
-            w[i + 1] = w[i + 1] + po * w[i] * (i + 1) / (l + 1)
-            w[i] = pz * w[i] * (l - i) / (l + 1)
-
-    def unwind(fs, z, o, w, k):
-        ud = len(fs) - 1
-        of, zf, nxt = o[k], z[k], w[ud]
-        nz = of != 0
-        safe = np.where(nz, of, 1.0)
-        for i in range(ud - 1, -1, -1):
-            w_nz = nxt * (ud + 1) / ((i + 1) * safe)
-            nxt_nz = w[i] - w_nz * zf * (ud - i) / (ud + 1)
-            w_z = w[i] * (ud + 1) / (zf * (ud - i)) if zf != 0 else np.zeros(R)
-            nxt = np.where(nz, nxt_nz, nxt)
-            w[i] = np.where(nz, w_nz, w_z)
-        del fs[k], z[k], o[k], w[ud]
-
-    def unwound_sum(z, o, w, k):
-        ud = len(z) - 1
-        of, zf, nxt = o[k], z[k], w[ud]
-        nz = of != 0
-        safe = np.where(nz, of, 1.0)
-        total = np.zeros(R)
-        for i in range(ud - 1, -1, -1):
-            tmp = nxt * (ud + 1) / ((i + 1) * safe)
-            alt = (w[i] / zf) / ((ud - i) / (ud + 1)) if zf != 0 else np.zeros(R)
-            total = total + np.where(nz, tmp, alt)
-            nxt = np.where(nz, w[i] - tmp * zf * ((ud - i) / (ud + 1)), nxt)
-        return total
-
-    def recurse(node, fs, z, o, w, pz, po, pf):
-        fs, z, o, w = list(fs), list(z), list(o), list(w)
-        extend(fs, z, o, w, pz, po, pf)
-        if left[node] < 0:
-            for i in range(1, len(fs)):
-                phi[:, fs[i]] += unwound_sum(z, o, w, i) * (o[i] - z[i]) * val[node]
-            return
-        f = feat[node]
-        go_left = (X[:, f] <= thr[node]).astype(float)
-        iz, io = 1.0, np.ones(R)
-        if f in fs[1:]:
-            k = fs.index(f, 1)
-            iz, io = z[k], o[k]
-            unwind(fs, z, o, w, k)
-        a, b = left[node], right[node]
-        recurse(a, fs, z, o, w, iz * cov[a] / cov[node], io * go_left, f)
-        recurse(b, fs, z, o, w, iz * cov[b] / cov[node], io * (1.0 - go_left), f)
-
-    recurse(0, [], [], [], [], 1.0, np.ones(R), -1)
+    """Exact path-dependent Shapley values of one tree for all rows of X: per leaf a row only matters by
+    which features' tests it passes, so their values are looked up by that pattern."""
+    phi = np.zeros(X.shape)
+    by_size: dict[int, list[tuple]] = {}
+    for leaf in t["paths"] if "paths" in t else tree_paths(t):
+        if leaf[0]:
+            by_size.setdefault(len(leaf[0]), []).append(leaf)
+    for m, leaves in by_size.items():
+        tables = _pattern_phi(np.array([x[3] for x in leaves]))
+        for (feats, lo, hi, _, value), table in zip(leaves, tables):
+            pattern = np.zeros(len(X), dtype=np.int64)
+            for i, f in enumerate(feats):
+                pattern += ((X[:, f] > lo[i]) & (X[:, f] <= hi[i])).astype(np.int64) << i
+            phi[:, feats] += (table * value)[pattern]
     return phi
 
 
@@ -322,10 +320,10 @@ def tree_shap(model: Model, rows: DataFrame, features: Sequence[str], keep: Sequ
     """(row_id, keep..., feature, phi) for the class-1 probability of a Spark
     random forest / decision tree; sum(phi) + base value = predicted probability.
 
-    The node arrays are broadcast (bounded by the model); every task walks all trees for its own
+    The leaves are broadcast (bounded by the model); every task looks all of them up for its own
     rows, vectorised over the Arrow batch, so rows are neither copied nor shuffled."""
     feats = list(features)
-    trees = forest_arrays(model)
+    trees = [{"paths": tree_paths(t)} for t in forest_arrays(model)]
     spark = rows.sparkSession
     bc = spark.sparkContext.broadcast(trees)
     keep = list(keep)

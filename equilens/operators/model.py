@@ -7,7 +7,7 @@ risk score -> sigmoid, so every downstream operator can be checked exactly.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
@@ -97,14 +97,36 @@ def fit_model(train: DataFrame, features: Sequence[str], kind: str = "rf", seed:
     return est.fit(data)
 
 
-def score(model: Model, df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
-          t: float = THRESHOLD) -> DataFrame:
-    """(keep..., proba, pred): positive-class probability and the thresholded prediction."""
+def score(model: Model | Callable[[dict[str, Column]], Column], df: DataFrame, features: Sequence[str],
+          keep: Sequence[str] = (), t: float = THRESHOLD) -> DataFrame:
+    """(keep..., proba, pred): positive-class probability and the thresholded prediction. A model is a
+    Spark ML model or a rule: a function of {feature: column} that gives the probability."""
+    if not isinstance(model, Model):
+        out = df.select(*keep, model({c: F.col(c) for c in features}).cast("double").alias("proba"))
+        return out.withColumn("pred", threshold(F.col("proba"), t))
     out = model.transform(assemble(df, features))
     proba = vector_to_array("probability")[1]
     return out.select(*keep, proba.alias("proba")).withColumn("pred", threshold(F.col("proba"), t))
 
 
+def score_all(models: dict, df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
+              t: float = THRESHOLD) -> DataFrame:
+    """(keep..., pred_<name> per model): the predictions of several models side by side, in one pass over
+    ``df``; the feature vector is made once."""
+    out = assemble(df, features, "__x")
+    cols = []
+    for k, m in models.items():
+        if isinstance(m, Model):
+            own = m.copy({m.featuresCol: "__x", m.probabilityCol: f"__p_{k}", m.rawPredictionCol: f"__r_{k}",
+                          m.predictionCol: f"__c_{k}"})
+            out = own.transform(out)
+            p = vector_to_array(f"__p_{k}")[1]
+        else:
+            p = m({c: F.col(c) for c in features}).cast("double")
+        cols.append(threshold(p, t).alias(f"pred_{k}"))
+    return out.select(*keep, *cols)
+
+
 def minmax_scores(df: DataFrame, raw: str, out: str = "proba") -> DataFrame:
     """Unbounded decision scores -> [0, 1]: (s - min) / (max - min + 1e-9); one
     aggregate for min/max, then a projection."""

@@ -10,19 +10,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType, StringType
 
 from ..functions.mathx import hash_uniform
-from ..session import cut_lineage
-from ..sources.tables import sized_broadcast
+from ..session import cut_lineage, cut_observed
 from ..spec import MISSING_CATEGORY, TEST_SIZE, AuditSpec
-from .dist import exact_median, exact_medians, k_smallest_flag
+from .dist import exact_median, exact_medians, k_smallest_flag, numbered
 
-ENCODER_MAX_ROWS = 2_000_000
+ENCODER_BROADCAST_ROWS = 500_000     # values of a dictionary that is broadcast whole
+HOT_SHARE = 1000                     # of a larger one, values with a thousandth of the rows are
 
 
 # ---------------------------------------------------------------------------
@@ -210,33 +210,50 @@ def stratified_split(df: DataFrame, label: str = "y", test_size: float = TEST_SI
 # ---------------------------------------------------------------------------
 def fit_encoder(train: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """encoder(feature, value, code): code = rank of the value in ascending
-    lexical order of the train values, from 0 (a window over the small
-    distinct-value table, partitioned by feature)."""
+    lexical order of the train values, from 0, by range partitions and offsets."""
     if not categorical:
         return train.sparkSession.createDataFrame([], "feature string, value string, code int")
     long = train.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
         for c in categorical])))
     distinct = long.where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("feature").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    return numbered(distinct, ["value"], "code", ["feature"]).withColumn("code", F.col("code").cast("int"))
 
 
 def encode(df: DataFrame, encoder: DataFrame, categorical: Sequence[str],
-           suffix: str = "") -> DataFrame:
-    """Replace each categorical column by its code (double); unseen or NULL -> 0,
-    the code of the smallest train value. One size-checked broadcast join per column."""
+           suffix: str = "", broadcast_rows: int = ENCODER_BROADCAST_ROWS) -> DataFrame:
+    """Replace each categorical column by its code (double); unseen or NULL -> 0, the code of the
+    smallest train value. A dictionary of at most ``broadcast_rows`` values is broadcast (one count
+    for all columns); of a larger one only the frequent values are, the others are joined by shuffle."""
     out = df
+    if not categorical:
+        return out
+    sizes = {r["feature"]: r["count"] for r in encoder.groupBy("feature").count().collect()}
     for c in categorical:
-        m = sized_broadcast(encoder.where(F.col("feature") == c)
-                            .select(F.col("value").alias("__v"), F.col("code").alias("__code")),
-                            ENCODER_MAX_ROWS)
-        out = (out.join(m, F.col(c).cast("string") == F.col("__v"), "left")
-                  .withColumn(c + suffix, F.coalesce(F.col("__code"), F.lit(0)).cast("double"))
-                  .drop("__v", "__code"))
+        m = encoder.where(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
+        if sizes.get(c, 0) <= broadcast_rows:
+            out = out.join(F.broadcast(m), F.col(c).cast("string") == F.col("__v"), "left")
+        else:
+            out = _join_large(out, c, m)
+        out = out.withColumn(c + suffix, F.coalesce(F.col("__code"), F.lit(0)).cast("double")).drop("__v", "__code")
     return out
 
 
+def _join_large(df: DataFrame, col: str, m: DataFrame) -> DataFrame:
+    """Left join of ``col`` with the dictionary (__v, __code). Values that hold at least one of
+    ``HOT_SHARE`` rows, of which there are at most as many, meet a broadcast part; NULL needs no join."""
+    value = F.col(col).cast("string")
+    counts = df.where(F.col(col).isNotNull()).groupBy(value.alias("__v")).count()
+    n = df.count()
+    hot = cut_lineage(m.join(counts.where(F.col("count") * HOT_SHARE >= n).select("__v"), "__v"), "hot_values")
+    known = df.where(F.col(col).isNotNull())
+    missing = df.where(F.col(col).isNull()).select("*", F.lit(None).cast("string").alias("__v"), F.lit(None).cast("int").alias("__code"))
+    return (known.join(F.broadcast(hot), value == F.col("__v"))
+            .unionByName(known.join(F.broadcast(hot.select("__v")), value == F.col("__v"), "left_anti")
+                              .join(m, value == F.col("__v"), "left"))
+            .unionByName(missing))
+
+
 def fit_scaler(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """(feature, mean, std): population std, one aggregate pass."""
     if not numeric:
@@ -275,6 +292,7 @@ class PrepState:
     encoder: DataFrame
     fills: DataFrame
     scaler: DataFrame
+    rows: dict = field(default_factory=dict)     # n_train, n_test, n_positive, seen while writing
 
 
 def feature_list(df: DataFrame, spec: AuditSpec) -> list[str]:
@@ -315,8 +333,11 @@ def prepare(df: DataFrame, spec: AuditSpec, seed: int = 42,
     out = scale(out, scaler)
     out = out.select("row_id", "split", "y", *[f"s_{c}" for c in spec.sensitive],
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
-    out = cut_lineage(out)
-    state = PrepState(spec, numeric, categorical, feats, encoder, fills, scaler)
+    is_test = (F.col("split") == "test").cast("long")
+    out, seen = cut_observed(out, "prepared", n=F.count(F.lit(1)), n_test=F.sum(is_test), n_positive=F.sum("y"))
+    rows = {"n_train": int(seen["n"] or 0) - int(seen["n_test"] or 0), "n_test": int(seen["n_test"] or 0),
+            "n_positive": int(seen["n_positive"] or 0)}
+    state = PrepState(spec, numeric, categorical, feats, encoder, fills, scaler, rows)
     return out, state
 
 

@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,15 @@ from ..operators import fidelity as fid
 from ..operators import model as mx
 from ..operators import prep as px
 from ..operators import report as rp
-from ..session import cut_lineage
+from ..operators import surrogate as sg
+from ..operators.dist import sample_n
+from ..session import cut_lineage, cut_observed
 from ..spec import COUNTERFACTUAL_N, AuditSpec
+from .history import RunStore
 
-VARIANTS = ("baseline", "smote", "cf", "gan", "full")
+VARIANTS = {"baseline": "baseline", "smote": "smote", "cf": "cf", "gan": "copula", "smote_gan": "smote_copula", "full": "full"}
+LIME_ROWS = 25               # rows that get a local surrogate (a report on a sample, as the operator is meant)
+TOP_FEATURES = 5
 
 
 @dataclass
@@ -38,20 +44,40 @@ class AuditResult:
     stage_seconds: dict[str, float] = field(default_factory=dict)
 
 
-def _acc(r: mx.TrainResult) -> float:
-    return float(r.metrics.select("accuracy").first()[0])
-
-
 def _summary_struct(fair: DataFrame) -> dict:
     row = fx.fairness_summary(fair).first()
     return {"dpd_avg": row["dpd_avg"], "dir_avg": row["dir_avg"], "eod_avg": row["eod_avg"],
             "bias_score": row["bias_score"], "fail_count": int(row["fail_count"])}
 
 
+def _attributions(model, rows: DataFrame, feats: list[str], means: dict[str, float], keep: list[str],  # noqa: ANN001
+                  n_perm: int, seed: int) -> DataFrame:
+    """Attributions by the method that fits the model: exact for linear models, forests, and any model of
+    up to 12 features; else by sampled permutations."""
+    if isinstance(model, LogisticRegressionModel):
+        return xx.linear_shap(rows, xx.lr_coefficients(model, feats), means, keep)
+    if isinstance(model, RandomForestClassificationModel):
+        return xx.tree_shap(model, rows, feats, keep)
+    if len(feats) <= sg.LATTICE_FEATURES:
+        return sg.lattice_shap(model, rows, feats, means, keep)
+    return xx.sampling_shap(model, rows, feats, means, n_perm, seed, keep)
+
+
+def _lime_top(model, rows: DataFrame, train: DataFrame, feats: list[str], n: int, seed: int) -> list[str]:  # noqa: ANN001
+    some = sample_n(rows, n, seed, "row_id", "lime_rows")
+    fit = sg.local_surrogate if len(feats) <= sg.SOLVE_FEATURES else xx.lime
+    imp = xx.lime_importance(fit(model, some, train, feats, seed=seed), n)
+    return [r["feature"] for r in xx.top_features(imp, feats, TOP_FEATURES).orderBy("rank").collect()]
+
+
 def audit_one(df: DataFrame, spec: AuditSpec, model_kind: str = "rf", seed: int = 42,
               run_xai: bool = True, n_explain: int | None = None,
-              n_background: int | None = None, n_perm: int = 10) -> AuditResult:
-    """Full audit of one table (the reference's per-dataset run)."""
+              n_background: int | None = None, n_perm: int = 10, n_lime: int = LIME_ROWS,
+              rules: dict | None = None, leakage: bool = False, domain: str | None = None) -> AuditResult:
+    """Full audit of one table (the reference's per-dataset run). ``rules`` ({variant: rule}) stands in
+    for the fitted models; nothing is augmented or fitted then. ``leakage`` adds the test with synthetic
+    rows among the held-out ones. Attributions cover all test rows unless ``n_explain`` is given; the
+    local surrogates are a report on ``n_lime`` rows."""
     spark = df.sparkSession
     t0 = time.perf_counter()
     times: dict[str, float] = {}
@@ -67,76 +93,83 @@ def audit_one(df: DataFrame, spec: AuditSpec, model_kind: str = "rf", seed: int
     s_cols = [f"s_{c}" for c in spec.sensitive]
     train = prepared.where(F.col("split") == "train").drop("split")
     test = prepared.where(F.col("split") == "test").drop("split")
-    n_train, n_test = train.count(), test.count()
+    n_train, n_test = state.rows["n_train"], state.rows["n_test"]
     mark("preprocess")
 
-    # stage 2: every synthetic batch once
-    b = ax.augment_batches(train, feats, spec.sensitive, seed,
-                           ("baseline", "smote", "cf", "copula", "full"), cf_n=COUNTERFACTUAL_N)
-    gan = b["copula"]
-    fidel = fid.fidelity(gan, state.numeric, state.categorical).first()
-    mark("augment")
-
-    # stage 3: five fits, scored on the real test rows only
-    batches = {"baseline": b["baseline"], "smote": b["smote"], "cf": b["cf"], "gan": gan,
-               "full": b["full"]}
-    res = {k: mx.train_eval(b, test, feats, model_kind, k, seed, s_cols) for k, b in batches.items()}
-    acc = {k: _acc(r) for k, r in res.items()}
+    # stages 2 and 3: every synthetic batch once, one fit each; all models score the real test rows
+    # in one pass, written once
+    fidelity = None
+    if rules is None:
+        b = ax.augment_batches(train, feats, spec.sensitive, seed, tuple(VARIANTS.values()), cf_n=COUNTERFACTUAL_N, n_train=n_train)
+        row = fid.fidelity(b["copula"], state.numeric, state.categorical).first()
+        fidelity = {"ks_mean": row["ks_mean"], "chi_mean": row["chi_mean"], "n_synth": int(row["n_synth"])}
+        mark("augment")
+        models = {k: mx.fit_model(b[v], feats, model_kind, seed) for k, v in VARIANTS.items()}
+    else:
+        models = dict(rules)
+    hits = {f"acc_{k}": F.avg((F.col("y") == F.col(f"pred_{k}")).cast("double")) for k in models}
+    scored, acc = cut_observed(mx.score_all(models, test, feats, ["row_id", "y", *s_cols]), "scored", **hits)
+    acc = {k: float(acc[f"acc_{k}"]) for k in models}
     mark("training")
 
     # stage 4: fairness before (baseline) / after (full)
     name = spec.name
-    f_before = fx.fairness(res["baseline"].scored, s_cols, name, "y", "pred",
-                           spec.thresholds).withColumn("sensitive", F.expr("substring(sensitive, 3)"))
-    f_after = fx.fairness(res["full"].scored, s_cols, name, "y", "pred",
-                          spec.thresholds).withColumn("sensitive", F.expr("substring(sensitive, 3)"))
-    sb, sa = _summary_struct(f_before), _summary_struct(f_after)
+    fair = {}
+    for k in ("baseline", "full"):
+        f = fx.fairness(scored, s_cols, name, "y", f"pred_{k}", spec.thresholds)
+        fair[k] = cut_lineage(f.withColumn("sensitive", F.expr("substring(sensitive, 3)")), "fairness")
+    sb, sa = _summary_struct(fair["baseline"]), _summary_struct(fair["full"])
+    leak = None
+    if leakage:
+        mixed = ax.smote(test, feats, [], seed=seed)
+        r = mx.leakage_test(models["full"], feats, test, mixed).first()
+        leak = {k: r[k] for k in ("real_plus_synth", "real_only", "delta")}
     mark("fairness")
 
-    # stage 5: attributions of the full model on real test rows
+    # stage 5: attributions of the full model (and of the baseline, to compare) on real test rows
     top5: list[str] = []
+    lime: list[str] = []
     flagged: list[str] = []
+    shifts: list[dict] = []
     attr = None
     if run_xai:
         bg = xx.explain_sample(train, n_background, seed, "background")
         ex = xx.explain_sample(test, n_explain, seed, "explain")
         means = xx.background_means(bg, feats)
-        if model_kind == "lr":
-            attr = xx.linear_shap(ex, xx.lr_coefficients(res["full"].model, feats), means, s_cols[:1])
-        elif model_kind == "rf":
-            attr = xx.tree_shap(res["full"].model, ex, feats, s_cols[:1])
-        else:
-            attr = xx.sampling_shap(res["full"].model, ex, feats, means, n_perm, seed, s_cols[:1])
-        attr = cut_lineage(attr, "attr")
-        imp = xx.importance(attr)
-        top5 = [r["feature"] for r in xx.top_features(imp, feats, 5).orderBy("rank").collect()]
-        fl = xx.flag_features(attr, s_cols[0])
+        attr = cut_lineage(_attributions(models["full"], ex, feats, means, s_cols[:1], n_perm, seed), "attr")
+        after = {r["feature"]: r["mean_abs"] for r in xx.importance(attr).collect()}
+        before = {r["feature"]: r["mean_abs"] for r in
+                  xx.importance(_attributions(models["baseline"], ex, feats, means, s_cols[:1], n_perm, seed)).collect()}
         pos = {c: i for i, c in enumerate(feats)}
-        flagged = sorted([r["feature"] for r in fl.where("flagged").collect()], key=pos.get)
+        top5 = sorted(after, key=lambda c: (-after[c], pos[c]))[:TOP_FEATURES]
+        flagged = sorted([r["feature"] for r in xx.flag_features(attr, s_cols[0]).where("flagged").collect()], key=pos.get)
+        shifts = [{"feature": c, "before": before.get(c), "after": after[c],
+                   "note": "flagged" if c in flagged else ""} for c in top5]
         mark("attribution")
+        lime = _lime_top(models["full"], test, train, feats, n_lime, seed)
+        mark("surrogates")
 
     acc_df = spark.createDataFrame([(name, acc["full"])], "dataset string, accuracy double")
     fl_df = spark.createDataFrame([(name, i, f) for i, f in enumerate(flagged)],
                                   "dataset string, rank int, feature string")
-    record = rp.audit_record(f_after, acc_df, fl_df, spec.sensitive)
+    record = rp.audit_record(fair["full"], acc_df, fl_df, spec.sensitive)
     elapsed = time.perf_counter() - t0
     row = (name, seed, n_train, n_test, len(feats), list(spec.sensitive),
-           acc["baseline"], acc["smote"], acc["cf"], acc["gan"], acc["full"],
-           sb, sa, top5, flagged,
-           {"ks_mean": fidel["ks_mean"], "chi_mean": fidel["chi_mean"], "n_synth": int(fidel["n_synth"])},
-           float(elapsed))
+           *[acc.get(k) for k in ("baseline", "smote", "cf", "gan", "full")],
+           sb, sa, top5, flagged, fidelity, float(elapsed), acc.get("smote_gan"), domain, leak, lime, shifts, times)
     run = spark.createDataFrame([row], rp.RUNS_SCHEMA)
-    return AuditResult(run, f_before, f_after, record, attr, times)
+    return AuditResult(run, fair["baseline"], fair["full"], record, attr, times)
 
 
 Loader = Callable[[SparkSession], tuple[DataFrame, AuditSpec]]
 
 
 def audit_all(spark: SparkSession, loaders: dict[str, Loader], names: Sequence[str] | None = None,
-              model_kind: str = "rf", seed: int = 42, run_xai: bool = True
-              ) -> tuple[DataFrame | None, DataFrame]:
+              model_kind: str = "rf", seed: int = 42, run_xai: bool = True, store: RunStore | None = None,
+              **options) -> tuple[DataFrame | None, DataFrame]:  # noqa: ANN003
     """Run the audit over registered tables. Unknown names and load/audit
-    failures are returned as rows of the second table, not swallowed."""
+    failures are returned as rows of the second table, not swallowed. With a ``store`` each run is saved
+    as soon as it is there; ``options`` go to ``audit_one`` and are part of the run's configuration."""
     runs = None
     problems = []
     for name in names or list(loaders):
@@ -145,7 +178,9 @@ def audit_all(spark: SparkSession, loaders: dict[str, Loader], names: Sequence[s
             continue
         try:
             df, spec = loaders[name](spark)
-            r = audit_one(df, spec, model_kind, seed, run_xai).run
+            r = audit_one(df, spec, model_kind, seed, run_xai, **options).run
+            if store is not None:
+                store.save(r, config_of(model_kind, run_xai, options))
             runs = r if runs is None else runs.unionByName(r)
         except Exception as e:  # noqa: BLE001 -- recorded, not hidden
             problems.append((name, f"{type(e).__name__}: {e}"[:500]))
@@ -153,45 +188,59 @@ def audit_all(spark: SparkSession, loaders: dict[str, Loader], names: Sequence[s
     return runs, errs
 
 
+def config_of(model_kind: str, run_xai: bool, options: dict) -> dict:
+    """What distinguishes runs of one dataset and seed; rules by their names."""
+    return {"model": model_kind, "xai": run_xai,
+            **{k: sorted(v) if isinstance(v, dict) else v for k, v in options.items()}}
+
+
 def sweep(spark: SparkSession, loaders: dict[str, Loader], seeds: Sequence[int],
-          names: Sequence[str] | None = None, model_kind: str = "rf", run_xai: bool = False
-          ) -> tuple[DataFrame | None, DataFrame]:
-    """Multi-seed sweep: one run row per (dataset, seed), and the failures (seed, dataset, error)."""
+          names: Sequence[str] | None = None, model_kind: str = "rf", run_xai: bool = False,
+          store: RunStore | None = None, **options) -> tuple[DataFrame | None, DataFrame]:  # noqa: ANN003
+    """Multi-seed sweep: one run row per (dataset, seed), and the failures (seed, dataset, error). With a
+    ``store``, runs that it already holds for this configuration are not made again."""
     out = failed = None
+    config = config_of(model_kind, run_xai, options)
+    chosen = list(names or loaders)
     for s in seeds:
-        runs, errs = audit_all(spark, loaders, names, model_kind, s, run_xai)
-        errs = errs.select(F.lit(s).alias("seed"), "dataset", "error")
-        failed = errs if failed is None else failed.unionByName(errs)
+        todo = chosen if store is None else [n for n in chosen if (n, s) not in store.done(config)]
+        runs, errs = audit_all(spark, loaders, todo, model_kind, s, run_xai, store, **options) if todo else (None, None)
+        if errs is not None:
+            errs = errs.select(F.lit(s).alias("seed"), "dataset", "error")
+            failed = errs if failed is None else failed.unionByName(errs)
         if runs is not None:
             out = runs if out is None else out.unionByName(runs)
     if failed is None:
         failed = spark.createDataFrame([], "seed int, dataset string, error string")
-    return out, failed
+    return (out if store is None else store.runs(config)), failed
 
 
-def summary_from_runs(runs: DataFrame) -> DataFrame:
-    """Per-dataset summary in the shape the report tables read (stability over
-    seeds, fairness before/after means, bias reduction)."""
+def summary_from_runs(runs: DataFrame, k: int = TOP_FEATURES) -> DataFrame:
+    """Per-dataset summary in the shape the report tables read (stability over seeds, fairness before/after
+    means, leakage, attributions, agreement of the runs' first ``k`` features). The table that all
+    synthetic rows make is at once the full one and the one of SMOTE and copula rows with copies."""
+    pct = lambda c: F.avg(F.col(c) * 100)
     g = runs.groupBy("dataset").agg(
-        F.first("sensitive").alias("sens"), F.max(F.col("n_train") + F.col("n_test")).alias("size"),
-        F.avg(F.col("accuracy_baseline") * 100).alias("baseline"),
-        F.avg(F.col("accuracy_full") * 100).alias("mean"),
+        F.first("sensitive").alias("sens"), F.max(F.col("n_train") + F.col("n_test")).alias("size"), F.first("domain").alias("domain"),
+        *[pct(f"accuracy_{v}").alias(v) for v in ("baseline", "smote", "cf", "gan", "smote_gan", "full")],
         F.min(F.col("accuracy_full") * 100).alias("low"), F.max(F.col("accuracy_full") * 100).alias("high"),
-        F.avg(F.col("accuracy_smote") * 100).alias("smote"), F.avg(F.col("accuracy_cf") * 100).alias("cf"),
-        F.avg(F.col("accuracy_gan") * 100).alias("gan"),
-        F.avg("fairness_before.dpd_avg").alias("dpd_before"), F.avg("fairness_after.dpd_avg").alias("dpd_after"),
-        F.avg("fairness_before.dir_avg").alias("dir_before"), F.avg("fairness_after.dir_avg").alias("dir_after"),
-        F.avg("fairness_before.eod_avg").alias("eod_before"),
-        F.avg("fairness_before.bias_score").alias("bias_before"),
-        F.avg("fairness_after.bias_score").alias("bias_after"))
+        *[F.avg(f"fairness_{t}.{m}").alias(f"{m}_{t}") for m in ("dpd_avg", "dir_avg", "eod_avg", "bias_score") for t in ("before", "after")],
+        *[F.avg(f"leakage.{m}").alias(m) for m in ("real_plus_synth", "real_only", "delta")])
+    for method in ("shap", "lime"):
+        s = rp.topk_stability(runs, f"{method}_topk", k)
+        g = g.join(s.select("dataset", F.col("score").alias(method), F.col("var").alias(f"{method}_var")), "dataset")
+    shift = runs.select("dataset", F.inline("shap_features")).groupBy("dataset", "feature").agg(
+        F.avg("before").alias("before"), F.avg("after").alias("after"), F.max("note").alias("note"))
+    shift = shift.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("feature", "before", "after", "note"))).alias("shap_features"))
+    g = g.join(shift, "dataset", "left")
+    c = F.col
     return g.select(
-        F.lit(None).cast("int").alias("pos"), "dataset", F.lit(None).cast("string").alias("domain"),
-        F.array_join("sens", ", ").alias("sensitive"), F.col("size").cast("long").alias("size"),
-        F.struct(F.col("baseline").alias("baseline"), F.lit(None).cast("double").alias("smote_gan_only"),
-                 F.col("cf").alias("counterfactual_only"), F.lit(None).cast("double").alias("smote_gan_then_cf"),
-                 F.col("mean").alias("full_framework")).alias("accuracy"),
-        F.struct(F.col("baseline").alias("baseline"), F.col("mean").alias("mean"), F.col("low").alias("low"),
-                 F.col("high").alias("high")).alias("stability_10runs"),
-        F.struct("dpd_before", "dpd_after", "dir_before", "dir_after", "eod_before",
-                 rp.bias_reduction(F.col("bias_before"), F.col("bias_after")).alias("bias_reduction_pct"))
-        .alias("fairness"))
+        F.lit(None).cast("int").alias("pos"), "dataset", "domain",
+        F.array_join("sens", ", ").alias("sensitive"), c("size").cast("long").alias("size"),
+        F.struct(c("baseline"), c("smote_gan").alias("smote_gan_only"), c("cf").alias("counterfactual_only"),
+                 c("full").alias("smote_gan_then_cf"), c("full").alias("full_framework")).alias("accuracy"),
+        F.struct("real_plus_synth", "real_only", "delta").alias("leakage"),
+        F.struct(c("baseline"), c("full").alias("mean"), c("low"), c("high")).alias("stability_10runs"),
+        F.struct(*[c(f"{m}_avg_{t}").alias(f"{m}_{t}") for m in ("dpd", "dir", "eod") for t in ("before", "after")],
+                 rp.bias_reduction(c("bias_score_before"), c("bias_score_after")).alias("bias_reduction_pct")).alias("fairness"),
+        F.struct("shap", "shap_var", "lime", "lime_var").alias("xai_consistency"), "shap_features")

@@ -584,15 +584,6 @@ def q_ablate(spark, sf):
     return rounded(mx.ablate(tr, te, FEATS_C, frames.SENSITIVE_C, model_kind="lr"))
 
 
-@register("kernel_shap")
-def q_kernel_shap(spark, sf):
-    tr, te = _ml_split(spark, sf)
-    r = mx.train_eval(tr, te, FEATS_C, "rf")
-    means = xx.background_means(tr, FEATS_C)
-    ex = te
-    return rounded(xx.sampling_shap(r.model, ex, FEATS_C, means, 10, 42, ["s_c_mktsegment"]))
-
-
 @register("tree_shap")
 def q_tree_shap(spark, sf):
     tr, te = _ml_split(spark, sf)
@@ -601,14 +592,6 @@ def q_tree_shap(spark, sf):
     return rounded(xx.tree_shap(r.model, ex, FEATS_C, ["s_c_mktsegment"]))
 
 
-@register("lime")
-def q_lime(spark, sf):
-    tr, te = _ml_split(spark, sf)
-    r = mx.train_eval(tr, te, FEATS_C, "lr")
-    ex = te
-    return rounded(xx.lime(r.model, ex, tr, FEATS_C, 200, 42))
-
-
 @register("audit_one_orders")
 def q_audit_one_orders(spark, sf):
     from .audit import audit_one

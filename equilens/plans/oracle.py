@@ -655,21 +655,22 @@ bm AS (SELECT {means} FROM bgs),
 la AS ({parts})"""
 
 
+MEAN_ABS = "CAST(sum(CAST(round(abs(phi) * 1099511627776.0) AS HUGEINT)) AS DOUBLE) / count(phi) / 1099511627776.0"
 LIN_BASE = f"WITH {prepare_sql(FRAME_C)},\ntst AS (SELECT * FROM prep WHERE split = 'test'),{linear_ctes()}"
 ORACLE["linear_shap"] = f"{LIN_BASE}\nSELECT row_id, {R('s_c_mktsegment')} AS s_c_mktsegment, feature, {R('phi')} AS phi FROM la"
-ORACLE["importance"] = f"{LIN_BASE}\nSELECT feature, {R('avg(abs(phi))')} AS mean_abs FROM la GROUP BY feature"
+ORACLE["importance"] = f"{LIN_BASE}\nSELECT feature, {R(MEAN_ABS)} AS mean_abs FROM la GROUP BY feature"
 ORACLE["attribution_disparity"] = f"""{LIN_BASE}
-SELECT feature, CAST(s_c_mktsegment AS VARCHAR) AS grp, {R('avg(abs(phi))')} AS mean_abs
+SELECT feature, CAST(s_c_mktsegment AS VARCHAR) AS grp, {R(MEAN_ABS)} AS mean_abs
 FROM la GROUP BY feature, CAST(s_c_mktsegment AS VARCHAR)"""
 ORACLE["flag_features"] = f"""{LIN_BASE},
-dg AS (SELECT feature, CAST(s_c_mktsegment AS VARCHAR) AS grp, avg(abs(phi)) AS ma FROM la GROUP BY 1, 2),
+dg AS (SELECT feature, CAST(s_c_mktsegment AS VARCHAR) AS grp, {MEAN_ABS} AS ma FROM la GROUP BY 1, 2),
 spd AS (SELECT feature, max(ma) - min(ma) AS spread FROM dg GROUP BY feature),
-im AS (SELECT feature, avg(abs(phi)) AS mean_abs FROM la GROUP BY feature)
+im AS (SELECT feature, {MEAN_ABS} AS mean_abs FROM la GROUP BY feature)
 SELECT spd.feature, {R('spread')} AS spread, {R('spread / greatest(1e-6, mean_abs)')} AS ratio,
        spread / greatest(1e-6, mean_abs) > 0.2 AS flagged FROM spd JOIN im USING (feature)"""
 _fpos = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(FEATS_C)) + " END"
 ORACLE["top_features"] = f"""{LIN_BASE},
-im AS (SELECT feature, avg(abs(phi)) AS mean_abs FROM la GROUP BY feature),
+im AS (SELECT feature, {MEAN_ABS} AS mean_abs FROM la GROUP BY feature),
 rnk AS (SELECT feature, row_number() OVER (ORDER BY mean_abs DESC, {_fpos}) AS rank FROM im)
 SELECT feature, CAST(rank AS INTEGER) AS rank FROM rnk WHERE rank <= 3"""
 
@@ -685,7 +686,7 @@ def _consistency_sql() -> str:
                          f"FROM {ex} e, bm")
     return f"""WITH {prepare_sql(FRAME_C)},{linear_ctes()},
 rr AS ({' UNION ALL '.join(parts)}),
-im AS (SELECT run_id, feature, avg(abs(phi)) AS mean_abs FROM rr GROUP BY 1, 2),
+im AS (SELECT run_id, feature, {MEAN_ABS} AS mean_abs FROM rr GROUP BY 1, 2),
 rnk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY mean_abs DESC, {_fpos}) AS rank FROM im),
 tp AS (SELECT feature, count(DISTINCT run_id) AS c FROM rnk WHERE rank <= 2 GROUP BY feature),
 nr AS (SELECT count(DISTINCT run_id) AS n_runs FROM im)

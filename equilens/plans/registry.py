@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import prep as px
+from ..operators.dist import numbered
 from ..sources.tables import read_csv
 from ..session import cut_lineage
 from ..spec import AuditSpec
@@ -47,9 +48,13 @@ TITANIC_KEEP = ["pclass", "sex", "age", "sibsp", "parch", "fare", "embarked", "s
 
 
 def _with_id(df: DataFrame) -> DataFrame:
-    """``df`` with a unique ``row_id`` by position in the files (which carry none). The table is
-    written, so ids stay the same for every later reader; equal rows get different ids."""
-    return cut_lineage(df.withColumn("row_id", F.monotonically_increasing_id()), "identified")
+    """``df`` with a unique ``row_id`` by content: the place of a row in the order of a 128-bit hash of
+    all its columns, equal rows one after the other. The same rows get the same ids however the files
+    are split or ordered. Equal rows are counted, not gathered."""
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    rows = rows.withColumns({"__h": F.xxhash64(*df.columns), "__g": F.xxhash64(F.lit(1), *df.columns)})
+    return cut_lineage(numbered(rows, ["__h", "__g", "__copy"], "row_id").select(*df.columns, "row_id"), "identified")
 
 
 def load_adult(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "equilens",
@@ -59,6 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
+def cut_observed(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:  # noqa: ANN003
+    """``cut_lineage`` and the given aggregates of its rows, observed while they are written (no job of
+    their own)."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = cut_lineage(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    return out, seen.get
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read
     it back: one job, lineage cut, survives executor loss (the files live on the

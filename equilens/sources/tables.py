@@ -9,10 +9,14 @@ only what they need and the scan reads only those columns.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..session import cut_lineage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -43,6 +47,49 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, *
     return df
 
 
+# Cells that a CSV reader of data frames takes for missing by default
+MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                 "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+class CsvScan(NamedTuple):
+    """``rows`` in the wanted types; ``rejects`` (reason, column, value, n): broken lines, which are not
+    among the rows, and cells that are no number, which are NULL there."""
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType, *, header: bool = True, sep: str = ",",
+             null_tokens: Sequence[str] = (), missing: Sequence[str] = MISSING_WORDS, skip_leading_space: bool = False,
+             comment: str | None = None) -> CsvScan:
+    """CSV scan that loses nothing silently. Cells are read as text; ``missing`` words and ``null_tokens``
+    are NULL; of typed columns other text is cast, and what cannot be cast is NULL and among the rejects,
+    as are lines with too few or too many cells, whole. Lines are parsed once: the cells are written as a
+    table that rows and rejects both read."""
+    text = StructType([StructField(f.name, StringType()) for f in schema.fields] + [StructField("__line", StringType())])
+    r = (spark.read.schema(text).option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "__line").option("enforceSchema", True)
+              .option("ignoreLeadingWhiteSpace", skip_leading_space))
+    if comment:
+        r = r.option("comment", comment)
+    cells = cut_lineage(r.csv(path), "cells")
+    none = list({*missing, *null_tokens})
+    good = cells.where(F.col("__line").isNull())
+    known = {f.name: F.when(~F.trim(f.name).isin(none), F.col(f.name)) for f in schema.fields}
+    typed = [f for f in schema.fields if not isinstance(f.dataType, StringType)]
+    cast = {f.name: F.trim(known[f.name]).try_cast(f.dataType) for f in typed}
+    rows = good.select(*[cast.get(f.name, known[f.name]).alias(f.name) for f in schema.fields])
+    rejects = cells.where(F.col("__line").isNotNull()).groupBy(F.col("__line").alias("value")).agg(
+        F.count(F.lit(1)).alias("n")).select(F.lit("broken line").alias("reason"), F.lit(None).cast("string").alias("column"), "value", "n")
+    if typed:
+        bad = good.select(F.inline(F.array(*[F.struct(
+            F.lit(f.name).alias("column"), F.when(known[f.name].isNotNull() & cast[f.name].isNull(), F.col(f.name)).alias("value"))
+            for f in typed]))).where(F.col("value").isNotNull())
+        rejects = rejects.unionByName(bad.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("not of the type").alias("reason"), "column", "value", "n"))
+    return CsvScan(rows, rejects)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     w = df.write.mode(mode)
