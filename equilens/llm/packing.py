@@ -40,14 +40,12 @@ _SECOND = np.isin(np.arange(256), [0x80, 0x81, 0x85, 0x9A, 0xA0])
 
 
 def tokenizer(path: str):
-    """The tokenizer of a file, loaded once per worker; special strings in texts are plain text."""
+    """The tokenizer of a file, loaded once per worker, as it is: strings of its special tokens give these."""
     cache = worker_cache("tokenizers")
     if path not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        cache[path] = t
+        cache[path] = Tokenizer.from_file(path)
     return cache[path]
 
 
@@ -56,7 +54,7 @@ class Stretches:
 
     def __init__(self, path: str, bits: int = CACHE_BITS):
         self.path, self.bits = path, bits
-        vocab = tokenizer(path).get_vocab(with_added_tokens=False)
+        vocab = tokenizer(path).get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self.clear()
