@@ -9,7 +9,6 @@ margin between the best and the second best size decides whether the answer is a
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +22,6 @@ SAMPLE_CHARS = 1500           # of a sampled training text, if the language's te
 BLOCK = 8 << 10               # bytes compressed at once
 LEVEL = 3
 MARGIN = 0.005                # relative lead over the second language below which a text is rejected
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 
 
@@ -98,7 +96,7 @@ def classifier(spark: SparkSession, dicts: dict[str, bytes], *, margin: float =
     model = spark.sparkContext.broadcast(dicts)          # languages * DICT_BYTES at most
 
     def one(text, made):  # noqa: ANN001
-        if text is None or not made or not _LETTER.search(text):
+        if text is None or not made or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0, False
         raw = normal(text) or b" "
         parts = [raw[i:i + block] for i in range(0, len(raw), block)]
