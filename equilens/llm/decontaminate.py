@@ -118,11 +118,23 @@ class Index:
 
 
 def fingerprints(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """SimHash of the shingles starts..starts+m of each window."""
+    """SimHash of the distinct shingles among starts..starts+m of each window: a shingle that the window
+    holds several times counts once, as in the set of an item."""
     weight = np.round(weight * (1 << 24))        # whole numbers: sums do not depend on where they begin
     sign = np.where((h[:, None] >> _BITS) & np.uint64(1), weight[:, None], -weight[:, None])
     acc = np.concatenate((np.zeros((1, 64)), np.cumsum(sign, axis=0)))
     total = acc[np.minimum(starts + m, len(h))] - acc[starts]
+    order = np.argsort(h, kind="stable")
+    again = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    here, before = order[again + 1], order[again]
+    near = here - before < m
+    if near.any():
+        # the later place does not count in the windows that hold the earlier one as well
+        here, before = here[near], before[near]
+        less = np.zeros((len(h) + 2, 64))
+        np.add.at(less, np.maximum(here - m + 1, 0), sign[here])
+        np.subtract.at(less, before + 1, sign[here])
+        total -= np.cumsum(less, axis=0)[starts]
     return (np.where(total > 0, np.uint64(1) << _BITS, np.uint64(0))).sum(axis=1, dtype=np.uint64)
 
 
