@@ -15,10 +15,27 @@ from equilens.llm.common import small, table
 from equilens.session import cut_lineage
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``ids`` (rows with a null id stay)."""
-    ids = cut_lineage(ids.select(F.col("doc_id").alias("__gone")).where(F.col("__gone").isNotNull()).distinct(), "gone")
-    return docs.join(small(ids), docs["doc_id"].cast("long") == ids["__gone"], "left_anti")
+ROW_KEYS = 1 << 62        # keys from here on are of rows that share an id or have none
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key per text, ``__key``: the id where one row has it; rows that share an id, or
+    have none, have a key each by id and text, so that decisions take effect on rows and not on ids.
+    Only rows of one id and text share a key."""
+    docs = docs.drop("__key")
+    again = cut_lineage(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+                        .select(F.col("doc_id").alias("__again")), "repeated")
+    own = F.lit(ROW_KEYS) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROW_KEYS - 1))
+    if again.isEmpty():
+        return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), own))
+    out = docs.join(small(again), docs["doc_id"] == F.col("__again"), "left")
+    return out.withColumn("__key", F.when(F.col("__again").isNull(), F.coalesce(F.col("doc_id").cast("long"), own)).otherwise(own)).drop("__again")
+
+
+def _without(keyed: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """Rows whose key is not in ``column`` of ``gone``."""
+    gone = cut_lineage(gone.select(F.col(column).alias("__gone")).distinct(), "gone")
+    return keyed.join(small(gone), keyed["__key"] == gone["__gone"], "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +47,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id (5 words,
-    similarity 0.8). Rows that repeat an id and its text are one document: one row stays; different
-    texts under one id all stay."""
-    judged = near_dup.near_duplicates(docs, k=5, num=80, den=100)
-    kept = _without(docs, judged.where(~F.col("kept")))
-    # repeated rows of a kept id: found by a count per id first, so no text is shuffled without need
-    again = cut_lineage(kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-                        .select("doc_id"), "repeated")
-    if again.isEmpty():
-        return kept
-    return _without(kept, again).unionByName(
-        kept.join(small(again), "doc_id", "left_semi").select(*kept.columns).dropDuplicates(["doc_id", "text"]))
+    """One row of each group of near-duplicate texts stays (5 words, similarity 0.8): that of the smallest
+    id that no other row has, else one of those whose id is shared or null. Rows that repeat an id and
+    its text are one document; different texts under one id, or without an id, are compared like any
+    others. Null and wordless texts are no one's near-duplicates and stay."""
+    keyed = _keyed(docs)
+    judged = near_dup.near_duplicates(keyed, k=5, num=80, den=100, id_col="__key")
+    kept = _without(keyed, judged.where(~F.col("kept")), "doc_id")
+    shared = F.col("__key") >= ROW_KEYS
+    return kept.where(~shared).unionByName(kept.where(shared).dropDuplicates(["__key"])).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +67,16 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found)
+    """Rows whose text holds a benchmark item go, whatever their id; all others stay, also those that share
+    an id with them. Null, empty and wordless texts hold nothing; repeated rows are judged alike."""
+    keyed = _keyed(docs)
+    found = decontaminate.contaminations(keyed, table(spark, sf_dir, "benchmark"), id_col="__key")
+    return _without(keyed, found, "doc_id").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their tokens (little-endian uint32 ids), sequence and offset."""
+    """The pieces of all documents with their tokens (little-endian uint32 ids), sequence and offset. A
+    null or empty text is its end token alone; repeated rows are packed each."""
     return packing.pack(docs, queries.tokenizer_path(), with_ids=True)
 
 
