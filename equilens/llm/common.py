@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_observed
 
 BROADCAST_ROWS = 500_000     # a side is broadcast only after counting at most this many rows
 BATCH_ROWS = 128             # rows per Arrow batch handed to Python
@@ -149,29 +149,66 @@ def lists_of(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Arr
 # ---------------------------------------------------------------------------
 # connected components
 # ---------------------------------------------------------------------------
+FEW_EDGES = 50_000           # edges that one task joins up
+
+
+def _joined_up(batches):
+    """(node, component) of the edges (u, v): each node's smallest reachable node."""
+    least: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while least[x] != x:
+            least[x] = least[least[x]]
+            x = least[x]
+        return x
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            least.setdefault(u, u)
+            least.setdefault(v, v)
+            u, v = root(u), root(v)
+            if u != v:
+                least[max(u, v)] = min(u, v)
+    nodes = list(least)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())],
+                                     ["node", "component"])
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with an edge to another.
 
-    Alternating large-star / small-star rounds; each is two shuffles over the edge list and a
-    written table in the shared folder, so a lost executor repeats one round at most. A hub's
-    edges are pre-aggregated (min) and its join can be split by AQE; nothing is collected.
+    Alternating large-star / small-star rounds; each is a few shuffles over the edge list and a written
+    table in the shared folder, so a lost executor repeats one round at most. A hub's edges are
+    pre-aggregated (min) and its join can be split by AQE; nothing is collected. A list of at most
+    ``FEW_EDGES`` edges is joined up by one task.
     """
-    hi, lo = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
-    e = cut_lineage(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct(),
-                    "edges")
-    before = None
-    while True:
-        sign = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(sign) == before or sign[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = tuple(sign)
+    def written(e: DataFrame) -> tuple[DataFrame, dict]:
+        return cut_observed(e, "edges", n=F.count(F.lit(1)), sign=F.bit_xor(F.xxhash64("u", "v")))
+    hi, lo = F.greatest(F.col(a), F.col(b)).cast("long"), F.least(F.col(a), F.col(b)).cast("long")
+    e, seen = written(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
+    while seen["n"] > FEW_EDGES:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where(F.col("v") > F.col("u")).join(least, "u")
-                     .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+                     .select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(least, "u").where(F.col("v") != F.col("m")).select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(small_star.unionByName(least.select("u", F.col("m").alias("v"))).distinct(),
-                        "edges")
+        before = seen
+        e, seen = written(small_star.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        if seen == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return cut_lineage(e.select("u", "v").coalesce(1).mapInArrow(_joined_up, "node long, component long"), "components")
+
+
+def joined(comp: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``comp`` (node, component) with further edges taken in: only the components they tie together are
+    joined up, over the edges between components."""
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias("c_" + c))
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    tied = ends.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    over = components(tied, "a", "b")
+    moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component"))
+    return cut_lineage(moved.unionByName(over).distinct(), "components")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import (bound_batches, chunks, components, lists_of, mix, shingles_of, small, utf8,
+from .common import (bound_batches, chunks, components, joined, lists_of, mix, shingles_of, small, utf8,
                      words_of)
 
 SIZE = 2              # minhashes per collection
@@ -153,12 +153,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
             break
         found = check.links(_next_pairs(open_, pivots, num, den))
         if not found.isEmpty():
-            links = cut_lineage(links.unionByName(found), "links")
-            comp = components(links, "a", "b")
+            comp = joined(comp, found, "a", "b")
         used = cut_lineage(used.unionByName(pivots.select("key", "set_key")), "used")
         n_pivots *= 4
     member = signed.join(reps.select("set_key", "rep"), "set_key", "left")
-    return _labelled(member, comp, links)
+    return _labelled(member, comp)
 
 
 class _Check:
@@ -250,7 +249,7 @@ def _next_pairs(open_: DataFrame, pivots: DataFrame, num: int, den: int) -> Data
     return both.select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
 
 
-def _labelled(member: DataFrame, comp: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(member: DataFrame, comp: DataFrame) -> DataFrame:
     """Component per row; rows that share an id are joined into one component."""
     split = cut_lineage(member.where(F.col("rep").isNotNull()).groupBy("doc_id")
                         .agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
@@ -258,7 +257,7 @@ def _labelled(member: DataFrame, comp: DataFrame, links: DataFrame) -> DataFrame
     if not split.isEmpty():
         own = (member.join(split, "doc_id", "left_semi").where(F.col("rep").isNotNull())
                      .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-        comp = components(links.unionByName(own), "a", "b")
+        comp = joined(comp, own, "a", "b")
     of = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
