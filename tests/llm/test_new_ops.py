@@ -228,3 +228,76 @@ def test_scores_are_exact_beyond_64_bits(spark):
     got = spark.sql(f"select (cast({a}L as decimal(28,0)) * 2000000BD) div (cast({a}L as decimal(20,0)) + cast({a + 1}L as decimal(20,0))) s")
     assert got.first()["s"] == 2000000 * a // (2 * a + 1)
     assert np.uint64(1)
+
+
+# --- class-based language model: words beyond the units -----------------------
+def test_class_scores_equal_a_plain_count(spark):
+    """Transitions and emissions recounted from the texts with the model's classes give the scores."""
+    import math
+
+    from equilens.llm import class_lm
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    counts, model = class_lm.train(docs.where(~held), units=100, head=2000)
+    rank = {w: i for i, w in enumerate(model["words"])}
+    n_words = len(rank)
+
+    def classes(text):
+        w = (text or "").encode().lower().split()
+        c = [model["group"][rank[x] if x in rank else n_words + class_lm.suffix_class(x)] for x in w]
+        return w, [*c, model["group"][-1]]
+    rows = docs.select("doc_id", "text", held.alias("h")).collect()
+    pairs, tokens, seen = Counter(), Counter(), Counter()
+    for r in rows:
+        if not r["h"]:
+            w, c = classes(r["text"])
+            seen.update([*w, None])
+            pairs.update(zip([model["group"][-1], *c[:-1]], c))
+    for (_, b), n in pairs.items():
+        tokens[b] += n
+    kinds = Counter(classes(w.decode("utf-8", "surrogateescape"))[1][0] if w is not None else model["group"][-1] for w in seen)
+    starts = Counter()
+    for (a, _), n in pairs.items():
+        starts[a] += n
+    k = int(max(model["group"])) + 1
+    got = {r["doc_id"]: r for r in class_lm.score(docs, counts, model, held).collect()}
+    for r in rows:
+        w, c = classes(r["text"])
+        want = 0.0
+        for a, b, x in zip([model["group"][-1], *c[:-1]], c, [*w, None]):
+            want += math.log10((pairs[a, b] + 1) / (starts[a] + k)) + math.log10((seen[x] + 1) / (tokens[b] + kinds[b] + 1))
+        assert got[r["doc_id"]]["score"] == pytest.approx(want)
+    # every head word has a learned class
+    assert len(set(model["group"][100:n_words])) > 4 and max(model["group"][:n_words]) < class_lm.CLASSES
+
+
+def test_grown_classes_lower_the_held_out_perplexity(spark):
+    from equilens.llm import class_lm
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    total = {}
+    for grow in (True, False):
+        counts, model = class_lm.train(docs.where(~held), grow=grow)
+        total[grow] = class_lm.score(docs.where(held), counts, model, F.lit(True)).agg(F.sum("score")).first()[0]
+    print("held-out log10 probability, grown and not:", total)
+    assert total[True] > total[False]
+
+
+def test_best_class_is_the_one_of_the_largest_likelihood():
+    from equilens.llm import class_lm
+    rng = np.random.default_rng(2)
+    both = rng.integers(0, 40, (7, 7)).astype(float)
+
+    def likelihood(m):
+        f = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+        return f(m) - f(m.sum(axis=0)) - f(m.sum(axis=1))
+    before, behind = rng.integers(0, 5, (2, 30, 7)).astype(float)
+    got = class_lm.best_classes(before, behind, both, 5)
+    for i in range(30):
+        gains = []
+        for c in range(5):
+            m = both.copy()
+            m[:, c] += before[i]
+            m[c] += behind[i]
+            gains.append(likelihood(m))
+        assert got[i] == int(np.argmax(gains))
