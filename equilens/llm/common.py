@@ -93,6 +93,27 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+WINDOW = 1 << 20             # bytes whose prefix sums are held at once
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every span b[start:end] (in order, not overlapping), whatever its place; prefix sums and
+    powers are held for a window of spans at a time, so long texts need no longer tables."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + WINDOW, side="right")))
+        part = b[lo:int(ends[j - 1])]
+        p, q = powers(len(part) + 1)
+        h = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=h[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = mix((h[e] - h[s]) * q[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 def words_of(texts: list[bytes], spaces: np.ndarray = SPACES):
     """Word hashes of all texts: (hash, document index, first word index per document + total,
     byte start, byte end); starts and ends count inside the joined text, with one separating
@@ -108,10 +129,7 @@ def words_of(texts: list[bytes], spaces: np.ndarray = SPACES):
     sp = spaces[b]
     starts = np.flatnonzero(~sp & np.concatenate(([True], sp[:-1])))
     ends = np.flatnonzero(~sp & np.concatenate((sp[1:], [True]))) + 1
-    p, q = powers(len(b) + 1)
-    h = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=h[1:])
-    word = mix((h[ends] - h[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    word = span_hashes(b, starts, ends)
     first = np.searchsorted(starts, at)
     doc = np.repeat(np.arange(n), np.diff(first))
     return word, doc, first, starts, ends, at

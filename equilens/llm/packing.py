@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import bound_batches, chunks, mix, powers, utf8, worker_cache
+from .common import bound_batches, chunks, span_hashes, utf8, worker_cache
 
 SIZE = 1024
 END_ID = 0
@@ -148,10 +148,7 @@ def token_ids(texts: list[bytes], path: str) -> list[np.ndarray]:
     starts = np.flatnonzero(cut)
     doc = np.searchsorted(first, starts, side="right") - 1
     ends = np.minimum(np.concatenate((starts[1:], [len(b)])), first[doc] + size[doc])
-    p, q = powers(len(b) + 1)
-    acc = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=acc[1:])
-    h = mix((acc[ends] - acc[starts]) * q[starts] + (ends - starts).astype(np.uint64)) | np.uint64(1)
+    h = span_hashes(b, starts, ends) | np.uint64(1)
     entry = table.find(h)
     new, at = np.unique(h[entry < 0], return_index=True)
     if len(new):
