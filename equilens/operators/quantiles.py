@@ -43,7 +43,8 @@ def exact_ranks(df: DataFrame, ranks: dict[str, Sequence[float]], grid: int = GR
     def sketch(at: F.Column, name: str) -> F.Column:
         return F.percentile_approx(at, probs, 10 * grid).alias(name)
     first = x.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))],
-                  *[sketch(F.col(f"c{i}"), f"q{i}") for i in range(len(cols))]).first()
+                  *[F.count(F.when(F.col(f"c{i}") == e, 1)).alias(f"{k}{i}") for i in range(len(cols)) for k, e in (("m", -math.inf), ("p", math.inf))],
+                  *[sketch(F.when(F.abs(f"c{i}") < math.inf, F.col(f"c{i}")), f"q{i}") for i in range(len(cols))]).first()
     found: dict[tuple[str, int], float] = {}
     open_: list[_Open] = []
     wanted: dict[str, list[tuple[int, int]] | None] = {}
@@ -58,9 +59,13 @@ def exact_ranks(df: DataFrame, ranks: dict[str, Sequence[float]], grid: int = GR
             if not 0 <= at[0] <= at[1] < n:
                 raise ValueError(f"rank {r} out of range")
             wanted[c].append(at)
+        low, high = first[f"m{i}"], first[f"p{i}"]            # infinite values
         for k in sorted({k for at in wanted[c] for k in at}):
+            if k < low or k >= n - high:
+                found[c, k] = -math.inf if k < low else math.inf
+                continue
             o = _Open(c, k)
-            o.n = n
+            o.before, o.n = low, n - low - high
             _limits(o, first[f"q{i}"])
             open_.append(o)
     number = {c: i for i, c in enumerate(cols)}
@@ -95,8 +100,7 @@ def exact_ranks(df: DataFrame, ranks: dict[str, Sequence[float]], grid: int = GR
             left.append(o)
         open_ = left
     if open_:
-        items = [F.struct(F.lit(j).alias("j"), F.when((v > o.lo) & (v < o.hi) | F.lit(o.lo == -math.inf) & (v == o.lo)
-                                                     | F.lit(o.hi == math.inf) & (v == o.hi), v).alias("v"))
+        items = [F.struct(F.lit(j).alias("j"), F.when((v > o.lo) & (v < o.hi), v).alias("v"))
                  for j, (o, v) in enumerate((o, F.col(f"c{number[o.col]}")) for o in open_)]
         seen = x.select(F.inline(F.array(*items))).where(F.col("v").isNotNull()).groupBy("j", "v").count().collect()
         for j, o in enumerate(open_):
@@ -112,18 +116,12 @@ def exact_ranks(df: DataFrame, ranks: dict[str, Sequence[float]], grid: int = GR
     return out
 
 
-def _limits(o: _Open, points: Sequence[float] | None) -> None:
-    """The points of the sketch around the rank, one further on either side for its error; if the sketch
-    knows one value only (or none beside the limits), that value."""
-    inner = sorted({v for v in points or () if o.lo < v < o.hi and abs(v) != math.inf})
-    if not inner:
-        # values just inside the limits: few rows or infinite ones; halve what is finite
-        a, b = max(o.lo, -1.7e308), min(o.hi, 1.7e308)
-        o.cuts = [a / 2 + b / 2]
-        return
+def _limits(o: _Open, points: Sequence[float]) -> None:
+    """The next cuts: the points of the sketch around the rank, one further on either side for its error.
+    Points are values of rows between the limits, so every scan finds the rank or leaves fewer rows."""
     place = (o.k - o.before) / max(1, o.n) * len(points)
     near = [points[min(max(math.floor(place) + d, 0), len(points) - 1)] for d in (-2, 1)]
-    o.cuts = sorted({v for v in near if o.lo < v < o.hi and abs(v) != math.inf} or {inner[len(inner) // 2]})
+    o.cuts = sorted(set(near))
 
 
 def exact_kth(df: DataFrame, col: str, ks: Sequence[int], local_max: int = GATHERED, splits: int = GRID) -> list[float]:

@@ -596,7 +596,7 @@ def q_tree_shap(spark, sf):
 def q_audit_one_orders(spark, sf):
     from .audit import audit_one
     return rounded(rp.flatten_runs(audit_one(frames.orders_tab(spark, sf), SPEC_C, "rf", 42).run)
-                   .drop("runtime_sec"))
+                   .drop("runtime_sec", "stage_seconds"))
 
 
 # ---------------------------------------------------------------------------
@@ -655,8 +655,11 @@ def q_runs_report(spark, sf):
     run history -> audit summary rows (A7) joined with seed statistics (Y2)."""
     from .audit import sweep
     from .registry import fixture_loaders
-    runs, _ = sweep(spark, {"orders_tab": fixture_loaders(sf)["orders_tab"]}, [42, 43],
-                 model_kind="lr", run_xai=False)
+    runs, failed = sweep(spark, {"orders_tab": fixture_loaders(sf)["orders_tab"]}, [42, 43],
+                         model_kind="lr", run_xai=False)
+    problems = failed.collect()
+    if problems:
+        raise RuntimeError(f"{len(problems)} runs failed, first: {problems[0]}")
     summ = rp.audit_summary(runs).drop("runtime_sec", "shap_flagged")
     stats = rp.seed_stats(runs, "accuracy_full")
     return rounded(summ.join(stats, "dataset"))

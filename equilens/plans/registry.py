@@ -17,12 +17,15 @@ from pyspark.sql import types as T
 
 from ..operators import prep as px
 from ..operators.dist import numbered
-from ..sources.tables import read_csv
+from ..sources.tables import CsvScan, scan_csv
 from ..session import cut_lineage
 from ..spec import AuditSpec
 from . import frames
 
 
+Scan = Callable[..., CsvScan]
+
+
 def _schema(spec: str) -> T.StructType:
     """'name type, ...' with int / string / double types (no JVM needed)."""
     kinds = {"int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType()}
@@ -57,22 +60,22 @@ def _with_id(df: DataFrame) -> DataFrame:
     return cut_lineage(numbered(rows, ["__h", "__g", "__copy"], "row_id").select(*df.columns, "row_id"), "identified")
 
 
-def load_adult(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:
+def load_adult(spark: SparkSession, path: str, scan: Scan = scan_csv) -> tuple[DataFrame, AuditSpec]:
     """Header-less CSV(s) (train and test; test lines start with '|1x3' and
     labels end in '.'), leading spaces skipped; '?' stays a category."""
-    df = read_csv(spark, path, ADULT_SCHEMA, header=False, skip_leading_space=True, comment="|")
+    df = scan(spark, path, ADULT_SCHEMA, header=False, skip_leading_space=True, comment="|").rows
     df = px.drop_missing(df)
     df = df.withColumn("income", px.label_from("income", "eq", ">50K", strip_chars="."))
     return _with_id(df), AuditSpec("UCI Adult", "income", ["sex", "race"])
 
 
-def load_compas(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:
-    df = px.drop_missing(px.keep_columns(read_csv(spark, path), COMPAS_KEEP))
+def load_compas(spark: SparkSession, path: str, scan: Scan = scan_csv) -> tuple[DataFrame, AuditSpec]:
+    df = px.drop_missing(px.keep_columns(scan(spark, path).rows, COMPAS_KEEP))
     return _with_id(df), AuditSpec("COMPAS", "two_year_recid", ["sex", "race"])
 
 
-def load_diabetes(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:
-    df = read_csv(spark, path, null_tokens=["?", "None"])
+def load_diabetes(spark: SparkSession, path: str, scan: Scan = scan_csv) -> tuple[DataFrame, AuditSpec]:
+    df = scan(spark, path, null_tokens=["?", "None"]).rows
     df = px.keep_columns(px.drop_columns(df, DIABETES_DROP), DIABETES_KEEP)
     df = df.withColumn("readmitted", px.label_from("readmitted", "ne", "NO"))
     num, cat = px.split_kinds(df, [c for c in df.columns if c != "readmitted"])
@@ -80,18 +83,18 @@ def load_diabetes(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]
     return _with_id(df), AuditSpec("Diabetes 130-US", "readmitted", ["race", "gender"])
 
 
-def load_meps(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:
-    return _with_id(read_csv(spark, path)), AuditSpec("MEPS", "high_utilizer", ["race", "sex"])
+def load_meps(spark: SparkSession, path: str, scan: Scan = scan_csv) -> tuple[DataFrame, AuditSpec]:
+    return _with_id(scan(spark, path).rows), AuditSpec("MEPS", "high_utilizer", ["race", "sex"])
 
 
-def load_student(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:
-    df = read_csv(spark, path, sep=";")
+def load_student(spark: SparkSession, path: str, scan: Scan = scan_csv) -> tuple[DataFrame, AuditSpec]:
+    df = scan(spark, path, sep=";").rows
     df = px.drop_columns(df.withColumn("pass", px.label_from("G3", "ge", 10)), ["G3"])
     return _with_id(df), AuditSpec("Student Performance", "pass", ["sex", "age"])
 
 
-def load_titanic(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:
-    df = px.normalise_names(read_csv(spark, path), {"gender": "sex"})
+def load_titanic(spark: SparkSession, path: str, scan: Scan = scan_csv) -> tuple[DataFrame, AuditSpec]:
+    df = px.normalise_names(scan(spark, path).rows, {"gender": "sex"})
     df = px.keep_columns(df, TITANIC_KEEP)
     num = [c for c in ("age", "fare") if c in df.columns]
     cat = [c for c in ("embarked",) if c in df.columns]
@@ -99,11 +102,11 @@ def load_titanic(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:
     return _with_id(df), AuditSpec("Titanic", "survived", ["sex", "pclass"])
 
 
-def load_civil(spark: SparkSession, path: str) -> tuple[DataFrame, AuditSpec]:
-    return _with_id(read_csv(spark, path)), AuditSpec("CivilComments", "toxic", ["gender", "race"])
+def load_civil(spark: SparkSession, path: str, scan: Scan = scan_csv) -> tuple[DataFrame, AuditSpec]:
+    return _with_id(scan(spark, path).rows), AuditSpec("CivilComments", "toxic", ["gender", "race"])
 
 
-CSV_LOADERS: dict[str, Callable[[SparkSession, str], tuple[DataFrame, AuditSpec]]] = {
+CSV_LOADERS: dict[str, Callable[..., tuple[DataFrame, AuditSpec]]] = {
     "UCI Adult": load_adult, "COMPAS": load_compas, "Diabetes 130-US": load_diabetes,
     "MEPS": load_meps, "Student Performance": load_student, "Titanic": load_titanic,
     "CivilComments": load_civil,
@@ -137,12 +140,19 @@ def fixture_loaders(sf_dir: str) -> dict[str, Callable[[SparkSession], tuple[Dat
     return {"orders_tab": orders_tab, "dirty": dirty, "documents": documents, "vectors": vectors}
 
 
-def load(spark: SparkSession, name: str, path: str | None = None) -> tuple[DataFrame, AuditSpec]:
-    """A registered table by name: CSV audits need ``path``; fixtures take the sf folder."""
+def load(spark: SparkSession, name: str, path: str | None = None, rejects: list[DataFrame] | None = None
+         ) -> tuple[DataFrame, AuditSpec]:
+    """A registered table by name: CSV audits need ``path``; fixtures take the sf folder. The rejects of
+    CSV scans (broken lines, cells not of their column's type) are appended to ``rejects``."""
+    def scan(*args, **options) -> CsvScan:  # noqa: ANN002, ANN003
+        got = scan_csv(*args, **options)
+        if rejects is not None:
+            rejects.append(got.rejects)
+        return got
     if name in CSV_LOADERS:
         if path is None:
             raise ValueError(f"{name} needs the path of its CSV file(s)")
-        return CSV_LOADERS[name](spark, path)
+        return CSV_LOADERS[name](spark, path, scan)
     fx = fixture_loaders(path or "/root/testdata/sf0.01")
     if name in fx:
         return fx[name](spark)

@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
 
@@ -59,14 +59,16 @@ class CsvScan(NamedTuple):
     rejects: DataFrame
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType, *, header: bool = True, sep: str = ",",
+def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType | None = None, *, header: bool = True, sep: str = ",",
              null_tokens: Sequence[str] = (), missing: Sequence[str] = MISSING_WORDS, skip_leading_space: bool = False,
              comment: str | None = None) -> CsvScan:
     """CSV scan that loses nothing silently. Cells are read as text; ``missing`` words and ``null_tokens``
     are NULL; of typed columns other text is cast, and what cannot be cast is NULL and among the rejects,
-    as are lines with too few or too many cells, whole. Lines are parsed once: the cells are written as a
-    table that rows and rejects both read."""
-    text = StructType([StructField(f.name, StringType()) for f in schema.fields] + [StructField("__line", StringType())])
+    as are lines with too few or too many cells, whole. Without a ``schema`` names come from the header and
+    a column is long or double if all its cells that are not missing can be cast (one aggregate), else
+    text. Lines are parsed once: the cells are written as a table that rows and rejects both read."""
+    names = [f.name for f in schema.fields] if schema is not None else _header(spark, path, sep)
+    text = StructType([StructField(c, StringType()) for c in [*names, "__line"]])
     r = (spark.read.schema(text).option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", "__line").option("enforceSchema", True)
               .option("ignoreLeadingWhiteSpace", skip_leading_space))
@@ -75,7 +77,14 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType, *,
     cells = cut_lineage(r.csv(path), "cells")
     none = list({*missing, *null_tokens})
     good = cells.where(F.col("__line").isNull())
-    known = {f.name: F.when(~F.trim(f.name).isin(none), F.col(f.name)) for f in schema.fields}
+    known = {c: F.when(~F.trim(f"`{c}`").isin(none), F.col(f"`{c}`")) for c in names}
+    if schema is None:
+        fits = good.agg(*[F.count(F.when(known[c].isNotNull() & F.trim(known[c]).try_cast(t).isNull(), 1)).alias(f"{t}{i}")
+                          for i, c in enumerate(names) for t in ("bigint", "double")],
+                        *[F.count(known[c]).alias(f"n{i}") for i, c in enumerate(names)]).first()
+        kinds = [LongType() if fits[f"n{i}"] and not fits[f"bigint{i}"] else DoubleType() if fits[f"n{i}"] and not fits[f"double{i}"]
+                 else StringType() for i in range(len(names))]
+        schema = StructType([StructField(c, k) for c, k in zip(names, kinds)])
     typed = [f for f in schema.fields if not isinstance(f.dataType, StringType)]
     cast = {f.name: F.trim(known[f.name]).try_cast(f.dataType) for f in typed}
     rows = good.select(*[cast.get(f.name, known[f.name]).alias(f.name) for f in schema.fields])
@@ -83,13 +92,18 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType, *,
         F.count(F.lit(1)).alias("n")).select(F.lit("broken line").alias("reason"), F.lit(None).cast("string").alias("column"), "value", "n")
     if typed:
         bad = good.select(F.inline(F.array(*[F.struct(
-            F.lit(f.name).alias("column"), F.when(known[f.name].isNotNull() & cast[f.name].isNull(), F.col(f.name)).alias("value"))
+            F.lit(f.name).alias("column"), F.when(known[f.name].isNotNull() & cast[f.name].isNull(), F.col(f"`{f.name}`")).alias("value"))
             for f in typed]))).where(F.col("value").isNotNull())
         rejects = rejects.unionByName(bad.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select(
             F.lit("not of the type").alias("reason"), "column", "value", "n"))
     return CsvScan(rows, rejects)
 
 
+def _header(spark: SparkSession, path: str | list[str], sep: str) -> list[str]:
+    """Column names of CSV files that share a header."""
+    return spark.read.option("header", True).option("sep", sep).csv(path).columns
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     w = df.write.mode(mode)

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as E
 from equilens.sources.tables import TABLES
 
-from conftest import SF001
+from paths import SF001
 
 
 def test_entry_runs(spark):

@@ -5,7 +5,7 @@ import __spark_entry__ as E
 from equilens.operators import fairness as fx
 from equilens.spec import Thresholds
 
-from conftest import SF01
+from paths import SF01
 
 
 def _fair(spark, rows, sens=("g",)):

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF001
+from paths import SF001
 
 ROW_LEVEL = ["fairness_orders", "fairness_docs", "stratified_split", "ks_two_sample", "avg_rank",
              "prepare", "copula_sample_indep", "knn_minority", "linear_shap", "null_tokens"]

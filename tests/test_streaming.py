@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from equilens.streaming import monitor
 
-from conftest import SF001
+from paths import SF001
 
 
 def test_monitor_matches_batch(spark):
