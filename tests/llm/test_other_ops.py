@@ -1,7 +1,9 @@
 """URL rules, vectors, licences, language model and chat against brute-force versions."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -68,6 +70,66 @@ def test_a_rule_needs_the_same_pages_at_every_size(spark):
         assert url_rules.mine(pages, labels.where("doc_id != 3")).table.isEmpty()         # 19 pages are too few
 
 
+def brute_confidence(pages, bad, min_pages, min_confidence):
+    """Highest confidence of a sure rule on any of a page's token sets, by counting them all."""
+    held, unwanted = Counter(), Counter()
+    subsets = {i: [c for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)] for i, t in pages.items()}
+    for i, cs in subsets.items():
+        if i in bad:
+            held.update(cs)
+            if bad[i]:
+                unwanted.update(cs)
+
+    def sure(c):
+        n, p = held[c], unwanted[c] / held[c]
+        z2 = 1.645 ** 2
+        return p >= min_confidence and (p + z2 / (2 * n) - 1.645 * math.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n) > 0.5
+    rules = {c: unwanted[c] / held[c] for c in unwanted if unwanted[c] >= min_pages and sure(c)}
+    return {i: max((rules[c] for c in cs if c in rules), default=None) for i, cs in subsets.items()}, rules
+
+
+def test_mined_rules_equal_brute_force(spark):
+    rng = random.Random(5)
+    urls = [(i, f"http://{rng.choice('abc')}.s{rng.randrange(3)}.com/{rng.choice('uvw')}/{rng.choice('xy')}") for i in range(600)]
+    bad = {i: rng.random() < (0.9 if "/u/x" in u else 0.8 if "//b.s1" in u else 0.2) for i, u in urls[:500]}   # 100 pages unlabelled
+    pages = make(spark, urls, "page_id long, url string")
+    labels = make(spark, [(i, 1, int(b)) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    toks = {r[0]: r[1] for r in pages.select("page_id", url_rules.tokens(F.col("url"))).collect()}
+    rules = url_rules.mine(pages, labels, min_pages=10)
+    want, every = brute_confidence(toks, bad, 10, url_rules.MIN_CONFIDENCE)
+    got = {r["page_id"]: r["confidence"] for r in url_rules.judge(pages, rules).collect()}
+    assert got == pytest.approx(want) and len(set(want.values())) > 3
+    # no mined rule has a subset as sure, every rule without one is mined, its alternatives included
+    least = {c for c in every if not any(every.get(s, -1) >= every[c] for k in range(1, len(c)) for s in itertools.combinations(c, k))}
+    mined = {tuple(sorted(c)) for r in rules.table.select("any").distinct().collect() for c in itertools.product(*r["any"])}
+    assert mined == least
+
+
+def test_long_urls_on_many_pages_are_mined_in_bounded_time(spark):
+    path = "/".join(f"part{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30))
+    pages = make(spark, [(i, f"http://bad.example.com/{path}/{i}") for i in range(40)] +
+                 [(100 + i, f"http://good{i % 5}.example.org/{path if i < 3 else 'home'}") for i in range(40)], "page_id long, url string")
+    labels = make(spark, [(i, 1, int(i < 100)) for i in [*range(40), *range(100, 140)]], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_rules.judge(pages, url_rules.mine(pages, labels)).collect()}
+    assert all((got[i]["confidence"] == 1.0) == (i < 100) for i in got)
+    assert got[101]["confidence"] == pytest.approx(40 / 43)          # the shared path, seen on three wanted pages too
+
+
+def test_planted_unwanted_sites_are_blocked_on_unseen_pages(spark):
+    rng = random.Random(11)
+    def url(i):
+        return f"https://{rng.choice(['casino', 'news', 'shop', 'wiki'])}.s{rng.randrange(40)}.com/{rng.choice(['play', 'read', 'buy'])}/{i}"
+    urls = [(i, url(i)) for i in range(4000)]
+    unwanted = {i: ("casino" in u and "/play/" in u) != (rng.random() < 0.05) for i, u in urls}     # one label in twenty is wrong
+    pages = make(spark, urls, "page_id long, url string")
+    labels = make(spark, [(i, 1, int(unwanted[i])) for i in range(2000)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_rules.judge(pages, url_rules.mine(pages, labels)).collect()}
+    true = {i: "casino" in u and "/play/" in u for i, u in urls}
+    hit = sum(got[i] and true[i] for i in range(2000, 4000))
+    assert hit / sum(true[i] for i in range(2000, 4000)) == 1.0                                      # recall on unseen pages
+    assert hit / sum(got[i] for i in range(2000, 4000)) > 0.95                                       # precision
+
+
 def brute_vectors(rows, threshold=0.98):
     ok = [i for i, (_, v, lab) in enumerate(rows) if v is not None and lab is not None and len(v) and all(
         x is not None and math.isfinite(x) for x in v) and any(v)]
