@@ -143,18 +143,21 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     check = _Check(src, reps, k, num, den)
     links = check.links(buckets.where(F.col("rep") != F.col("pivot"))
                                .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
-    used = cut_lineage(buckets.where(F.col("rep") == F.col("pivot")).select("key", "set_key"), "used")
     n_pivots = PIVOTS
     comp = components(links, "a", "b")
+    at = buckets.where(F.col("members") > 2)
     while True:
-        open_ = cut_lineage(_with_sets(_open(buckets, comp), reps), "open")
-        pivots = cut_lineage(_pivots(open_, used, n_pivots), "pivots")
+        open_ = cut_lineage(_with_sets(_open(at, comp), reps), "open")
+        pivots = cut_lineage(_pivots(open_, n_pivots), "pivots")
         if pivots.isEmpty():
             break
         found = check.links(_next_pairs(open_, pivots, num, den))
         if not found.isEmpty():
             comp = joined(comp, found, "a", "b")
-        used = cut_lineage(used.unionByName(pivots.select("key", "set_key")), "used")
+        # all pairs of the other buckets have been compared now
+        at = open_.where(~_whole(n_pivots)).select(*at.columns)
+        if at.isEmpty():
+            break
         n_pivots *= 4
     member = signed.join(reps.select("set_key", "rep"), "set_key", "left")
     return _labelled(member, comp)
@@ -180,6 +183,8 @@ class _Check:
                             & _may_link("abits", "bbits", F.col("ahi") + F.col("bhi"), num, den))
                      .select("a", "b"))
         cand = cut_lineage(cand, "candidates")
+        if cand.isEmpty():
+            return cand
         ids = cand.select(F.col("a").alias("doc_id")).unionByName(cand.select(F.col("b").alias("doc_id"))).distinct()
         if self.sets is not None:
             ids = ids.join(self.sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
@@ -204,13 +209,14 @@ def _may_link(bits: str, others: str, total: F.Column, num: int, den: int) -> F.
 
 
 def _open(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component, with the largest (``main``)."""
-    at = (buckets.where(F.col("members") > 2).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-                 .select("key", "set_key", "rep", "members", F.coalesce("component", "rep").alias("comp")))
+    """Members of buckets that still hold more than one component, with the largest (``main``) and
+    the number of members outside it (``others``)."""
+    at = (buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+                 .select(*buckets.columns, F.coalesce("component", "rep").alias("comp")))
     sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = (sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp")).alias("m"))
-                  .where(F.col("k") > 1).select("key", F.col("m.comp").alias("main")))
-    return at.join(mixed, "key")
+                  .where(F.col("k") > 1).select("key", F.col("m.comp").alias("main"), F.col("m.n").alias("in_main")))
+    return at.join(mixed, "key").withColumn("others", F.col("members") - F.col("in_main")).drop("in_main")
 
 
 def _with_sets(open_: DataFrame, reps: DataFrame) -> DataFrame:
@@ -222,13 +228,19 @@ def _with_sets(open_: DataFrame, reps: DataFrame) -> DataFrame:
               .select("set_key", "n", "bits", F.inline("in")))
 
 
-def _pivots(open_: DataFrame, used: DataFrame, n_pivots: int) -> DataFrame:
+def _whole(n_pivots: int) -> F.Column:
+    """Whether all members of an open bucket outside its main component become pivots in this round;
+    every pair of two components is compared then, and the bucket is done."""
+    return (F.col("members") <= PAIR_BUCKET) | (F.col("others") <= n_pivots)
+
+
+def _pivots(open_: DataFrame, n_pivots: int) -> DataFrame:
     """Members of open buckets to compare the others with next. Of any two components one is not
-    the main one, so pivots outside it meet every open pair."""
-    fresh = open_.where(F.col("comp") != F.col("main")).join(used, ["key", "set_key"], "left_anti")
+    the main one, so pivots outside it meet every open pair. A bucket's first pivot has met all."""
+    fresh = open_.where((F.col("comp") != F.col("main")) & (F.col("rep") != F.col("pivot")))
     cols = ["rep", "set_key", "comp", "n", "bits"]
-    few = fresh.where(F.col("members") <= PAIR_BUCKET).select("key", *cols)
-    many = (fresh.where(F.col("members") > PAIR_BUCKET)
+    few = fresh.where(_whole(n_pivots)).select("key", *cols)
+    many = (fresh.where(~_whole(n_pivots))
                  .groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(n_pivots)).alias("slot"))
                  .agg(F.min(F.struct(*cols)).alias("p")).select("key", "p.*"))
     return few.unionByName(many)
