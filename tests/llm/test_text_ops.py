@@ -1,6 +1,7 @@
 """Operators on texts against brute-force versions and edge tables."""
 
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,6 +57,24 @@ def test_near_duplicate_chain_and_large_bucket(spark):
     assert {r["component_id"] for r in got.collect()} == {901}
 
 
+def test_large_buckets_take_several_rounds_and_lose_no_link(spark, monkeypatch):
+    # buckets of more than two members count as large, and rounds start with one pivot slot
+    monkeypatch.setattr(near_dup, "PAIR_BUCKET", 2)
+    monkeypatch.setattr(near_dup, "PIVOTS", 1)
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        w = [f"w{j}" for j in range(150)]
+        for j in rng.sample(range(150), rng.choice([0, 1, 3, 6, 9])):
+            w[j] = f"e{i}_{j}"
+        rows.append((100 - i, " ".join(w)))
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = brute_components(list(sets), linked)
+    got = near_dup.near_duplicates(make(spark, rows, "doc_id long, text string"), k=3, num=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert 1 < len(set(want.values())) < len(rows)
+
+
 def test_near_duplicates_edges(spark):
     got = near_dup.near_duplicates(make(spark, EDGE).withColumn("component_id", F.lit("clash")), k=5)
     by = defaultdict(list)
