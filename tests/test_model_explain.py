@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from equilens.operators import explain as xx
 from equilens.operators import model as mx
+from equilens.session import cut_observed
 
 
 def test_metrics_zero_division(spark):
@@ -67,3 +68,13 @@ def test_minmax_scores(spark):
     df = spark.createDataFrame([(-2.0,), (0.0,), (2.0,)], "s double")
     got = [round(r[0], 6) for r in mx.minmax_scores(df, "s").orderBy("s").select("proba").collect()]
     assert got == [0.0, 0.5, 1.0]
+
+
+def test_fitted_models_score_in_a_session_with_observed_queries(spark):
+    df = _toy(spark)
+    cut_observed(df, "observed", n=F.count(F.lit(1)))
+    for kind in ("lr", "rf"):
+        r = mx.train_eval(df, df, ["a", "b", "g"], kind, s_cols=["s_g"])
+        assert not r.model.hasSummary
+        m = r.metrics.first()
+        assert m["n"] == df.count() and m["accuracy"] > 0.7
