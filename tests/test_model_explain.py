@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from equilens.operators import explain as xx
 from equilens.operators import model as mx
+from equilens.operators import surrogate as sg
 from equilens.session import cut_observed
 
 
@@ -78,3 +79,29 @@ def test_fitted_models_score_in_a_session_with_observed_queries(spark):
         assert not r.model.hasSummary
         m = r.metrics.first()
         assert m["n"] == df.count() and m["accuracy"] > 0.7
+
+
+def test_no_partition_of_a_fit_grows_with_the_table(spark, monkeypatch):
+    seen = []
+
+    class Learner:
+        def __init__(self, **kw):
+            pass
+
+        def fit(self, data):
+            seen.append(data.rdd.glom().map(len).collect())
+
+    monkeypatch.setattr(mx, "RandomForestClassifier", Learner)
+    monkeypatch.setattr(mx, "FIT_ROWS", 50, raising=False)
+    mx.fit_model(_toy(spark, 1600).coalesce(1), ["a", "b", "g"], "rf")
+    assert sum(seen[0]) == 1600 and max(seen[0]) <= 50
+
+
+def test_attributions_use_all_cores_for_a_table_in_one_partition(spark):
+    df = _toy(spark).coalesce(1)
+    feats = ["a", "b", "g"]
+    cores = spark.sparkContext.defaultParallelism
+    rule = lambda x: mx.logistic_score([x["a"], x["b"]])
+    rows = lambda out: sum(1 for n in out.rdd.glom().map(len).collect() if n)
+    assert rows(sg.lattice_shap(rule, df, feats, xx.background_means(df, feats))) >= cores
+    assert rows(xx.tree_shap(mx.fit_model(df, feats, "rf"), df, feats)) >= cores
