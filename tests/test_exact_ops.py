@@ -323,3 +323,29 @@ def test_observed_writes(spark):
     from equilens.session import cut_observed
     df, seen = cut_observed(spark.range(10), "seen", n=F.count(F.lit(1)), s=F.sum("id"))
     assert seen == {"n": 10, "s": 45} and df.count() == 10
+
+
+@pytest.mark.parametrize("kind", ["wide", "clusters", "copies"])
+def test_knn_by_groups_of_cells_equals_brute_force(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    n = 400
+    if kind == "wide":                                    # no box can be left out
+        pts = rng.normal(size=(n, 24))
+    elif kind == "clusters":
+        pts = rng.normal(size=(n, 2)) * 0.01 + rng.integers(0, 6, size=(n, 1)) * 10.0
+    else:
+        pts = rng.integers(0, 12, size=(n, 2)).astype(float)
+    pts[0] = 1000.0                                       # far from all others
+    names = [f"f{i}" for i in range(pts.shape[1])]
+    ids = list(range(100, 100 + n))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in zip(ids, pts)], "row_id long, " + ", ".join(f"{c} double" for c in names))
+    monkeypatch.setattr(knn, "GROUPS", 4, raising=False)
+    monkeypatch.setattr(knn, "TASK_ROWS", 100)
+    monkeypatch.setattr(knn, "FIRST_WAVE", 1)
+    stats = {}
+    got = rows_of(knn.knn(df, names, 5, block_rows=8, stats=stats))
+    want = brute_knn(pts, ids, 5)
+    for i in ids:
+        assert [x for x, _ in got[i]] == [x for x, _ in want[i]] and np.allclose([x for _, x in got[i]], [x for _, x in want[i]])
+    if kind == "wide":
+        assert stats["cells"] > 30 and stats["visited"] <= 8 * stats["cells"]
