@@ -349,3 +349,14 @@ def test_knn_by_groups_of_cells_equals_brute_force(spark, monkeypatch, kind):
         assert [x for x, _ in got[i]] == [x for x, _ in want[i]] and np.allclose([x for _, x in got[i]], [x for _, x in want[i]])
     if kind == "wide":
         assert stats["cells"] > 30 and stats["visited"] <= 8 * stats["cells"]
+
+
+def test_knn_broadcasts_nothing_that_executors_must_import(spark, monkeypatch):
+    import pickle
+
+    from pyspark import SparkContext
+    sent, real = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or real(self, value))
+    df = spark.createDataFrame([(i, float(i % 17), float(i % 5)) for i in range(300)], "row_id long, a double, b double")
+    assert knn.knn(df, ["a", "b"], 3, block_rows=32).count() == 900
+    assert len(sent) >= 2 and not any(b"equilens" in x for x in sent)
