@@ -65,3 +65,17 @@ def test_sample_n_is_deterministic(spark):
     a = sorted(r[0] for r in dist.sample_n(df, 123, 9).collect())
     b = sorted(r[0] for r in dist.sample_n(df.repartition(7), 123, 9).collect())
     assert a == b and len(a) == 123
+
+
+def test_small_lookup_equals_asof_lookup(spark):
+    nan = float("nan")
+    for sizes in ([5], [1, 900, 1, 2, 96], [3] * 50):
+        starts = [sum(sizes[:i]) for i in range(len(sizes))]
+        values = [nan if i == 3 else -1.5 * i for i in range(len(sizes))]
+        table = spark.createDataFrame([(0, s, n, v) for s, n, v in zip(starts, sizes, values)], "p int, start long, len long, v double")
+        probes = spark.range(sum(sizes)).select(F.lit(0).alias("p"), F.col("id").alias("pos"))
+        totals = spark.createDataFrame([(0, sum(sizes))], "p int, total long")
+        want = dist.asof_lookup(probes, table, ["p"], "pos", "start", "len", ["v"], totals)
+        got = dist.small_lookup(probes, table, "pos", "start", ["v"])
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
