@@ -7,8 +7,11 @@ later counts read these. Classes are made in two steps: the ``UNITS`` most frequ
 by the exchange algorithm on their bigram counts over the whole corpus; then every other head word
 moves into the class that raises the class-bigram likelihood most, by the counts of the classes it
 stands between, which Spark gathers per word and weighs against the small class matrix. Words beyond
-the head belong to one of ``SUFFIXES`` classes by their last two bytes and the end of a text is a class
-of its own. P(text) is the product of add-one smoothed class transitions and word emissions:
+the head join a class by the same rule and by all their places, neighbours that are beyond it too
+counting by one of ``SUFFIXES`` classes of last two bytes; their classes stay in a table that meets
+pairs and texts in joins. Only words that no training text holds keep a class by their last two bytes;
+the end of a text is a class of its own. P(text) is the product of add-one smoothed class transitions
+and word emissions:
 P(c_i | c_i-1) * (count(w) + 1) / (tokens of c + distinct words of c + 1).
 """
 
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import bound_batches, chunks, utf8, worker_cache
 
-HEAD = 200_000        # most frequent words broadcast and put into classes, at most
+HEAD = 200_000        # most frequent words broadcast, at most
 UNITS = 768           # words the classes are made from by exchange
 CLASSES = 32          # classes of the exchange
-SUFFIXES = 16         # classes of the words beyond the head, by their last two bytes
+SUFFIXES = 16         # classes by the last two bytes: words of no training text, and neighbours beyond the head
 ROUNDS = 8            # exchange passes at most
 FLUSH = 300_000       # distinct words a counting task holds before it passes counts on
 
@@ -78,7 +81,8 @@ def _codes_of(words: list[bytes], rank: dict[bytes, int]) -> np.ndarray:
 
 
 def _encode(model):  # noqa: ANN001
-    """Runs of whole texts as word codes, an end code before the first, between texts and behind the last."""
+    """Runs of whole texts as word codes, an end code before the first, between texts and behind the last;
+    with them the words beyond the head as they come."""
     def run(batches):
         m = model.value
         rank = _ranks(m)
@@ -86,10 +90,13 @@ def _encode(model):  # noqa: ANN001
         for b in batches:
             texts = utf8(b.column(0))
             for lo, hi in chunks(map(len, texts)):
-                seq = [end]
+                seq, rare = [end], []
                 for t in texts[lo:hi]:
-                    seq += [_codes_of(t.lower().split(), rank), end]
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(seq).tobytes()], pa.binary())], ["codes"])
+                    words = t.lower().split()
+                    seq += [_codes_of(words, rank), end]
+                    rare += [words[i] for i in np.flatnonzero(seq[-2] >= len(rank)).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(seq).tobytes()], pa.binary()),
+                                                  pa.array([rare], pa.list_(pa.binary()))], ["codes", "rare"])
     return run
 
 
@@ -137,6 +144,43 @@ def _contexts(of_code):  # noqa: ANN001
     return run
 
 
+def _rare_places(b, n_words: int):  # noqa: ANN001
+    """Per run of a batch: its codes, the places of words beyond the head and these words."""
+    for codes, rare in zip(b.column("codes"), b.column("rare")):
+        c = np.frombuffer(codes.as_buffer(), dtype=np.int32)
+        yield c, np.flatnonzero((c >= n_words) & (c < n_words + SUFFIXES)), rare.values
+
+
+def _counted(columns: list, names: list[str]):
+    """The distinct rows of a batch with their numbers."""
+    t = pa.table(columns, names).group_by(names).aggregate([([], "count_all")])
+    return t.rename_columns([*names, "n"]).to_batches()
+
+
+def _rare_contexts(of_code, n_words: int):  # noqa: ANN001
+    """(word, cell, n) of the words beyond the head, cells as in ``_contexts``; all neighbours count."""
+    def run(batches):
+        kind = of_code.value
+        size = int(kind.max()) + 1
+        for b in batches:
+            for c, at, rare in _rare_places(b, n_words):
+                if len(at):
+                    cell = np.concatenate((kind[c[at - 1]], size + kind[c[at + 1]])).astype(np.int64)
+                    yield from _counted([pa.concat_arrays([rare, rare]), pa.array(cell)], ["word", "cell"])
+    return run
+
+
+def _rare_pairs(n_words: int):
+    """(w1, w2, n): neighbours that are both beyond the head."""
+    def run(batches):
+        for b in batches:
+            for _, at, rare in _rare_places(b, n_words):
+                first = pa.array(np.flatnonzero(np.diff(at) == 1))
+                if len(first):
+                    yield from _counted([rare.take(first), rare.slice(1).take(first)], ["w1", "w2"])
+    return run
+
+
 def _xlogx(x):  # noqa: ANN001
     return x * np.log(np.maximum(x, 1e-300)) * (x > 0)
 
@@ -158,6 +202,80 @@ def best_classes(before: np.ndarray, behind: np.ndarray, both: np.ndarray, class
     return gain.argmax(axis=1)
 
 
+def best_of_few(row: np.ndarray, cell: np.ndarray, n: np.ndarray, rows: int, both: np.ndarray, classes: int) -> np.ndarray:
+    """``best_classes`` of ``rows`` words with few neighbours: ``n`` times word ``row`` has ``cell`` around it (a
+    class before it, or classes + the class behind it)."""
+    size = len(both)
+    seen = np.concatenate((both[:, :classes], both[:classes].T))           # the pair that a cell adds to, per class
+    gain = np.zeros((rows, classes))
+    old = _xlogx(seen)
+    step = 1 << 16
+    for lo in range(0, len(row), step):
+        r, x, k = row[lo:lo + step], cell[lo:lo + step], n[lo:lo + step, None]
+        add = _xlogx(seen[x] + k) - old[x]
+        first = np.flatnonzero(np.diff(r, prepend=-1))                     # rows come in order
+        gain[r[first]] += np.add.reduceat(add, first, axis=0)
+    near = np.zeros((rows, 2, classes))
+    inner = cell % size < classes
+    near[row[inner], cell[inner] // size, cell[inner] % size] = n[inner]
+    before, behind = near[:, 0], near[:, 1]
+    into = np.bincount(row, n * (cell < size), rows)[:, None]
+    out = np.bincount(row, n * (cell >= size), rows)[:, None]
+    corner = np.diagonal(both)[:classes]
+    tail, head = both.sum(axis=1)[:classes], both.sum(axis=0)[:classes]
+    gain += (_xlogx(corner + behind + before) - _xlogx(corner + behind) - _xlogx(corner + before) + _xlogx(corner)
+             - _xlogx(tail + before + out) + _xlogx(tail + before) - _xlogx(head + behind + into) + _xlogx(head + behind))
+    return gain.argmax(axis=1)
+
+
+def _placer(both: np.ndarray, classes: int):
+    """Words beyond the head with their cells -> with their number and class too."""
+    size = len(both)
+
+    def run(batches):
+        for b in batches:
+            cells = b.column("cells")
+            at = cells.offsets.to_numpy()
+            flat = cells.flatten()
+            cell, n = flat.field("cell").to_numpy(), flat.field("n").to_numpy()
+            row = np.repeat(np.arange(len(cells)), np.diff(at))
+            number = np.bincount(row, n * (cell < size), len(cells)).astype(np.int64)
+            best = best_of_few(row, cell, n.astype(np.float64), len(cells), both, classes)
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(number), pa.array(best.astype(np.int32)), cells],
+                                             ["word", "n", "class", "cells"])
+    return run
+
+
+def _place_rare(codes: DataFrame, of_code: np.ndarray, n_words: int, both: np.ndarray, classes: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Classes of all words beyond the head: (word, n, class, cells) as a written table, the class pairs
+    with these words in their classes and the number of these words per class."""
+    sent = codes.sparkSession.sparkContext.broadcast(of_code)
+    around = codes.mapInArrow(_rare_contexts(sent, n_words), "word binary, cell long, n long").repartition("word")
+    cells = around.groupBy("word", "cell").agg(F.sum("n").alias("n")).groupBy("word").agg(
+        F.collect_list(F.struct("cell", "n")).alias("cells"))       # at most twice the classes
+    rare = cut_lineage(cells.mapInArrow(_placer(both, classes), "word binary, n long, class int, cells array<struct<cell:bigint,n:bigint>>"),
+                       "word_classes")
+    size = len(both)
+    by_suffix = set(of_code[n_words:n_words + SUFFIXES].tolist())
+    pairs = both.copy()
+    pairs[list(by_suffix), :] = 0
+    pairs[:, list(by_suffix)] = 0
+    near = rare.select("class", F.explode("cells").alias("x")).groupBy("class", "x.cell").agg(F.sum("x.n").alias("n"))
+    for c, cell, n in near.collect():
+        other = cell % size
+        if other not in by_suffix:
+            pairs[(other, c) if cell < size else (c, other)] += n
+    twins = codes.mapInArrow(_rare_pairs(n_words), "w1 binary, w2 binary, n long")
+    for k in "12":
+        twins = twins.join(rare.select(F.col("word").alias(f"w{k}"), F.col("class").alias(f"c{k}")), f"w{k}").drop(f"w{k}")
+    for a, b, n in twins.groupBy("c1", "c2").agg(F.sum("n")).collect():
+        pairs[a, b] += n
+    number = np.zeros(size)
+    for c, n in rare.groupBy("class").count().collect():
+        number[c] = n
+    return rare, pairs, number
+
+
 def _joiner(both: np.ndarray, classes: int):
     size = len(both)
 
@@ -233,33 +351,68 @@ def _scorer(model):  # noqa: ANN001
         logc = np.append(np.log10(counts + 1.0), 0.0)         # last: words beyond the head, added later
         for b in batches:
             texts = utf8(b.column(2))
-            n_tok, score, base_sum, known, tails = [], [], [], [], []
+            n_tok, score, base_sum, known, tails, pairs, defaults = [], [], [], [], [], [], []
             for t in texts:
                 words = t.lower().split()
                 r = _codes_of(words, rank)
                 c = group[np.concatenate(([end], r, [end]))]
                 r = np.where(r < len(rank), r, -1)
-                s = float(trans[c[:-1], c[1:]].sum() - denom[c[1:]].sum())
+                far = np.flatnonzero(r < 0)
+                more = Counter(words[i] for i in far.tolist())
+                place = {w: i for i, w in enumerate(more)}
+                default = np.zeros(len(more), dtype=np.int32)
+                x = c.astype(np.int32)                        # a class, or -1 - number of the word beyond the head
+                x[far + 1] = [-1 - place[words[i]] for i in far.tolist()]
+                default[-1 - x[far + 1]] = c[far + 1]
+                open_ = (x[:-1] < 0) | (x[1:] < 0)
+                a, z = c[:-1][~open_], c[1:]
+                s = float(trans[a, z[~open_]].sum() - denom[z[x[1:] >= 0]].sum())
                 own = float(logc[r].sum())
                 n_tok.append(len(words) + 1)
                 score.append(s + own + m["end"])
                 base_sum.append(own + m["end"])
                 known.append(int((r >= 0).sum()) + int(m["texts"] > 0))
-                tails.append(list(Counter(w for w, x in zip(words, r.tolist()) if x < 0).items()))
+                tails.append(list(more.items()))
+                pairs.append(np.stack((x[:-1][open_], x[1:][open_])).tobytes())
+                defaults.append(default.tobytes())
             tail = pa.array([[{"w": w, "n": n} for w, n in x] for x in tails],
                             pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n_tok, pa.int64()), pa.array(score, pa.float64()),
-                 pa.array(base_sum, pa.float64()), pa.array(known, pa.int64()), tail],
-                ["doc_id", "held_out", "n_tokens", "score", "base_sum", "known", "tail"])
+                 pa.array(base_sum, pa.float64()), pa.array(known, pa.int64()), tail,
+                 pa.array(pairs, pa.binary()), pa.array(defaults, pa.binary())],
+                ["doc_id", "held_out", "n_tokens", "score", "base_sum", "known", "tail", "pairs", "defaults"])
     return run
 
 
-def train(texts: DataFrame, *, text_col: str = "text", head: int = HEAD, units: int = UNITS,
-          classes: int = CLASSES, grow: bool = True) -> tuple[DataFrame, dict]:
-    """(word counts as a written table, model). Null texts count as empty ones. ``grow=False`` leaves head
-    words that are no units in their suffix classes."""
+def _finish(model):  # noqa: ANN001
+    """Scores with the class pairs that hold words beyond the head: found classes, or those by suffix."""
+    def run(batches):
+        trans, denom = model.value["transition"], model.value["denominator"]
+        for b in batches:
+            at = b.column("found").offsets.to_numpy()
+            flat = b.column("found").values
+            which, cls = flat.field("i").to_numpy(zero_copy_only=False), flat.field("c").to_numpy(zero_copy_only=False)
+            s = b.column("score").to_numpy().copy()
+            for i, (pairs, defaults) in enumerate(zip(b.column("pairs"), b.column("defaults"))):
+                x = np.frombuffer(pairs.as_buffer(), dtype=np.int32).reshape(2, -1)
+                if x.size:
+                    group = np.frombuffer(defaults.as_buffer(), dtype=np.int32).copy()
+                    group[which[at[i]:at[i + 1]]] = cls[at[i]:at[i + 1]]
+                    c = np.where(x < 0, group[np.where(x < 0, -1 - x, 0)], x)
+                    s[i] += trans[c[0], c[1]].sum() - denom[c[1][x[1] < 0]].sum()
+            names = [f.name for f in b.schema if f.name not in ("found", "pairs", "defaults", "score")]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(s)], [*names, "score"])
+    return run
+
+
+def train(texts: DataFrame, *, text_col: str = "text", head: int | None = None, units: int = UNITS,
+          classes: int = CLASSES, grow: bool = True, sent: int = HEAD) -> tuple[DataFrame, dict]:
+    """(counts and classes of the words beyond the head, model). Null texts count as empty ones. All words get a
+    learned class; the ``sent`` most frequent ones are broadcast. ``head`` gives learned classes to that many words
+    only, the others have one by suffix; ``grow=False`` gives them to units only."""
     spark = texts.sparkSession
+    every, head = head is None, sent if head is None else head
     bound_batches(spark)
     src = texts.select(F.col(text_col).alias("text"))
     counts = cut_lineage(src.mapInArrow(_counter, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
@@ -281,8 +434,7 @@ def train(texts: DataFrame, *, text_col: str = "text", head: int = HEAD, units:
     model = {"id": uuid.uuid4().hex, "words": words, "units": n_units,
              "counts": number, "texts": n_texts, "least": least,
              "N": int((tokens or 0) + n_texts), "V": int(distinct + (n_texts > 0))}
-    sent = spark.sparkContext.broadcast(model)
-    codes = cut_lineage(src.mapInArrow(_encode(sent), "codes binary"), "word_codes")
+    codes = cut_lineage(src.mapInArrow(_encode(spark.sparkContext.broadcast(model)), "codes binary, rare array<binary>"), "word_codes")
     rest = len(words) - n_units
     suffix = np.array([suffix_class(w) for w in words[n_units:]], dtype=np.int64)
     # kinds of codes: every unit by itself, other words by suffix, the end
@@ -297,7 +449,7 @@ def train(texts: DataFrame, *, text_col: str = "text", head: int = HEAD, units:
         own = np.append(np.arange(len(n))[:n_units], np.arange(n_units + SUFFIXES, len(n)))
         both = np.zeros((size, size))                              # pairs of units and ends only
         np.add.at(both, (group[own][:, None], group[own][None, :]), n[np.ix_(own, own)])
-        around = codes.mapInArrow(_contexts(spark.sparkContext.broadcast(of_code)), "word long, cell long, n long")
+        around = codes.select("codes").mapInArrow(_contexts(spark.sparkContext.broadcast(of_code)), "word long, cell long, n long")
         cells = around.groupBy("word", "cell").agg(F.sum("n").alias("n")).groupBy("word").agg(
             F.collect_list(F.struct("cell", "n")).alias("cells"))   # at most twice the classes
         best = cells.mapInPandas(_joiner(both, made), "word long, best long").toArrow()
@@ -310,11 +462,16 @@ def train(texts: DataFrame, *, text_col: str = "text", head: int = HEAD, units:
     trans = np.zeros((k, k))
     got = _pair_counts(codes, of_code)
     trans[:len(got), :len(got)] = got
-    # distinct words per class: head words by their class, the others by suffix
+    # distinct words per class, and the words beyond the head with theirs
     kinds = np.zeros(k)
     np.add.at(kinds, of_code[:len(words)], 1)
-    for x, v in _suffix_sizes(counts, model).items():
-        kinds[of_code[len(words) + x]] += v
+    if every and grow and made and distinct > len(words):
+        counts, trans, more = _place_rare(codes, of_code, len(words), trans, made)
+        kinds += more
+    else:
+        for x, v in _suffix_sizes(counts, model).items():
+            kinds[of_code[len(words) + x]] += v
+        counts = counts.where(F.col("n") < least).withColumn("class", F.lit(None).cast("int"))
     kinds[of_code[-1]] += 1
     in_class = trans.sum(axis=0)
     model |= {"group": of_code, "transition": np.log10((trans + 1.0) / (trans.sum(axis=1, keepdims=True) + k)),
@@ -327,7 +484,7 @@ def _pair_counts(codes: DataFrame, kind: np.ndarray) -> np.ndarray:
     size = int(kind.max()) + 1
     sent = codes.sparkSession.sparkContext.broadcast(kind)
     n = np.zeros(size * size)
-    for r in codes.mapInArrow(_bigrams(sent), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in codes.select("codes").mapInArrow(_bigrams(sent), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         n[r["cell"]] = r["n"]
     return n.reshape(size, size)
 
@@ -357,13 +514,16 @@ def score(docs: DataFrame, counts: DataFrame, model: dict, held_out, *, id_col:
     sent = spark.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     local = src.mapInArrow(_scorer(sent), "doc_id long, held_out boolean, n_tokens long, score double, base_sum double, "
-                                          "known long, tail array<struct<w:binary,n:bigint>>")
+                                          "known long, tail array<struct<w:binary,n:bigint>>, pairs binary, defaults binary")
     local = cut_lineage(local.withColumn("rid", F.monotonically_increasing_id()), "local_scores")
-    rare = counts.where(F.col("n") < model["least"]).select(F.col("word").alias("w"), F.col("n").alias("c"))
-    tail = (local.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.w").alias("w"), F.col("t.n").alias("k"))
+    rare = counts.select(F.col("word").alias("w"), F.col("n").alias("c"), "class")
+    found = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("i", F.col("class").alias("c"))))
+    tail = (local.select("rid", F.posexplode("tail").alias("i", "t")).select("rid", "i", F.col("t.w").alias("w"), F.col("t.n").alias("k"))
                  .join(rare, "w").groupBy("rid").agg(
-                     F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("more_known")))
-    out = local.drop("tail").join(tail, "rid", "left")
+                     F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("more_known"), found.alias("found")))
+    out = local.drop("tail").join(tail, "rid", "left").drop("rid").withColumn("found", F.coalesce("found", F.array().cast("array<struct<i:int,c:int>>")))
+    left = [f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name not in ("found", "pairs", "defaults", "score")]
+    out = out.mapInArrow(_finish(sent), ", ".join([*left, "score double"]))
     more = F.coalesce("more", F.lit(0.0))
     total = F.col("score") + more
     return out.select(

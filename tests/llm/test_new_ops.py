@@ -271,6 +271,64 @@ def test_class_scores_equal_a_plain_count(spark):
     assert len(set(model["group"][100:n_words])) > 4 and max(model["group"][:n_words]) < class_lm.CLASSES
 
 
+def test_words_beyond_the_broadcast_ones_have_learned_classes(spark):
+    """Every training word joins the class its neighbours speak for, and scores follow from these classes."""
+    import math
+
+    from equilens.llm import class_lm
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(None, "zz1 zz2 zz3 zz1"), (7, None), (7, "zz9 " * 50)], "doc_id long, text string"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split(), r["h"]) for r in docs.select("doc_id", "text", held.alias("h")).collect()]
+    counts, model = class_lm.train(docs.where(~held), units=100, sent=300)
+    got = {r["word"]: r for r in counts.collect()}
+    n_words, group = len(model["words"]), model["group"]
+    rank = {w: i for i, w in enumerate(model["words"])}
+    first = {w: group[rank[w] if w in rank else n_words + class_lm.suffix_class(w)] for _, ws, _ in rows for w in ws} | {None: group[-1]}
+    size = int(group.max()) + 1
+    seen = Counter(w for _, ws, h in rows if not h for w in [*ws, None])
+    near = Counter(p for _, ws, h in rows if not h for p in zip([None, *ws], [*ws, None]))
+    assert {w: r["n"] for w, r in got.items()} == {w: n for w, n in seen.items() if w is not None and w not in rank}
+    # classes: those of the largest gain by all neighbours
+    both, words = np.zeros((size, size)), sorted(got)
+    at = {w: i for i, w in enumerate(words)}
+    before, behind = np.zeros((2, len(words), size))
+    for (a, b), n in near.items():
+        both[first[a], first[b]] += n
+        if b in at:
+            before[at[b], first[a]] += n
+        if a in at:
+            behind[at[a], first[b]] += n
+    made = int(group[:n_words].max()) + 1
+    best = class_lm.best_classes(before, behind, both, made)
+    assert [got[w]["class"] for w in words] == best.tolist() and len(set(best.tolist())) > 4
+    # scores: recounted from the texts with these classes
+    cls = first | {w: int(c) for w, c in zip(words, best)}
+    pairs, starts, kinds = Counter(), Counter(), Counter(cls[w] for w in seen)
+    for (a, b), n in near.items():
+        pairs[cls[a], cls[b]] += n
+        starts[cls[a]] += n
+    tokens = Counter()
+    for (_, b), n in pairs.items():
+        tokens[b] += n
+    want = Counter()
+    for i, ws, _ in rows:
+        s = sum(math.log10((pairs[cls[a], cls[b]] + 1) / (starts[cls[a]] + size)) + math.log10((seen[b] + 1) / (tokens[cls[b]] + kinds[cls[b]] + 1))
+                for a, b in zip([None, *ws], [*ws, None]))
+        want[i, len(ws) + 1, round(s, 5)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 5)) for r in class_lm.score(docs, counts, model, held).collect()) == want
+
+
+def test_few_neighbours_give_the_same_class():
+    from equilens.llm import class_lm
+    rng = np.random.default_rng(5)
+    both = rng.integers(0, 40, (7, 7)).astype(float)
+    around = rng.integers(0, 4, (40, 14)) * rng.integers(0, 2, (40, 14))
+    row, cell = np.nonzero(around)
+    got = class_lm.best_of_few(row, cell, around[row, cell].astype(float), 40, both, 5)
+    assert got.tolist() == class_lm.best_classes(around[:, :7], around[:, 7:], both, 5).tolist()
+
+
 def test_grown_classes_lower_the_held_out_perplexity(spark):
     from equilens.llm import class_lm
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
