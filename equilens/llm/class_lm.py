@@ -158,15 +158,15 @@ def _counted(columns: list, names: list[str]):
 
 
 def _rare_contexts(of_code, n_words: int):  # noqa: ANN001
-    """(word, cell, n) of the words beyond the head, cells as in ``_contexts``; all neighbours count."""
+    """(word, sides, n) of the words beyond the head; sides: the class before it times classes + the class behind it."""
     def run(batches):
         kind = of_code.value
         size = int(kind.max()) + 1
         for b in batches:
             for c, at, rare in _rare_places(b, n_words):
                 if len(at):
-                    cell = np.concatenate((kind[c[at - 1]], size + kind[c[at + 1]])).astype(np.int64)
-                    yield from _counted([pa.concat_arrays([rare, rare]), pa.array(cell)], ["word", "cell"])
+                    sides = kind[c[at - 1]].astype(np.int64) * size + kind[c[at + 1]]
+                    yield from _counted([rare, pa.array(sides)], ["word", "sides"])
     return run
 
 
@@ -229,18 +229,23 @@ def best_of_few(row: np.ndarray, cell: np.ndarray, n: np.ndarray, rows: int, bot
 
 
 def _placer(both: np.ndarray, classes: int):
-    """Words beyond the head with their cells -> with their number and class too."""
+    """Words beyond the head with their sides -> with their number, class and cells as in ``_contexts``."""
     size = len(both)
 
     def run(batches):
         for b in batches:
-            cells = b.column("cells")
-            at = cells.offsets.to_numpy()
-            flat = cells.flatten()
-            cell, n = flat.field("cell").to_numpy(), flat.field("n").to_numpy()
-            row = np.repeat(np.arange(len(cells)), np.diff(at))
-            number = np.bincount(row, n * (cell < size), len(cells)).astype(np.int64)
-            best = best_of_few(row, cell, n.astype(np.float64), len(cells), both, classes)
+            around = b.column("around")
+            rows = len(around)
+            flat = around.flatten()
+            sides, n = flat.field("sides").to_numpy(), flat.field("n").to_numpy()
+            row = np.repeat(np.arange(rows), np.diff(around.offsets.to_numpy()))
+            key, of = np.unique(np.concatenate((row * 2 * size + sides // size, row * 2 * size + size + sides % size)), return_inverse=True)
+            times = np.bincount(of, np.concatenate((n, n)))
+            number = np.bincount(row, n, rows).astype(np.int64)
+            row, cell = key // (2 * size), key % (2 * size)
+            best = best_of_few(row, cell, times, rows, both, classes)
+            cells = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), pa.StructArray.from_arrays(
+                [pa.array(cell), pa.array(times.astype(np.int64))], ["cell", "n"]))
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(number), pa.array(best.astype(np.int32)), cells],
                                              ["word", "n", "class", "cells"])
     return run
@@ -250,10 +255,10 @@ def _place_rare(codes: DataFrame, of_code: np.ndarray, n_words: int, both: np.nd
     """Classes of all words beyond the head: (word, n, class, cells) as a written table, the class pairs
     with these words in their classes and the number of these words per class."""
     sent = codes.sparkSession.sparkContext.broadcast(of_code)
-    around = codes.mapInArrow(_rare_contexts(sent, n_words), "word binary, cell long, n long").repartition("word")
-    cells = around.groupBy("word", "cell").agg(F.sum("n").alias("n")).groupBy("word").agg(
-        F.collect_list(F.struct("cell", "n")).alias("cells"))       # at most twice the classes
-    rare = cut_lineage(cells.mapInArrow(_placer(both, classes), "word binary, n long, class int, cells array<struct<cell:bigint,n:bigint>>"),
+    sides = codes.mapInArrow(_rare_contexts(sent, n_words), "word binary, sides long, n long").repartition("word")
+    around = sides.groupBy("word", "sides").agg(F.sum("n").alias("n")).groupBy("word").agg(
+        F.collect_list(F.struct("sides", "n")).alias("around"))     # at most the square of the classes
+    rare = cut_lineage(around.mapInArrow(_placer(both, classes), "word binary, n long, class int, cells array<struct<cell:bigint,n:bigint>>"),
                        "word_classes")
     size = len(both)
     by_suffix = set(of_code[n_words:n_words + SUFFIXES].tolist())
@@ -351,7 +356,7 @@ def _scorer(model):  # noqa: ANN001
         logc = np.append(np.log10(counts + 1.0), 0.0)         # last: words beyond the head, added later
         for b in batches:
             texts = utf8(b.column(2))
-            n_tok, score, base_sum, known, tails, pairs, defaults = [], [], [], [], [], [], []
+            n_tok, score, base_sum, known, tails, around, defaults = [], [], [], [], [], [], []
             for t in texts:
                 words = t.lower().split()
                 r = _codes_of(words, rank)
@@ -373,15 +378,15 @@ def _scorer(model):  # noqa: ANN001
                 base_sum.append(own + m["end"])
                 known.append(int((r >= 0).sum()) + int(m["texts"] > 0))
                 tails.append(list(more.items()))
-                pairs.append(np.stack((x[:-1][open_], x[1:][open_])).tobytes())
+                around.append(x[np.append(open_, False) | np.append(False, open_)].tobytes())
                 defaults.append(default.tobytes())
             tail = pa.array([[{"w": w, "n": n} for w, n in x] for x in tails],
                             pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n_tok, pa.int64()), pa.array(score, pa.float64()),
                  pa.array(base_sum, pa.float64()), pa.array(known, pa.int64()), tail,
-                 pa.array(pairs, pa.binary()), pa.array(defaults, pa.binary())],
-                ["doc_id", "held_out", "n_tokens", "score", "base_sum", "known", "tail", "pairs", "defaults"])
+                 pa.array(around, pa.binary()), pa.array(defaults, pa.binary())],
+                ["doc_id", "held_out", "n_tokens", "score", "base_sum", "known", "tail", "around", "defaults"])
     return run
 
 
@@ -394,14 +399,15 @@ def _finish(model):  # noqa: ANN001
             flat = b.column("found").values
             which, cls = flat.field("i").to_numpy(zero_copy_only=False), flat.field("c").to_numpy(zero_copy_only=False)
             s = b.column("score").to_numpy().copy()
-            for i, (pairs, defaults) in enumerate(zip(b.column("pairs"), b.column("defaults"))):
-                x = np.frombuffer(pairs.as_buffer(), dtype=np.int32).reshape(2, -1)
+            for i, (around, defaults) in enumerate(zip(b.column("around"), b.column("defaults"))):
+                x = np.frombuffer(around.as_buffer(), dtype=np.int32)
                 if x.size:
                     group = np.frombuffer(defaults.as_buffer(), dtype=np.int32).copy()
                     group[which[at[i]:at[i + 1]]] = cls[at[i]:at[i + 1]]
                     c = np.where(x < 0, group[np.where(x < 0, -1 - x, 0)], x)
-                    s[i] += trans[c[0], c[1]].sum() - denom[c[1][x[1] < 0]].sum()
-            names = [f.name for f in b.schema if f.name not in ("found", "pairs", "defaults", "score")]
+                    open_ = (x[:-1] < 0) | (x[1:] < 0)           # the other pairs are counted, or were no neighbours
+                    s[i] += trans[c[:-1], c[1:]][open_].sum() - denom[c[x < 0]].sum()
+            names = [f.name for f in b.schema if f.name not in ("found", "around", "defaults", "score")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(s)], [*names, "score"])
     return run
 
@@ -514,7 +520,7 @@ def score(docs: DataFrame, counts: DataFrame, model: dict, held_out, *, id_col:
     sent = spark.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     local = src.mapInArrow(_scorer(sent), "doc_id long, held_out boolean, n_tokens long, score double, base_sum double, "
-                                          "known long, tail array<struct<w:binary,n:bigint>>, pairs binary, defaults binary")
+                                          "known long, tail array<struct<w:binary,n:bigint>>, around binary, defaults binary")
     local = cut_lineage(local.withColumn("rid", F.monotonically_increasing_id()), "local_scores")
     rare = counts.select(F.col("word").alias("w"), F.col("n").alias("c"), "class")
     found = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("i", F.col("class").alias("c"))))
@@ -522,7 +528,7 @@ def score(docs: DataFrame, counts: DataFrame, model: dict, held_out, *, id_col:
                  .join(rare, "w").groupBy("rid").agg(
                      F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("more_known"), found.alias("found")))
     out = local.drop("tail").join(tail, "rid", "left").drop("rid").withColumn("found", F.coalesce("found", F.array().cast("array<struct<i:int,c:int>>")))
-    left = [f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name not in ("found", "pairs", "defaults", "score")]
+    left = [f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name not in ("found", "around", "defaults", "score")]
     out = out.mapInArrow(_finish(sent), ", ".join([*left, "score double"]))
     more = F.coalesce("more", F.lit(0.0))
     total = F.col("score") + more
