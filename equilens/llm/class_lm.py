@@ -153,7 +153,7 @@ def _rare_places(b, n_words: int):  # noqa: ANN001
 
 def _counted(columns: list, names: list[str]):
     """The distinct rows of a batch with their numbers."""
-    t = pa.table(columns, names).group_by(names).aggregate([([], "count_all")])
+    t = pa.table(columns, names).group_by(names, use_threads=False).aggregate([([], "count_all")])
     return t.rename_columns([*names, "n"]).to_batches()
 
 
