@@ -93,7 +93,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-WINDOW = 1 << 20             # bytes whose prefix sums are held at once
+WINDOW = 1 << 17             # bytes whose prefix sums are held at once
 
 
 def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ offset, so a length that many pieces share is spread over tasks.
 
 Tokens of a text are the tokens of its stretches: a single space between two characters that
 are not white space always starts a new pre-token, so stretches are looked up, vectorised, by
-their 64-bit hash in a bounded per-worker cache; only unseen ones go through the tokenizer.
+their 64-bit hash in a per-worker cache, bounded in stretches and in ids; only unseen ones go
+through the tokenizer.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from .common import bound_batches, chunks, span_hashes, utf8, worker_cache
 
 SIZE = 1024
 END_ID = 0
-CACHE_BITS = 22               # slots of a worker's cache of stretches; it starts anew when half full
+CACHE_BITS = 21               # slots of a worker's cache of stretches; it starts anew when half full
+CACHE_IDS = 5 << 20           # ids of a worker's cache; it starts anew when they are full
+TEXT_BYTES = 1 << 18          # text cut into tokens at once (or one document)
 SLOT_ROWS = 1_000             # aimed pieces per rank slot
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -52,20 +55,34 @@ def tokenizer(path: str):
 class Stretches:
     """Open-addressing table: hash of a stretch -> its ids, all operations over arrays."""
 
-    def __init__(self, path: str, bits: int = CACHE_BITS):
-        self.path, self.bits = path, bits
+    def __init__(self, path: str, bits: int = CACHE_BITS, most_ids: int = CACHE_IDS):
+        self.path, self.least, self.most_ids, self.bits = path, bits, most_ids, 0
         vocab = tokenizer(path).get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.ids = np.zeros(0, dtype=np.min_scalar_type(max(vocab.values())))
         self.clear()
 
-    def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
-        self.entry = np.zeros(1 << self.bits, dtype=np.int32)
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.ids = np.zeros(1 << 18, dtype=np.uint32)
+    def clear(self, n: int = 0, n_ids: int = 0) -> None:
+        """Starts anew in the same arrays; only for ``n`` stretches or ``n_ids`` ids that pass the bounds
+        (of one long text) larger ones are made, until the next time."""
+        bits = max(self.least, (2 * n - 1).bit_length())
+        if bits != self.bits:
+            self.bits = bits
+            self.keys = self.entry = self.start = None        # the old ones go before the new ones come
+            self.keys = np.zeros(1 << bits, dtype=np.uint64)
+            self.entry = np.zeros(1 << bits, dtype=np.int32)
+            self.start = np.zeros((1 << (bits - 1)) + 1, dtype=np.uint32)
+        else:
+            self.keys.fill(0)
+        if len(self.ids) != max(self.most_ids, n_ids):
+            self.ids = np.zeros(max(self.most_ids, n_ids), dtype=self.ids.dtype)
         self.n = self.used = 0
 
+    def fits(self, ids: list[np.ndarray]) -> bool:
+        """Whether further stretches with these ids leave the table half empty."""
+        return self.n + len(ids) <= 1 << (self.bits - 1) and self.used + sum(map(len, ids)) <= len(self.ids)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry number of each hash, or -1."""
         out = np.full(len(h), -1, dtype=np.int64)
@@ -80,13 +97,9 @@ class Stretches:
         return out
 
     def add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
-        """New, distinct hashes and the ids of their stretches."""
+        """New, distinct hashes and the ids of their stretches, which fit."""
         lens = np.array([len(x) for x in ids], dtype=np.int64)
         total = int(lens.sum())
-        while self.n + len(h) + 1 > len(self.start):
-            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used:self.used + total] = np.concatenate(ids) if ids else 0
         self.start[self.n + 1:self.n + len(h) + 1] = self.used + np.cumsum(lens)
         number = np.arange(self.n, self.n + len(h))
@@ -153,17 +166,18 @@ def token_ids(texts: list[bytes], path: str) -> list[np.ndarray]:
     new, at = np.unique(h[entry < 0], return_index=True)
     if len(new):
         at = np.flatnonzero(entry < 0)[at]
-        if table.n + len(new) > 1 << (table.bits - 1):
-            table.clear()
+        encode = lambda at: table.encode([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+        ids = encode(at)
+        if not table.fits(ids):
             new, at = np.unique(h, return_index=True)
-            while 2 * len(new) > 1 << table.bits:
-                table.bits += 1
-                table.clear()
-        table.add(new, table.encode([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]))
+            ids = encode(at)
+            table.clear(len(new), sum(map(len, ids)))
+        table.add(new, ids)
         entry = table.find(h)
-    lens = table.start[entry + 1] - table.start[entry]
+    begin = table.start[entry].astype(np.int64)
+    lens = table.start[entry + 1] - begin
     upto = np.concatenate(([0], np.cumsum(lens)))
-    ids = table.ids[np.repeat(table.start[entry] - upto[:-1], lens) + np.arange(upto[-1])]
+    ids = table.ids[np.repeat(begin - upto[:-1], lens) + np.arange(upto[-1])].astype(np.uint32)
     of = upto[np.searchsorted(doc, np.arange(len(texts) + 1))]
     return [ids[of[i]:of[i + 1]] for i in range(len(texts))]
 
@@ -174,7 +188,7 @@ def _cutter(path: str, size: int, with_ids: bool):
     def run(batches):
         for b in batches:
             ids_col, texts = b.column(0).to_pylist(), utf8(b.column(1))
-            for lo, hi in chunks(map(len, texts)):
+            for lo, hi in chunks(map(len, texts), TEXT_BYTES):
                 rows: list[tuple] = []
                 for doc, t in zip(ids_col[lo:hi], token_ids(texts[lo:hi], path)):
                     t = np.concatenate((t, end)).astype("<u4").tobytes()

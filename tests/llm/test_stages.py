@@ -138,3 +138,42 @@ def test_packing_gives_the_tokenizers_ids_of_special_strings(spark):
     for t, ids in zip(texts, got):
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
     assert 50256 in got[0]
+
+
+def test_a_workers_cache_of_stretches_is_bounded_in_stretches_and_in_ids():
+    from tokenizers import Tokenizer
+    from equilens.llm.common import worker_cache
+    tok, path = Tokenizer.from_file(tokenizer_path()), tokenizer_path()
+    held = lambda t: sum(a.nbytes for a in vars(t).values() if isinstance(a, np.ndarray))
+    assert held(packing.Stretches(path)) < 44e6
+    tables, before = worker_cache("stretches"), worker_cache("stretches").get(path)
+    small = tables[path] = packing.Stretches(path, bits=8, most_ids=700)
+    try:
+        size = held(small)
+        texts = [" ".join(f"w{i * j}" for j in range(1, 40)) for i in range(60)] + ["", "文字" * 150, "a b  c\n d"]
+        long = " ".join(f"q{i}" for i in range(400))          # more stretches and ids than the bounds
+        for t in [*texts, long, *texts]:
+            got = packing.token_ids([t.encode(), b"x y"], path)
+            for x, ids in zip([t, "x y"], got):
+                assert ids.dtype == np.uint32 and ids.tolist() == tok.encode(x, add_special_tokens=False).ids, x
+            assert held(small) == size or t == long or small.bits > 8
+        for t in texts[:8]:
+            packing.token_ids([t.encode()], path)
+        small.clear()
+        assert held(small) == size
+    finally:
+        tables.pop(path)
+        if before is not None:
+            tables[path] = before
+
+
+def test_span_hashes_hold_short_windows(monkeypatch):
+    from equilens.llm import common
+    b = np.frombuffer(b" ".join(b"word%d" % (i % 5000) for i in range(60_000)), dtype=np.uint8)
+    space = np.flatnonzero(b == 32)
+    starts, ends = np.concatenate(([0], space + 1)), np.concatenate((space, [len(b)]))
+    common.worker_cache("powers").pop(0, None)
+    h = common.span_hashes(b, starts, ends)
+    assert len(common.worker_cache("powers")[0][0]) <= 1 << 18
+    monkeypatch.setattr(common, "WINDOW", 1 << 20)
+    assert (common.span_hashes(b, starts, ends) == h).all() and len(np.unique(h)) == 5000
