@@ -105,3 +105,17 @@ def test_attributions_use_all_cores_for_a_table_in_one_partition(spark):
     rows = lambda out: sum(1 for n in out.rdd.glom().map(len).collect() if n)
     assert rows(sg.lattice_shap(rule, df, feats, xx.background_means(df, feats))) >= cores
     assert rows(xx.tree_shap(mx.fit_model(df, feats, "rf"), df, feats)) >= cores
+
+
+def test_ablation_fits_on_the_copies_of_all_rows(spark, monkeypatch):
+    df = _toy(spark, 1100)
+    seen = {}
+    fit = mx.fit_model
+
+    def counted(train, *a):
+        seen[len(seen)] = train.count()
+        return fit(train, *a)
+    monkeypatch.setattr(mx, "fit_model", counted)
+    out = mx.ablate(df, df, ["a", "b", "g"], ["g"], ("baseline", "cf"), "lr").collect()
+    assert [r["augmentation"] for r in out] == ["baseline", "cf"]
+    assert seen == {0: 1100, 1: 1100 * 3}
