@@ -360,3 +360,63 @@ def test_knn_broadcasts_nothing_that_executors_must_import(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i % 17), float(i % 5)) for i in range(300)], "row_id long, a double, b double")
     assert knn.knn(df, ["a", "b"], 3, block_rows=32).count() == 900
     assert len(sent) >= 2 and not any(b"equilens" in x for x in sent)
+
+
+def test_drawn_blocks_equal_the_column_draws(spark):
+    from equilens.functions import draws, mathx
+    ids = [0, 7, -12, 123456, 10 ** 12]
+    df = spark.createDataFrame([(i, s) for i in ids for s in (1, 9, 10, 123)], "i long, s int")
+    got = df.select("i", "s", mathx.hash_open_uniform(3, "lime0", "i", "s").alias("u"), mathx.hash_normal(3, "lime0", "i", "s").alias("z")).collect()
+    with np.errstate(over="ignore"):
+        u = draws.open_uniforms([f"3:lime0:{i}:".encode() for i in ids], [b"1", b"9", b"10", b"123"])
+        long = draws.open_uniforms([b"x" * 70], [b"1"])
+    z = draws.norm_ppf(u)
+    assert [r["u"] for r in got] == u.ravel().tolist()
+    assert np.allclose([r["z"] for r in got], z.ravel(), rtol=1e-13)
+    assert 0 < long[0, 0] < 1
+    tails = np.array([1e-14, 1e-9, 0.01, 0.5, 1 - 1e-9])
+    want = spark.createDataFrame([(float(p),) for p in tails], "p double").select(mathx.norm_ppf(F.col("p"))).collect()
+    assert np.allclose([r[0] for r in want], draws.norm_ppf(tails), rtol=1e-12)
+
+
+def test_local_surrogate_of_repeated_and_missing_rows(spark):
+    """Rows of one id share a fit, rows with a missing value count for nothing; the model is valued in columns, its
+    sums are one per feature."""
+    train = spark.createDataFrame([(float(i % 7), float(i % 3)) for i in range(50)], "a double, b double")
+    rows = [(1, 2.0, 1.0), (1, 5.0, 0.0), (2, 3.0, 2.0), (3, None, 1.0), (4, 1.0, 1.0), (4, None, 0.0), (None, 4.0, 2.0)]
+    out = surrogate.local_surrogate(lambda x: x["a"] * x["b"] / 10, spark.createDataFrame(rows, "row_id long, a double, b double"),
+                                    train, ["a", "b"], 30, 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "md5" not in plan
+    got = {(r["row_id"], r["feature"]): r["weight"] for r in out.collect()}
+    t = np.array([(i % 7, i % 3) for i in range(50)], float)
+    mean, sd = t.mean(0), t.std(0)
+    from equilens.functions import draws
+    for key in (1, 2, 3, 4, None):
+        own = [np.array(r[1:], float) for r in rows if r[0] == key and None not in r[1:]]
+        if not own:
+            assert got[key, "a"] is None and got[key, "b"] is None
+            continue
+        salt = "" if key is None else f"{key}:"
+        with np.errstate(over="ignore"):
+            z = np.column_stack([draws.norm_ppf(draws.open_uniforms([f"5:lime{j}:{salt}".encode()], [str(s).encode() for s in range(1, 30)]))[0] for j in (0, 1)])
+        zs, ws = [], []
+        for o in own:
+            o = (o - mean) / sd
+            zs += [o, *z]
+            ws += [1.0, *np.exp(-((z - o) ** 2).sum(1) / (0.75 ** 2 * 2)) ** 0.5]
+        zs, ws = np.array(zs), np.array(ws)
+        x = zs * sd + mean
+        y = x[:, 0] * x[:, 1] / 10
+        zc, yc = zs - np.average(zs, axis=0, weights=ws), y - np.average(y, weights=ws)
+        want = np.linalg.solve((zc * ws[:, None]).T @ zc + np.eye(2), (zc * ws[:, None]).T @ yc)
+        assert np.allclose([got[key, "a"], got[key, "b"]], want, atol=1e-9), key
+
+
+def test_logistic_regression_as_rule(spark):
+    df = spark.createDataFrame([(i, int(i % 5 > 1), float(i % 5), float(i % 3)) for i in range(60)], "row_id long, y int, a double, b double")
+    from equilens.operators import model
+    m = model.fit_model(df, ["a", "b"], "lr")
+    want = {r["row_id"]: r["proba"] for r in model.score(m, df, ["a", "b"], ["row_id"]).collect()}
+    got = {r["row_id"]: r["proba"] for r in model.score(model.as_rule(m, ["a", "b"]), df, ["a", "b"], ["row_id"]).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-14 for i in want)
