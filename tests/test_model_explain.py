@@ -119,3 +119,26 @@ def test_ablation_fits_on_the_copies_of_all_rows(spark, monkeypatch):
     out = mx.ablate(df, df, ["a", "b", "g"], ["g"], ("baseline", "cf"), "lr").collect()
     assert [r["augmentation"] for r in out] == ["baseline", "cf"]
     assert seen == {0: 1100, 1: 1100 * 3}
+
+
+def test_rows_are_dealt_out_before_forests_score_them(spark):
+    df = _toy(spark, 60).coalesce(1)
+    m = mx.fit_model(df, ["a", "b", "g"], "lr")
+    assert mx.score_all({"x": m}, df, ["a", "b", "g"], ["row_id"]).rdd.getNumPartitions() > 1
+    assert mx.score_all({"x": lambda x: x["a"]}, df, ["a", "b", "g"], ["row_id"]).rdd.getNumPartitions() == 1
+
+
+def test_steps_side_by_side(spark):
+    import threading
+
+    import pytest
+
+    from equilens.session import together
+    both = threading.Barrier(2, timeout=60)
+    got = together(spark, {"b": lambda: (both.wait(), spark.range(3).count())[1], "a": lambda: (both.wait(), 7)[1]})
+    assert got == {"b": 3, "a": 7} and list(got) == ["b", "a"]
+
+    def bad(text):
+        raise ValueError(text)
+    with pytest.raises(ValueError, match="first"):
+        together(spark, {"x": lambda: 1, "y": lambda: bad("first"), "z": lambda: bad("second")}, 1)
